@@ -27,23 +27,30 @@ YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + CLOCK + "$"
 YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + CLOCK + "$"
 COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
 YEAR_MONTH = r"^(\d{4})[-/](\d{1,2})$"
-NAMED_FIRST = r"^([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})" + CLOCK + "$"
-NAMED_SECOND = r"^(\d{1,2})[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4})" + CLOCK + "$"
+NAMED_FIRST = r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})" + CLOCK + "$"
+NAMED_SECOND = r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?,?[ -](\d{4})" + CLOCK + "$"
+DATE_SHAPED = r"^\d{4}-(\d{1,2}|[A-Za-z]{3})-\d{1,2}( \d{1,2}:[0-9:.]+)? ?$"
 
 
-def _group(text: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(text, pattern, i)
+def _iso(text: Column) -> Column:
+    """Rewrite the accepted spellings as year-month-day, the month maybe still named."""
+    for pattern, order in (
+        (YEAR_FIRST, "$1-$2-$3 $4"),
+        (COMPACT, "$1-$2-$3"),
+        (YEAR_MONTH, "$1-$2-1"),
+        (NAMED_FIRST, "$3-$1-$2 $4"),
+        (NAMED_SECOND, "$3-$2-$1 $4"),
+    ):
+        text = F.regexp_replace(text, pattern, order)
+    return text
 
 
-def _stamp(year: Column, month: Column, day: Column, clock: Column) -> Column:
-    date = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    full = F.when(clock == "", date).otherwise(F.concat_ws(" ", date, clock))
-    return F.try_to_timestamp(full)
-
-
-def _month_number(name: Column) -> Column:
-    at = F.instr(F.lit(MONTHS), F.lower(F.left(name, F.lit(3))))
-    return F.when((at > 0) & (at % 3 == 1), F.floor((at + 2) / 3).cast("string")).otherwise("0")
+def _read_iso(iso: Column) -> Column:
+    name = F.regexp_extract(iso, "-([A-Za-z]{3})-", 1)
+    at = F.instr(F.lit(MONTHS), F.lower(name)) + 2
+    month = F.when(at % 3 == 0, F.concat(F.lit("-"), F.floor(at / 3), F.lit("-"))).otherwise("-0-")
+    numbered = F.when(name != "", F.regexp_replace(iso, "-[A-Za-z]{3}-", month)).otherwise(iso)
+    return F.try_to_timestamp(F.trim(numbered))
 
 
 def parse_date(col: Column) -> Column:
@@ -52,45 +59,14 @@ def parse_date(col: Column) -> Column:
     A zone suffix is accepted and the local clock time kept. ``a/b/yyyy`` is read
     month first, and day first only when that gives no date.
     """
-    text = F.trim(col.cast("string"))
-    g = _group
-    last = [g(text, YEAR_LAST, i) for i in range(1, 5)]
-    return (
-        F.when(
-            text.rlike(YEAR_FIRST),
-            _stamp(*[g(text, YEAR_FIRST, i) for i in range(1, 5)]),
-        )
-        .when(
-            text.rlike(YEAR_LAST),
-            F.coalesce(
-                _stamp(last[2], last[0], last[1], last[3]),
-                _stamp(last[2], last[1], last[0], last[3]),
-            ),
-        )
-        .when(text.rlike(COMPACT), _stamp(*[g(text, COMPACT, i) for i in (1, 2, 3)], F.lit("")))
-        .when(
-            text.rlike(YEAR_MONTH),
-            _stamp(g(text, YEAR_MONTH, 1), g(text, YEAR_MONTH, 2), F.lit("1"), F.lit("")),
-        )
-        .when(
-            text.rlike(NAMED_FIRST),
-            _stamp(
-                g(text, NAMED_FIRST, 3),
-                _month_number(g(text, NAMED_FIRST, 1)),
-                g(text, NAMED_FIRST, 2),
-                g(text, NAMED_FIRST, 4),
-            ),
-        )
-        .when(
-            text.rlike(NAMED_SECOND),
-            _stamp(
-                g(text, NAMED_SECOND, 3),
-                _month_number(g(text, NAMED_SECOND, 2)),
-                g(text, NAMED_SECOND, 1),
-                g(text, NAMED_SECOND, 4),
-            ),
-        )
-    )
+
+    def read(text: Column) -> Column:
+        iso = F.regexp_replace(text, YEAR_LAST, "$3-$1-$2 $4")
+        swapped = F.regexp_replace(text, YEAR_LAST, "$3-$2-$1 $4")
+        return F.when(iso.rlike(DATE_SHAPED), F.coalesce(_read_iso(iso), _read_iso(swapped)))
+
+    likely = col.cast("string").rlike(r"^\s*(\d|[A-Za-z]{3,9}\.? \d)")
+    return F.when(likely, let(_iso(F.trim(col.cast("string"))), read))
 
 
 def ascii_width(col: Column) -> Column:
@@ -109,54 +85,50 @@ def ascii_width(col: Column) -> Column:
 ERA_MARKS = "|".join(mark for name, letter, square, *_ in ERAS for mark in (name, letter, square))
 
 
-def _era_value(mark: Column, code: Column, field: int, default: Column) -> Column:
-    """A field of the era named by its mark or by its number."""
-    value = default
-    for i, era in enumerate(ERAS):
-        value = F.when(mark.isin(*era[:3]) | (code == str(i + 1)), F.lit(era[field])).otherwise(value)
-    return value
+ERA_TABLE = "map(" + ", ".join(
+    f"'{mark}', named_struct('begin', {era[3]}, 'last', TIMESTAMP'{era[4]}')"
+    for i, era in enumerate(ERAS)
+    for mark in (*era[:3], str(i + 1))
+) + ")"
 
 
 def _read_era(text: Column) -> Column:
-    """Split a normalised text into era mark, era number and the numbers that follow."""
+    """Split a normalised text into its era and the numbers that follow."""
     mark = F.regexp_extract(text, f"^({ERA_MARKS})", 1)
+    packed = f"^({ERA_MARKS}|[1-5])(\\d{{2}})(\\d{{2}})(\\d{{2}})$"
+    spaced = F.regexp_replace(F.regexp_replace(text, packed, "$2 $3 $4"), f"^({ERA_MARKS})", "")
+    numbers = F.transform(
+        F.regexp_extract_all(spaced, F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast("int")
+    )
     code = F.regexp_extract(text, r"^([1-5])\d{6}$", 1)
-    rest = F.regexp_replace(text, f"^({ERA_MARKS})", "")
-    packed = (code != "") | ((mark != "") & rest.rlike(r"^\d{6}$"))
-    spaced = F.regexp_replace(rest, r"^[1-5]?(\d{2})(\d{2})(\d{2})$", "$1 $2 $3")
-    numbers = F.regexp_extract_all(F.when(packed, spaced).otherwise(rest), F.lit(r"\d+"), F.lit(0))
+    found = F.concat(mark, code)
     # A date without a year belongs to the first year of the latest era.
-    no_year = (mark == "") & (code == "") & ~text.contains("年")
-    given = F.when(no_year, F.concat(F.array(F.lit("1")), numbers)).otherwise(numbers)
+    no_year = (found == "") & ~text.contains("年")
+    given = F.when(no_year, F.concat(F.array(F.lit(1)), numbers)).otherwise(numbers)
     short = (F.size(given) == 2) & ~text.contains("日")
     return F.struct(
-        mark.alias("mark"),
-        code.alias("code"),
-        ((mark != "") | (code != "") | text.rlike("[年月日]")).alias("japanese"),
-        F.transform(
-            F.when(short, F.concat(given, F.array(F.lit("1")))).otherwise(given),
-            lambda n: n.try_cast("int"),
-        ).alias("n"),
+        found.alias("found"),
+        F.try_element_at(F.expr(ERA_TABLE), found).alias("era"),
+        ((found != "") | text.rlike("[年月日]")).alias("japanese"),
+        F.when(short, F.concat(given, F.array(F.lit(1)))).otherwise(given).alias("n"),
     )
 
 
 def _era_stamp(read: Column) -> Column:
-    mark, code, n = read["mark"], read["code"], read["n"]
-    unmarked = (mark == "") & (code == "")
-    era_year = F.get(n, F.lit(0))
-    year = (
-        F.when(unmarked & (era_year >= 1000), era_year)
-        .when(unmarked, era_year + F.lit(ERAS[-1][3] - 1))
-        .otherwise(era_year + _era_value(mark, code, 3, F.lit(0)) - 1)
-    )
-    clock = [F.when(F.size(n) > i, F.get(n, F.lit(i))).otherwise(F.lit(0)) for i in (3, 4, 5)]
-    stamp = F.try_make_timestamp(year, F.get(n, F.lit(1)), F.get(n, F.lit(2)), *clock)
-    last = F.to_timestamp(_era_value(mark, code, 4, F.lit(ERAS[-1][4])))
-    usable = read["japanese"] & F.size(n).between(3, 6) & (era_year > 0)
-    return F.when(
-        usable,
-        let(stamp, lambda t: F.when((t <= last) & (t >= F.to_timestamp(F.lit(FIRST_DAY))), t)),
+    era, n = read["era"], read["n"]
+    number = F.get(n, F.lit(0))
+    western = era.isNull() & (number >= 1000)
+    begin = F.when(western, F.lit(1)).otherwise(F.coalesce(era["begin"], F.lit(ERAS[-1][3])))
+    filled = F.concat(n, F.expr("array(0, 0, 0)"))
+    stamp = F.try_make_timestamp(number + begin - 1, *[F.get(filled, F.lit(i)) for i in range(1, 6)])
+    usable = read["japanese"] & F.size(n).between(3, 6) & (number > 0)
+    within = let(
+        stamp,
+        lambda t: F.when(
+            (t >= F.lit(FIRST_DAY).cast("timestamp")) & (era.isNull() | (t <= era["last"])), t
+        ),
     )
+    return F.when(usable, within)
 
 
 def parse_era(col: Column) -> Column:

@@ -53,7 +53,7 @@ SELECT o_orderkey, o_orderdate,
         + _KANJI_DAY
         + """) || '日'
     WHEN 3 THEN CAST(year(o_orderdate) AS STRING) || '年' || CAST(month(o_orderdate) AS STRING) || '月' || CAST(day(o_orderdate) AS STRING) || '日'
-    WHEN 4 THEN '4' || CAST((year(o_orderdate) - 1988) * 10000 + 1000000 + month(o_orderdate) * 100 + day(o_orderdate) AS STRING)
+    WHEN 4 THEN '4' || substr(CAST((year(o_orderdate) - 1988) * 10000 + 1000000 + month(o_orderdate) * 100 + day(o_orderdate) AS STRING), 2)
     ELSE '平成' || CAST(year(o_orderdate) - 1988 AS STRING) || '年' || CAST(month(o_orderdate) AS STRING) || '月' || CAST(day(o_orderdate) AS STRING) || '日9時5分' END AS era_mixed
 FROM {orders}
 """,
