@@ -306,15 +306,23 @@ class DropConstant(_Fit):
 
 
 class DatePartsModel(_Fitted):
-    def outputs(self, field, state):
-        dialect = state["dialect"]
-        name = field.name
-        if isinstance(field.dataType, T.StringType):
-            stamp = dates.date_value(q(name), dialect)
-        else:
-            stamp = q(name).cast("timestamp")
-        names = dates.JAPANESE_PARTS if dialect == "japanese" else dates.WESTERN_PARTS
-        return [p.alias(f"{name}_{n}") for p, n in zip(dates.date_parts(stamp), names)]
+    def _transform(self, df):
+        state = self.getState()
+        stamps = {}
+        for c in self.getColumns():
+            if isinstance(df.schema[c].dataType, T.StringType):
+                stamps[f"_stamp_{c}"] = dates.date_value(q(c), state[c]["dialect"])
+            else:
+                stamps[f"_stamp_{c}"] = q(c).cast("timestamp")
+        # A projection of its own: each text is parsed once for its seven parts.
+        parsed = df.withColumns(stamps)
+        added = []
+        for c in self.getColumns():
+            japanese = state[c]["dialect"] == "japanese"
+            names = dates.JAPANESE_PARTS if japanese else dates.WESTERN_PARTS
+            values = dates.date_parts(q(f"_stamp_{c}"))
+            added += [v.alias(f"{c}_{n}") for v, n in zip(values, names)]
+        return parsed.select(*[q(c) for c in df.columns if c not in self.getColumns()], *added)
 
 
 class DateParts(_Fit):

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("profile_queries", "transform_queries")
+MODULES = (
+    "profile_queries", "transform_queries", "text_queries", "evaluation_queries", "answer_queries",
+    "type_queries",
+)
 
 
 def load_queries():

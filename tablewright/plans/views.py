@@ -16,7 +16,7 @@ VIEWS = {
     "dv_part": (
         ["part"],
         """
-SELECT p_partkey, p_size, p_type,
+SELECT p_partkey, p_size, p_type, 'metric' AS const_text,
   CAST(p_size AS STRING) || ' ' || CASE p_size % 4 WHEN 0 THEN 'kg' WHEN 1 THEN 'g' WHEN 2 THEN 'mg' ELSE 'lb' END AS unit_text,
   CAST(p_size AS STRING) || ' km' AS one_unit_text,
   CASE p_size % 6 WHEN 0 THEN '< ' WHEN 1 THEN '> ' WHEN 2 THEN '>=' WHEN 3 THEN 'over ' WHEN 4 THEN 'Smaller than ' ELSE 'less than ' END || CAST(p_size AS STRING) AS sign_text,
