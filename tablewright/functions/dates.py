@@ -69,11 +69,7 @@ def parse_date(col: Column) -> Column:
     return F.when(likely, let(_iso(F.trim(col.cast("string"))), read))
 
 
-def ascii_width(col: Column) -> Column:
-    """Full-width digits, letters and marks to ASCII, and kanji digits to digits."""
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-    narrow = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
-    text = F.translate(col.cast("string"), wide, narrow)
+def _plain_digits(text: Column) -> Column:
     text = F.replace(text, F.lit("元年"), F.lit("1年"))
     text = F.translate(text, "〇一二三四五六七八九", "0123456789")
     text = F.regexp_replace(text, r"(\d)十(\d)", "$1$2")
@@ -82,6 +78,15 @@ def ascii_width(col: Column) -> Column:
     return F.replace(text, F.lit("十"), F.lit("10"))
 
 
+def ascii_width(col: Column) -> Column:
+    """Full-width digits, letters and marks to ASCII, and kanji numbers to digits."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
+    narrow = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+    text = col.cast("string")
+    text = F.when(text.rlike("[！-～　]"), F.translate(text, wide, narrow)).otherwise(text)
+    return F.when(text.rlike("[〇一二三四五六七八九十元]"), _plain_digits(text)).otherwise(text)
+
+
 ERA_MARKS = "|".join(mark for name, letter, square, *_ in ERAS for mark in (name, letter, square))
 
 

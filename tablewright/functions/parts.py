@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablewright.functions.cells import SPECIAL_NUMBER, digits_number, is_number, to_number
+from tablewright.functions.cells import SPECIAL_NUMBER, digits_number, is_number, let, to_number
 
 # Factor of each unit spelling (case matters).
 UNIT_FACTORS = {
@@ -150,9 +150,8 @@ def range_ends(col: Column) -> tuple[Column, Column]:
     return end(1), end(2)
 
 
-def cell_separator(col: Column) -> Column:
-    """The most frequent separator run of a cell with two or more runs, else null."""
-    runs = F.regexp_extract_all(col.cast("string"), F.lit(ID_GAP), F.lit(0))
+def _most_frequent(runs: Column) -> Column:
+    """The text that occurs most often in an array, the first of them on ties."""
     ranked = F.transform(
         F.array_distinct(runs),
         lambda r: F.struct(
@@ -164,12 +163,9 @@ def cell_separator(col: Column) -> Column:
     return F.when(F.size(runs) > 1, F.array_max(ranked)["run"])
 
 
-def separated_count(col: Column) -> Column:
-    """Number of parts of a cell by its own separator; 1 without one."""
-    text = col.cast("string")
-    sep = cell_separator(col)
-    occurrences = (F.length(text) - F.length(F.replace(text, sep, F.lit("")))) / F.length(sep)
-    return F.when(text.isNotNull(), F.coalesce(occurrences + 1, F.lit(1)).cast("int"))
+def cell_separator(col: Column) -> Column:
+    """The most frequent separator run of a cell with two or more runs, else null."""
+    return let(F.regexp_extract_all(col.cast("string"), F.lit(ID_GAP), F.lit(0)), _most_frequent)
 
 
 def text_part(col: Column, separator: str, i: int) -> Column:

@@ -20,6 +20,7 @@ from tablewright.operators.profile import (
     value_counts,
 )
 from tablewright.operators.transforms import detect_splits
+from tablewright.session import durable
 
 # The semantic types and their display names.
 NUMERIC, CATEGORICAL, DATETIME, SENTENCE, URL, EMBEDDED = 0, 1, 2, 3, 4, 5
@@ -129,7 +130,7 @@ def rule_type(split_parts: Column) -> Column:
         .when(most(_is_range), RANGE)
         .when(most(_has_sign), SIGN)
         .when(most(_has_unit), UNIT)
-        .when((split_parts > 1) & (F.col("mean_word_count") <= 10), FORMATTED_ID)
+        .when((split_parts > 1) & (F.col("mean_word_count") <= SHORT_WORDS), FORMATTED_ID)
         .when(most(_one_number), EMBEDDED)
         .when(F.col("is_long_sentence"), SENTENCE)
         .when(most(lambda s: s.rlike(PLAIN_NUMBER)), NUMERIC)
@@ -139,24 +140,38 @@ def rule_type(split_parts: Column) -> Column:
     )
 
 
+SHORT_WORDS = 10
+
+
 def type_profile(df: DataFrame, key: str | Sequence[str] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-    """Profile with everything the rules read: shape, category size, splits, text cells."""
-    counts = value_counts(df, key, columns)
+    """Profile with everything the rules read: shape, category size, splits, text cells.
+
+    The value counts and the sample shapes are written once. The shapes tell which
+    text columns are short enough to be formatted IDs; only those are scanned for
+    separators.
+    """
+    counts = durable(value_counts(df, key, columns))
     samples = column_samples(df, key, columns=columns, counts=counts)
     if key is not None:
         samples = apply_override(samples, mixed_columns(df, key, columns))
-    shaped = sample_shape(samples).drop("column", "dtype", "is_numeric_dtype")
+    shaped = durable(sample_shape(samples))
+    splittable = (
+        (F.col("dtype") == "string")
+        & ~F.col("has_url")
+        & ~F.col("has_date")
+        & (F.col("mean_word_count") <= SHORT_WORDS)
+    )
+    short = [r["column"] for r in shaped.filter(splittable).select("column").collect()]
     sizes = category_size(df, columns, counts=counts).drop("column")
-    names = df.columns if columns is None else list(columns)
-    texts = [c for c in names if dict(df.dtypes)[c] == "string"]
     out = column_stats(df, columns, counts=counts)
-    out = out.join(F.broadcast(shaped), "pos").join(F.broadcast(sizes), "pos")
-    if texts:  # one row per text column
-        splits = detect_splits(df, texts).select("column", "parts")
-        out = out.join(F.broadcast(splits), "column", "left")
-    else:
-        out = out.withColumn("parts", F.lit(1))
-    return out.withColumn("parts", F.coalesce("parts", F.lit(1)))
+    out = out.join(F.broadcast(shaped.drop("column", "dtype", "is_numeric_dtype")), "pos")
+    out = out.join(F.broadcast(sizes), "pos")
+    if not short:
+        return out.withColumn("parts", F.lit(1))
+    splits = detect_splits(df, short).select("column", "parts")  # one row per text column
+    return out.join(F.broadcast(splits), "column", "left").withColumn(
+        "parts", F.coalesce("parts", F.lit(1))
+    )
 
 
 def infer_types(
@@ -186,24 +201,30 @@ def types_of(df: DataFrame, key=None, columns=None, model=None) -> dict[str, int
 # --- candidates -------------------------------------------------------------
 
 
-def candidate_classes(probabilities: DataFrame) -> DataFrame:
-    """Per (table, column): the classes more likely than chance, with probabilities."""
+def candidate_classes(probabilities: DataFrame, filtered: bool = False) -> DataFrame:
+    """Per (table, column): the classes more likely than chance, with probabilities.
+
+    ``filtered`` says the rows already hold such classes only.
+    """
     by_column = probabilities.groupBy("table_id", "column_id").agg(
         F.count(F.lit(1)).alias("k"),
         F.sort_array(F.collect_list(F.struct("class", "probability"))).alias("classes"),
     )
-    kept = F.filter("classes", lambda c: c["probability"] > 1.0 / F.col("k"))
+    chance = F.lit(0.0) if filtered else 1.0 / F.col("k")
+    kept = F.filter("classes", lambda c: c["probability"] > chance)
     return by_column.select("table_id", "column_id", kept.alias("classes"))
 
 
-def type_candidates(probabilities: DataFrame, top_n: int = TOP_CANDIDATES) -> DataFrame:
+def type_candidates(
+    probabilities: DataFrame, top_n: int = TOP_CANDIDATES, filtered: bool = False
+) -> DataFrame:
     """Best combinations of column types per table: (table_id, rank, types, score).
 
     The score is a sum over columns, so keeping the best ``top_n`` partial sums
     after each column gives the exact top ``top_n`` without the full product. One
     table's columns, not its rows, are gathered, so a group is a schema wide.
     """
-    per_table = candidate_classes(probabilities).groupBy("table_id").agg(
+    per_table = candidate_classes(probabilities, filtered).groupBy("table_id").agg(
         F.sort_array(F.collect_list(F.struct("column_id", "classes"))).alias("columns")
     )
     start = F.array(

@@ -16,6 +16,7 @@ from tablewright.functions.cells import (
     is_numeric_field,
 )
 from tablewright.operators.ranking import top_per_group
+from tablewright.session import durable
 
 SAMPLES = 5
 LONG_TEXT = 64
@@ -60,18 +61,6 @@ def columns_frame(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
-def _cells(df: DataFrame, fields: Sequence[T.StructField], order: Column | None = None) -> DataFrame:
-    """Long form of the table: one row per non-missing cell."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("pos"), cell_text(f).alias("value"))
-            for i, f in enumerate(fields)
-        ]
-    )
-    head = [] if order is None else [order.alias("ord")]
-    return df.select(*head, F.inline(cells)).filter(F.col("value").isNotNull())
-
-
 def _token(value: Column) -> Column:
     """A short stand-in for a value: long texts travel as a digest, not in full."""
     return F.when(F.length(value) <= LONG_TEXT, value).otherwise(
@@ -79,16 +68,85 @@ def _token(value: Column) -> Column:
     )
 
 
+def _stored_as(field: T.StructField) -> str:
+    """How a value travels through the count: whole number, time, fraction or text."""
+    kind = field.dataType
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return "boolean" if isinstance(kind, T.BooleanType) else "whole"
+    if isinstance(kind, T.TimestampType):
+        return "time"
+    if isinstance(kind, T.DateType):
+        return "date"
+    if isinstance(kind, T.DoubleType):
+        return "fraction"
+    return "text"
+
+
+def _typed_cell(field: T.StructField) -> tuple[Column, Column, Column]:
+    """(whole, fraction, text) fields of a cell; only one of them is ever filled."""
+    stored, value = _stored_as(field), clean(field)
+    whole, fraction, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if stored == "fraction":
+        fraction = value
+    elif stored == "time":
+        whole = F.unix_micros(value)
+    elif stored == "date":
+        whole = F.unix_date(value).cast("bigint")
+    elif stored in ("whole", "boolean"):
+        whole = value.cast("bigint")
+    else:
+        text = _token(cell_text(field))
+    return whole, fraction, text
+
+
+def _token_of(fields: Sequence[T.StructField]) -> Column:
+    """Text form of a counted value, made once per distinct value."""
+    stored = [_stored_as(f) for f in fields]
+
+    def at(kind: str) -> Column:
+        return F.col("pos").isin([i for i, s in enumerate(stored) if s == kind])
+
+    whole = F.col("whole")
+    forms = {
+        "whole": whole.cast("string"),
+        "boolean": whole.cast("boolean").cast("string"),
+        "time": F.timestamp_micros(whole).cast("string"),
+        "date": F.date_from_unix_date(whole.cast("int")).cast("string"),
+        "fraction": F.col("fraction").cast("string"),
+    }
+    token = F.col("text")
+    for kind, form in forms.items():
+        if kind in stored:
+            token = F.when(at(kind), form).otherwise(token)
+    return token
+
+
 def value_counts(
     df: DataFrame, key: str | Sequence[str] | None = None, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """(pos, token, n, first): rows per distinct value and the key of its first row."""
+    """(pos, token, n, first): rows per distinct value and the key of its first row.
+
+    Values are counted in their own type and turned into text afterwards, so the
+    scan formats nothing and the shuffle carries numbers, not digits.
+    """
     fields = _columns(df, columns)
-    order = None if key is None else _order(key)
-    cells = _cells(df, fields, order).withColumn("token", _token(F.col("value")))
-    first = F.min("token" if key is None else "ord").alias("first")
-    counts = cells.groupBy("pos", "token").agg(F.count(F.lit(1)).alias("n"), first)
-    # Every consumer reads all columns, so one shuffle of the pairs serves them all.
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("pos"), *[
+            v.alias(n) for v, n in zip(_typed_cell(f), ("whole", "fraction", "text"))
+        ])
+        for i, f in enumerate(fields)
+    ])
+    head = [] if key is None else [_order(key).alias("ord")]
+    parts = ["whole", "fraction", "text"]
+    filled = F.col("whole").isNotNull() | F.col("fraction").isNotNull() | F.col("text").isNotNull()
+    grouped = df.select(*head, F.inline(cells)).filter(filled).groupBy("pos", *parts)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if key is not None:
+        aggs.append(F.min("ord").alias("first"))
+    counts = grouped.agg(*aggs).withColumn("token", _token_of(fields)).drop(*parts)
+    if key is None:
+        counts = counts.withColumn("first", F.col("token"))
+    # Every consumer reads all columns, so one shuffle of the values serves them all.
     return counts.filter((F.col("n") > 0) & F.col("first").isNotNull())
 
 
@@ -345,16 +403,21 @@ def number_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def mixed_columns(df: DataFrame, key: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Columns holding both numbers and text, with the first text cells to show instead."""
+    """Columns holding both numbers and text, with the first text cells to show instead.
+
+    One pass finds the mixed columns (a flag per column reaches the driver); only
+    their cells are looked at again.
+    """
     fields = _columns(df, columns)
-    shares = number_shares(df, columns).withColumn(
+    shares = durable(number_shares(df, columns)).withColumn(
         "is_mixed", (F.col("number_share") > 0) & (F.col("number_share") < 1)
     )
-    texts = [f for f in fields if isinstance(f.dataType, T.StringType)]
-    if not texts:
-        return shares.withColumn("override", F.array().cast("array<string>"))
+    mixed = [r["pos"] for r in shares.filter("is_mixed").select("pos").collect()]
+    none = F.array().cast("array<string>")
+    if not mixed:
+        return shares.withColumn("override", none)
     cells = F.array(*[
-        F.struct(F.lit(fields.index(f)).alias("pos"), cell_text(f).alias("value")) for f in texts
+        F.struct(F.lit(i).alias("pos"), cell_text(fields[i]).alias("value")) for i in mixed
     ])
     words = (
         df.select(_order(key).alias("ord"), F.inline(cells))
@@ -365,9 +428,7 @@ def mixed_columns(df: DataFrame, key: str | Sequence[str], columns: Sequence[str
         F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("_o")
     ).select("pos", F.col("_o.value").alias("override"))
     return shares.join(F.broadcast(override), "pos", "left").withColumn(
-        "override",
-        F.when(F.col("is_mixed"), F.coalesce("override", F.array().cast("array<string>")))
-        .otherwise(F.array().cast("array<string>")),
+        "override", F.coalesce("override", none)
     )
 
 

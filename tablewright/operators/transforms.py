@@ -445,18 +445,25 @@ class RangeNumber(_Fit):
 
 
 class ListColumnsModel(_Fitted):
-    def outputs(self, field, state):
-        elements = parts.list_elements(q(field.name))
-        if state["kind"] == "categories":
-            return [
-                F.array_contains(elements, v).cast("int").alias(f"{field.name}_{v}")
-                for v in state["values"]
-            ]
-        if state["kind"] == "fixed":
-            return [
-                F.get(elements, F.lit(i)).alias(f"{field.name}_{i}") for i in range(state["length"])
-            ]
-        return [F.coalesce(q(field.name), F.lit("0")).alias(f"{field.name}_as_sentence")]
+    def _transform(self, df):
+        state = self.getState()
+        columns = self.getColumns()
+        # A projection of its own: each list is split once for all its columns.
+        split = df.withColumns({
+            f"_list_{c}": parts.list_elements(q(c)) for c in columns if state[c]["kind"] != "text"
+        })
+        added = []
+        for c in columns:
+            elements, kind = q(f"_list_{c}"), state[c]["kind"]
+            if kind == "categories":
+                added += [
+                    F.array_contains(elements, v).cast("int").alias(f"{c}_{v}") for v in state[c]["values"]
+                ]
+            elif kind == "fixed":
+                added += [F.get(elements, F.lit(i)).alias(f"{c}_{i}") for i in range(state[c]["length"])]
+            else:
+                added.append(F.coalesce(q(c), F.lit("0")).alias(f"{c}_as_sentence"))
+        return split.select(*[q(c) for c in df.columns if c not in columns], *added)
 
 
 class ListColumns(_Fit):
@@ -683,18 +690,23 @@ def text_terms(col: Column) -> Column:
 
 
 def text_vocabulary(df: DataFrame, column: str, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(term, uses, docs, total): the most used terms, ties by term."""
+    """(term, uses, docs, total): the most used terms, ties by term.
+
+    Each text is split once; its terms count as uses, its different terms as docs.
+    """
+    def counted(terms: Column, use: int, doc: int) -> Column:
+        return F.transform(
+            terms, lambda t: F.struct(t.alias("term"), F.lit(use).alias("use"), F.lit(doc).alias("doc"))
+        )
+
     terms = df.select(text_terms(q(column)).alias("terms"))
-    uses = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
-    top = uses.orderBy(F.col("uses").desc(), F.col("term")).limit(max_terms)
-    in_docs = (
-        terms.select(F.explode(F.array_distinct("terms")).alias("term"))
-        .join(F.broadcast(top.select("term")), "term")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("docs"))
+    both = F.concat(counted(F.col("terms"), 1, 0), counted(F.array_distinct("terms"), 0, 1))
+    uses = terms.select(F.inline(both)).groupBy("term").agg(
+        F.sum("use").alias("uses"), F.sum("doc").alias("docs")
     )
+    top = uses.orderBy(F.col("uses").desc(), F.col("term")).limit(max_terms)
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    return top.join(F.broadcast(in_docs), "term").crossJoin(F.broadcast(total))
+    return top.crossJoin(F.broadcast(total))  # one row
 
 
 class TextTfIdfModel(_Fitted):

@@ -28,6 +28,8 @@ from tablewright.operators.infer import (
 )
 
 TEXT_DIMENSIONS = 70
+# Most frequent terms kept per vocabulary: the PCA works on a matrix of that width.
+MAX_VOCABULARY = 400
 MOMENTS = ["total_vals", "num_nans", "num_of_dist_val", "mean", "std_dev", "min_val", "max_val", "pct_dist_val", "pct_nans"]
 SHAPE = [
     f"{p}_{m}"
@@ -60,10 +62,10 @@ def _tokens(source: str, out: str) -> RegexTokenizer:
     return RegexTokenizer(inputCol=source, outputCol=out, pattern=r"\w\w+", gaps=False)
 
 
-def _shared_cells(prepared: DataFrame, binary: bool = False) -> list[str]:
+def _shared_cells(prepared: DataFrame) -> list[str]:
     """Cell vocabulary fitted on the first and second sample together."""
     both = prepared.select(F.col("cell_1").alias("cell")).union(prepared.select("cell_2"))
-    fitted = CountVectorizer(inputCol="t", outputCol="v", binary=binary).fit(
+    fitted = CountVectorizer(inputCol="t", outputCol="v", vocabSize=MAX_VOCABULARY).fit(
         _tokens("cell", "t").transform(both)
     )
     return fitted.vocabulary
@@ -76,7 +78,7 @@ def feature_stages(prepared: DataFrame, stage: int, k: int = TEXT_DIMENSIONS) ->
     keeps the text vectors and adds sample shape and digit counts instead.
     """
     vocabulary = _shared_cells(prepared) or ["nothing"]
-    stages = [_tokens("name_text", "name_tokens"), CountVectorizer(inputCol="name_tokens", outputCol="name_vec")]
+    stages = [_tokens("name_text", "name_tokens"), CountVectorizer(inputCol="name_tokens", outputCol="name_vec", vocabSize=MAX_VOCABULARY)]
     for i in (1, 2):
         stages.append(_tokens(f"cell_{i}", f"cell_tokens_{i}"))
         stages.append(CountVectorizerModel.from_vocabulary(vocabulary, f"cell_tokens_{i}", f"cell_vec_{i}"))
