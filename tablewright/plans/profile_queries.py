@@ -106,7 +106,10 @@ flagged AS (SELECT *, has_delimiters AND mean_char_count < 100 AS is_list, mean_
 
 SHAPE = ["word_count", "stopword_total", "char_count", "whitespace_count", "delim_count"]
 FLAGS = ["has_delimiters", "has_url", "has_email", "has_date", "is_list", "is_long_sentence"]
-NAMED = [F.col("column").alias("column_name")]
+
+
+def named():
+    return F.col("column").alias("column_name")
 
 
 def rounded(*names, digits=6):
@@ -124,7 +127,7 @@ def rounded(*names, digits=6):
 def p1_counts(spark, sf_dir):
     return per_table(
         spark, sf_dir, PROFILED,
-        lambda df, key, cols: P.column_stats(df, cols).select(*NAMED, "total_vals", "num_nans", "num_of_dist_val"),
+        lambda df, key, cols: P.column_stats(df, cols).select(named(), "total_vals", "num_nans", "num_of_dist_val"),
     )
 
 
@@ -144,7 +147,7 @@ def p2_moments(spark, sf_dir):
     return per_table(
         spark, sf_dir, MOMENTS,
         lambda df, key, cols: P._moments(df, [df.schema[c] for c in cols], False).select(
-            *NAMED, *rounded("mean", "std_dev", digits=4), "min_val", "max_val"
+            named(), *rounded("mean", "std_dev", digits=4), "min_val", "max_val"
         ),
     )
 
@@ -160,11 +163,14 @@ def p2_moments(spark, sf_dir):
 def p3_ratios(spark, sf_dir):
     return per_table(
         spark, sf_dir, PROFILED,
-        lambda df, key, cols: P.column_stats(df, cols).select(*NAMED, *rounded("pct_dist_val", "pct_nans")),
+        lambda df, key, cols: P.column_stats(df, cols).select(named(), *rounded("pct_dist_val", "pct_nans")),
     )
 
 
-SAMPLE_COLUMNS = [F.col("samples")[i].alias(f"sample_{i + 1}") for i in range(5)]
+def sample_columns():
+    return [F.col("samples")[i].alias(f"sample_{i + 1}") for i in range(5)]
+
+
 SAMPLE_SQL = ", ".join(f"s[{i}] AS sample_{i}" for i in range(1, 6))
 
 
@@ -172,7 +178,7 @@ SAMPLE_SQL = ", ".join(f"s[{i}] AS sample_{i}" for i in range(1, 6))
 def p4_samples(spark, sf_dir):
     return per_table(
         spark, sf_dir, SAMPLED,
-        lambda df, key, cols: P.column_samples(df, key, columns=cols).select(*NAMED, *SAMPLE_COLUMNS),
+        lambda df, key, cols: P.column_samples(df, key, columns=cols).select(named(), *sample_columns()),
     )
 
 
@@ -189,7 +195,7 @@ def p5_sample_shape(spark, sf_dir):
     return per_table(
         spark, sf_dir, SAMPLED,
         lambda df, key, cols: P.sample_shape(P.column_samples(df, key, columns=cols)).select(
-            *NAMED, *rounded(*_shape_names())
+            named(), *rounded(*_shape_names())
         ),
     )
 
@@ -202,7 +208,7 @@ def p5_sample_shape(spark, sf_dir):
 def p6_pattern_flags(spark, sf_dir):
     return per_table(
         spark, sf_dir, SAMPLED,
-        lambda df, key, cols: P.sample_shape(P.column_samples(df, key, columns=cols)).select(*NAMED, *FLAGS[:4]),
+        lambda df, key, cols: P.sample_shape(P.column_samples(df, key, columns=cols)).select(named(), *FLAGS[:4]),
     )
 
 
@@ -214,7 +220,7 @@ def p6_pattern_flags(spark, sf_dir):
 def p7_list_flags(spark, sf_dir):
     return per_table(
         spark, sf_dir, SAMPLED,
-        lambda df, key, cols: P.sample_shape(P.column_samples(df, key, columns=cols)).select(*NAMED, *FLAGS[4:]),
+        lambda df, key, cols: P.sample_shape(P.column_samples(df, key, columns=cols)).select(named(), *FLAGS[4:]),
     )
 
 
@@ -236,8 +242,8 @@ def p8_profile(spark, sf_dir):
     return per_table(
         spark, sf_dir, PROFILED,
         lambda df, key, cols: P.profile(df, key, cols).select(
-            *NAMED, "total_vals", "num_nans", "num_of_dist_val", *rounded("mean", "std_dev", digits=4),
-            "min_val", "max_val", *rounded("pct_dist_val", "pct_nans"), *SAMPLE_COLUMNS, *FLAGS,
+            named(), "total_vals", "num_nans", "num_of_dist_val", *rounded("mean", "std_dev", digits=4),
+            "min_val", "max_val", *rounded("pct_dist_val", "pct_nans"), *sample_columns(), *FLAGS,
             *rounded(*_shape_names()),
         ),
     )
@@ -290,7 +296,7 @@ def p11_mean_tokens(spark, sf_dir):
     return per_table(
         spark, sf_dir, SAMPLED,
         lambda df, key, cols: P.mean_sample_tokens(P.column_samples(df, key, columns=cols)).select(
-            *NAMED, *rounded("mean_tokens")
+            named(), *rounded("mean_tokens")
         ),
     )
 
@@ -308,7 +314,7 @@ def p11_mean_tokens(spark, sf_dir):
 def p12_category_size(spark, sf_dir):
     return per_table(
         spark, sf_dir, PROFILED,
-        lambda df, key, cols: P.category_size(df, cols).select(*NAMED, "category_size"),
+        lambda df, key, cols: P.category_size(df, cols).select(named(), "category_size"),
     )
 
 
@@ -343,7 +349,7 @@ def p13_mixed(spark, sf_dir):
     return per_table(
         spark, sf_dir, MIXED,
         lambda df, key, cols: P.mixed_columns(df, key, cols).select(
-            *NAMED, *rounded("number_share"), "is_mixed", F.array_join("override", "|").alias("override")
+            named(), *rounded("number_share"), "is_mixed", F.array_join("override", "|").alias("override")
         ),
     )
 
@@ -372,7 +378,7 @@ def p15_digits(spark, sf_dir):
     return per_table(
         spark, sf_dir, SAMPLED,
         lambda df, key, cols: P.sample_digits(P.column_samples(df, key, columns=cols)).select(
-            *NAMED, *rounded("num_number_characters", "num_separated_tokens"), "comma_include"
+            named(), *rounded("num_number_characters", "num_separated_tokens"), "comma_include"
         ),
     )
 
@@ -414,7 +420,7 @@ def p18_missing_pct(spark, sf_dir):
     return per_table(
         spark, sf_dir, PROFILED,
         lambda df, key, cols: P._moments(df, [df.schema[c] for c in cols], False).select(
-            *NAMED, display_missing_pct(F.col("num_nans"), F.col("total_vals")).alias("missing_pct")
+            named(), display_missing_pct(F.col("num_nans"), F.col("total_vals")).alias("missing_pct")
         ),
     )
 

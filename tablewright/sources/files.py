@@ -14,7 +14,6 @@ from tablewright.functions.text import markup_lines, text_blocks
 from tablewright.operators.describe import sidecar_text
 from tablewright.operators.licences import MISSING
 
-REPLACEMENT = "�"
 PATH_LEVELS = ("data_source", "dataset_id", "qid")
 
 METADATA = T.StructType([
@@ -45,7 +44,7 @@ def badly_encoded(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
     lines = spark.read.text(list([paths] if isinstance(paths, str) else paths))
     bad = (
         lines.select(F.col("_metadata.file_path").alias("file"), "value")
-        .filter(F.instr("value", F.lit(REPLACEMENT)) > 0)
+        .filter(~F.is_valid_utf8("value"))
         .select("file")
         .distinct()
     )
