@@ -82,20 +82,18 @@ def histogram(df: DataFrame, column: str, bins: int | str = "doane") -> DataFram
     if isinstance(bins, int):
         edges = edges.withColumn("bins", F.lit(bins))
     value = F.col(column).cast("double")
-    placed = df.select(value.alias("v")).filter(F.col("v").isNotNull()).crossJoin(
-        F.broadcast(edges.withColumnsRenamed({"low": "_low", "high": "_high"}))  # one row
-    )
-    width = (F.col("_high") - F.col("_low")) / F.col("bins")
+    edge = edges.select(F.struct("low", "high", "bins")).first()[0]  # one row
+    if edge["low"] is None:
+        edge = {"low": 0.0, "high": 0.0, "bins": 1}
+    low, high, count = F.lit(edge["low"]), F.lit(edge["high"]), F.lit(edge["bins"])
+    width = (high - low) / count
     return (
-        placed.groupBy(
-            bin_of(F.col("v"), F.col("_low"), F.col("_high"), F.col("bins")).alias("bin"), "_low", "_high", "bins"
-        )
+        df.select(bin_of(value, low, high, count).alias("bin"))
+        .filter(F.col("bin").isNotNull())
+        .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(
-            "bin",
-            (F.col("_low") + (F.col("bin") - 1) * width).alias("low"),
-            (F.col("_low") + F.col("bin") * width).alias("high"),
-            "n",
+            "bin", (low + (F.col("bin") - 1) * width).alias("low"), (low + F.col("bin") * width).alias("high"), "n"
         )
     )
 

@@ -277,4 +277,4 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     overall = cells.agg(
         (F.sum(F.when(F.col(label) == F.col(prediction), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy")
     )
-    return cells.crossJoin(F.broadcast(overall))  # one row
+    return cells.withColumn("accuracy", overall.scalar())

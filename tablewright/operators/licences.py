@@ -114,11 +114,11 @@ def license_notices(df: DataFrame, license: str = "license") -> DataFrame:
         F.create_map(*[F.lit(x) for pair in NOTICES.items() for x in pair]), F.col("category")
     )
     revocable = F.when(F.col(license).startswith(REVOCABLE_PREFIX), REVOCABLE_NOTICE)
-    any_nc = groups.agg(F.bool_or(F.col("category") == "noncommercial").alias("_nc"))
-    return groups.crossJoin(F.broadcast(any_nc)).select(  # one row
+    any_nc = df.agg(F.bool_or(license_category(F.col(license)) == "noncommercial")).scalar()
+    return groups.select(
         license,
         "category",
         "datasets",
         F.concat_ws(" ", notice, revocable).alias("notice"),
-        F.when(F.col("_nc"), CORPUS_NOTICE).otherwise("").alias("corpus_notice"),
+        F.when(any_nc, CORPUS_NOTICE).otherwise("").alias("corpus_notice"),
     )

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import text_blocks
-from tablewright.operators.ranking import SALTS, SMALL_ROWS
+from tablewright.operators.ranking import SMALL_ROWS, slices
+from tablewright.session import durable
 
 
 def url_host(url: Column) -> Column:
@@ -46,7 +47,7 @@ def main_text(
     html: str = "html",
     max_page_share: float = 0.5,
     min_pages: int = 3,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """(page, text): each page without the blocks its host repeats.
 
@@ -55,10 +56,11 @@ def main_text(
     tasks; each page's own text moves at most once, by its unique key.
     """
     ids = page_block_ids(pages, page, url, html)
-    repeated = repeated_blocks(pages, ids, url, max_page_share, min_pages)
+    repeated = durable(repeated_blocks(pages, ids, url, max_page_share, min_pages))
     if repeated.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         hits = ids.join(F.broadcast(repeated), ["host", "block_id"])
     else:
+        salts = salts or slices(pages)
         salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
         salted = ids.withColumn("_salt", F.pmod(F.xxhash64(page), F.lit(salts)).cast("int"))
         hits = salted.join(repeated.withColumn("_salt", salt), ["host", "block_id", "_salt"])

@@ -323,10 +323,22 @@ def profile_catalog(tables: dict[str, tuple[DataFrame, str | Sequence[str] | Non
 
 def first_values(df: DataFrame, key: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """First non-missing value of each column in row order."""
-    firsts = column_samples(df, key, 1, columns)
-    return firsts.select(
-        "pos", "column", "dtype", F.when(F.col("has_values"), F.col("samples")[0]).alias("value")
-    )
+    fields = _columns(df, columns)
+    order = _order(key)
+    aggs = [
+        F.min_by(cell_text(f), F.when(cell_text(f).isNotNull(), order)).alias(f"v{i}")
+        for i, f in enumerate(fields)
+    ]
+    rows = [
+        F.struct(
+            F.lit(i).alias("pos"),
+            F.lit(f.name).alias("column"),
+            F.lit(value_type_name(f)).alias("dtype"),
+            F.col(f"v{i}").alias("value"),
+        )
+        for i, f in enumerate(fields)
+    ]
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
 def first_value_castable(df: DataFrame, key, columns=None) -> DataFrame:

@@ -13,22 +13,29 @@ SALTS = 64
 SMALL_ROWS = 200_000
 
 
+def slices(df: DataFrame) -> int:
+    """Slices to cut a hot group into; grows with the shuffle partitions."""
+    return max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def top_per_group(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[Column],
     k: int,
     spread: Sequence[str] = (),
-    salts: int = SALTS,
+    salts: int | None = None,
     rank: str = "rank",
 ) -> DataFrame:
     """First ``k`` rows of every group, ranked from 1.
 
     With ``spread`` columns a hot group is first cut to ``k`` rows inside each of
-    ``salts`` slices, so the last ranking sees at most ``salts * k`` rows per group.
+    ``salts`` slices (at least one per shuffle partition), so the last ranking sees
+    at most ``salts * k`` rows per group.
     """
     rows = df
     if spread:
+        salts = salts or slices(df)
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
         slice_window = Window.partitionBy(*by, "_salt").orderBy(*order)
         rows = (
@@ -84,8 +91,10 @@ def ordered_prefix(
 def small_or_shuffled(lookup: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Broadcast a lookup only when a count shows it is small.
 
-    A larger one is joined by shuffle, where adaptive execution splits hot keys.
+    The lookup is written once, then counted and joined. A larger one is joined by
+    shuffle, where adaptive execution splits hot keys.
     """
+    lookup = durable(lookup)
     if lookup.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(lookup)
     return lookup
@@ -102,8 +111,12 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     ranked = ordered_prefix(counts, ["_v"], by, weight="_n", out="_upto")
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    placed = ranked.join(small_or_shuffled(sizes), by) if by else ranked.crossJoin(F.broadcast(sizes))
+    # The ranked counts are already written, so the table itself is read once.
+    sizes = ranked.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    if by:
+        placed = ranked.join(small_or_shuffled(sizes), by)
+    else:
+        placed = ranked.withColumn("_size", sizes.scalar())
     picks = []
     for i, p in enumerate(probs):
         at = (F.col("_size") - 1) * F.lit(float(p))

@@ -67,7 +67,8 @@ def doane_bins(df: DataFrame, column: str) -> DataFrame:
 def bin_of(value: Column, low: Column, high: Column, bins: Column) -> Column:
     """Half-open bins from 1; the largest value belongs to the last."""
     return (
-        F.when(low == high, F.lit(1))
+        F.when(value.isNull(), F.lit(None))
+        .when(low == high, F.lit(1))
         .when(value == high, bins)
         .otherwise(F.width_bucket(value, low, high, bins))
         .cast("int")

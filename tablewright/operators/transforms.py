@@ -705,8 +705,7 @@ def text_vocabulary(df: DataFrame, column: str, max_terms: int = MAX_TERMS) -> D
         F.sum("use").alias("uses"), F.sum("doc").alias("docs")
     )
     top = uses.orderBy(F.col("uses").desc(), F.col("term")).limit(max_terms)
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return top.crossJoin(F.broadcast(total))  # one row
+    return top.withColumn("total", df.agg(F.count(F.lit(1))).scalar())
 
 
 class TextTfIdfModel(_Fitted):

@@ -151,12 +151,8 @@ def read_column_notes(spark: SparkSession, path: str, columns: Sequence[str]) ->
     )
     matched = parsed.select(F.col("c.name").alias("column"), F.col("c.description").alias("description"))
     matched = matched.filter(F.col("column").isin(*columns))
-    gap = matched.agg(F.coalesce(F.bool_or(F.col("description").isNull()), F.lit(False)).alias("_gap"))
-    return (
-        matched.crossJoin(F.broadcast(gap))  # one row
-        .filter(~F.col("_gap") & (F.col("description") != ""))
-        .drop("_gap")
-    )
+    gap = matched.agg(F.coalesce(F.bool_or(F.col("description").isNull()), F.lit(False))).scalar()
+    return matched.filter(~gap & (F.col("description") != ""))
 
 
 def read_sidecar(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
