@@ -168,7 +168,13 @@ def type_profile(df: DataFrame, key: str | Sequence[str] | None = None, columns:
     out = out.join(F.broadcast(sizes), "pos")
     if not short:
         return out.withColumn("parts", F.lit(1))
-    splits = detect_splits(df, short).select("column", "parts")  # one row per text column
+    names = df.columns if columns is None else list(columns)
+    renumbered = F.create_map(*[F.lit(x) for i, c in enumerate(short) for x in (names.index(c), i)])
+    text_counts = counts.withColumn("pos", F.try_element_at(renumbered, F.col("pos"))).filter(
+        F.col("pos").isNotNull()
+    )
+    # One row per text column.
+    splits = detect_splits(df, short, text_counts).select("column", "parts")
     return out.join(F.broadcast(splits), "column", "left").withColumn(
         "parts", F.coalesce("parts", F.lit(1))
     )

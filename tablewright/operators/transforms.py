@@ -29,7 +29,7 @@ from tablewright.functions.cells import (
     is_numeric_field,
     to_number,
 )
-from tablewright.operators.profile import resolve_tokens, value_counts
+from tablewright.operators.profile import DIGEST_MARK, LONG_TEXT, resolve_tokens, value_counts
 from tablewright.operators.ranking import ordered_prefix, top_per_group
 from tablewright.session import durable, fresh_path
 
@@ -503,16 +503,32 @@ class ListColumns(_Fit):
 # --- formatted IDs ----------------------------------------------------------
 
 
-def detect_splits(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(pos, column, separator, parts): parts is above 1 where all cells agree."""
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), q(c).cast("string").alias("value"))
+def _split_values(df: DataFrame, columns: Sequence[str], counts: DataFrame | None) -> DataFrame:
+    """(pos, value, n): the filled cells of the columns, distinct where already counted."""
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pos"), q(c).cast("string").alias("value"))
         for i, c in enumerate(columns)
-    ])
+    ]))).filter(F.col("value").isNotNull())
+    each = cells.select("pos", "value", F.lit(1).cast("bigint").alias("n"))
+    if counts is None:
+        return each
+    # Counted values stand for all their cells; only long texts are read again.
+    short = counts.filter(~F.col("token").startswith(DIGEST_MARK))
+    return short.select("pos", F.col("token").alias("value"), "n").unionByName(
+        each.filter(F.length("value") > LONG_TEXT)
+    )
+
+
+def detect_splits(
+    df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None
+) -> DataFrame:
+    """(pos, column, separator, parts): parts is above 1 where all cells agree.
+
+    ``counts`` may give the value counts of the columns, numbered in their order.
+    """
     found = (
-        df.select(F.inline(cells))
-        .filter(F.col("value").isNotNull())
-        .select("pos", "column", parts.cell_separator(F.col("value")).alias("sep"), "value")
+        _split_values(df, columns, counts)
+        .select("pos", "n", parts.cell_separator(F.col("value")).alias("sep"), "value")
         .withColumn(
             "count",
             F.coalesce(
@@ -521,11 +537,11 @@ def detect_splits(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             ).cast("int"),
         )
     )
-    by_sep = found.groupBy("pos", "column", "sep").agg(
-        F.count(F.lit(1)).alias("n"), F.min("count").alias("least"), F.max("count").alias("most")
+    by_sep = found.groupBy("pos", "sep").agg(
+        F.sum("n").alias("n"), F.min("count").alias("least"), F.max("count").alias("most")
     )
     # Few separators per column are left; the most frequent wins, ties by value.
-    best = by_sep.groupBy("pos", "column").agg(
+    best = by_sep.groupBy("pos").agg(
         F.min("least").alias("least"),
         F.max("most").alias("most"),
         F.min(F.when(F.col("sep").isNotNull(), F.struct((-F.col("n")).alias("n"), "sep"))).alias("top"),
@@ -533,7 +549,7 @@ def detect_splits(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     agreed = (F.col("least") == F.col("most")) & (F.col("most") > 1)
     return best.select(
         "pos",
-        "column",
+        F.element_at(F.lit(list(columns)), F.col("pos") + 1).alias("column"),
         F.when(agreed, F.col("top.sep")).alias("separator"),
         F.when(agreed, F.col("most")).otherwise(F.lit(1)).alias("parts"),
     )
