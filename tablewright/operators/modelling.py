@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -13,10 +14,14 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import infer as I
 from tablewright.operators import transforms as X
+from tablewright.operators.sampling import capped_sample, hash_split
+from tablewright.session import durable
 
 # Boosted-tree budget.
 ROUNDS, DEPTH, RATE = 30, 3, 0.25
 MAX_ROUNDS = 3
+# Rows per class that candidates are fitted and checked on.
+TRAIN_ROWS, VALIDATION_ROWS = 200, 80
 READY = (I.NUMERIC, I.CATEGORICAL, I.SENTENCE)
 
 TRANSFORMS = {
@@ -106,11 +111,13 @@ def build_pipeline(
             continue
         column["labelCol"] = f"{target}_index"
         index = StringIndexer(inputCol=target, outputCol=f"{target}_index", handleInvalid="keep")
-        last = (
-            GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=RATE, **column)
-            if learner == "gbt"
-            else RandomForestClassifier(**column)
-        )
+        if learner == "gbt":  # boosted trees tell two classes apart, so one model per class
+            trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=RATE, seed=seed)
+            last = OneVsRest(
+                classifier=trees, labelCol=column["labelCol"], predictionCol=column["predictionCol"]
+            )
+        else:
+            last = RandomForestClassifier(**column)
         pipelines.append(Pipeline(stages=[*shared, index, last]))
     return pipelines
 
@@ -159,7 +166,47 @@ def score_candidates(
                 names.append(target)
             labels = targets if task == "regression" else [f"{t}_index" for t in targets]
             value = score(predicted, labels, [f"{t}_predicted" for t in targets], task).first()["score"]
-        except (ValueError, ArithmeticError):
+        except (PySparkException, ValueError, ArithmeticError):
             continue
         scored.append((rank, list(types.values()), float(value)))
     return scored
+
+
+def search_types(
+    df: DataFrame,
+    key: str | Sequence[str],
+    targets: Sequence[str],
+    task: str,
+    model,
+    top_n: int = I.TOP_CANDIDATES,
+    learner: str = "gbt",
+) -> dict[str, int]:
+    """Column types that let a model predict the targets best.
+
+    Candidates come from a fitted type classifier on the training part. Each is
+    scored on capped samples, which are written once for all candidates. Without
+    a candidate that can be scored, the plain prediction is returned.
+    """
+    spark = df.sparkSession
+    keys = [key] if isinstance(key, str) else list(key)
+    inputs = [c for c in df.columns if c not in (*keys, *targets)]
+    parts = hash_split(df, key)
+    train = parts.filter(F.col("split") == "train").drop("split")
+    validation = parts.filter(F.col("split") == "validation").drop("split")
+    profiles = durable(I.type_profile(train, key, inputs).withColumn("table", F.lit("input")))
+    found = I.type_candidates(model.probabilities(profiles), top_n, filtered=True)
+    candidates = [dict(zip(inputs, r["types"])) for r in found.orderBy("rank").collect()]
+    scored = score_candidates(
+        durable(capped_sample(train, targets[0], TRAIN_ROWS, key, task)),
+        durable(capped_sample(validation, targets[0], VALIDATION_ROWS, key, task)),
+        candidates,
+        targets,
+        task,
+        learner,
+    )
+    if not scored:
+        return {r["column"]: r["type"] for r in model.transform(profiles).select("column", "type").collect()}
+    rows = spark.createDataFrame(
+        [(0, *s) for s in scored], "table_id int, rank int, types array<int>, score double"
+    )
+    return dict(zip(inputs, I.best_candidate(rows).first()["types"]))

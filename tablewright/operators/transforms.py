@@ -35,7 +35,7 @@ from tablewright.session import durable, fresh_path
 
 MAX_ELEMENTS = 500
 MAX_TERMS = 100
-INLINE_CATEGORIES = 10_000
+INLINE_CATEGORIES = 256
 
 
 def q(name: str) -> Column:

@@ -181,3 +181,27 @@ def test_models_per_target_and_score(spark):
     assert [s[0] for s in scored] == [1, 2] and scored[0][2] == 1.0
     (regression,) = Mo.build_pipeline(types, ["x"], "regression", "gbt")
     assert "x_predicted" in regression.fit(df).transform(df).columns
+
+
+def test_boosted_trees_tell_three_classes_apart(spark):
+    rows = [(i, float(i % 3), i % 3) for i in range(60)]
+    df = frame(spark, rows, "k int, x double, y int")
+    ((_, _, score),) = Mo.score_candidates(df, df, [{"x": 0}], ["y"], "classification")
+    assert score == 1.0
+
+
+class GivenProbabilities:
+    """Stands for a type classifier: two likely types for the first column."""
+
+    def probabilities(self, profiles):
+        rows = [("input", 0, 0, 0.5), ("input", 0, 8, 0.4), ("input", 1, 1, 0.9)]
+        return profiles.sparkSession.createDataFrame(
+            rows, "table_id string, column_id int, class int, probability double"
+        )
+
+
+def test_search_prefers_the_type_that_predicts(spark):
+    rows = [(i, f"{i % 8 + 1} {('g', 'kg')[i % 2]}", ("u", "v")[i % 3 == 0], i % 2) for i in range(400)]
+    df = frame(spark, rows, "k int, weight string, c string, y int")
+    got = Mo.search_types(df, "k", ["y"], "classification", GivenProbabilities(), learner="rf")
+    assert got == {"weight": 8, "c": 1}
