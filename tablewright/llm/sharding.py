@@ -114,7 +114,7 @@ def splitters(
             step = max(1, width // (PROBES * PROBES))
             wanted.update(a + width * k // (PROBES + 1) for k in range(1, PROBES + 1))
             wanted.update(guess + step * k for k in range(-PROBES // 2, PROBES // 2 + 1))
-            wanted.update((a + 1, b))
+            wanted.update((a, a + 1, b, b + 1))
         seen = gaps(slim, column, np.array(sorted(p for p in wanted if LEAST < p <= MOST), dtype=np.int64))
         starts = np.array([g[0] for g in seen], dtype=np.float64)
         for i in bracket.keys() - found.keys():
