@@ -14,6 +14,20 @@ def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablewright.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tablewright.llm.bpe import encode
+
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablewright.llm.sharding import shards
 
@@ -30,7 +44,7 @@ def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_fair_mix, op9_histogram_shards, op10_multiset_fingerprint,
+    op2_fair_mix, op6_posting_lists, op7_backtracking_bpe, op9_histogram_shards, op10_multiset_fingerprint,
 )}
 
 SQL: dict[str, str] = {}
