@@ -14,6 +14,13 @@ def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_hashed_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablewright.llm.language import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
 def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablewright.llm.ann import search
 
@@ -44,7 +51,7 @@ def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_fair_mix, op6_posting_lists, op7_backtracking_bpe, op9_histogram_shards, op10_multiset_fingerprint,
+    op2_fair_mix, op4_hashed_language, op6_posting_lists, op7_backtracking_bpe, op9_histogram_shards, op10_multiset_fingerprint,
 )}
 
 SQL: dict[str, str] = {}
