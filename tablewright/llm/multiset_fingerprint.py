@@ -45,15 +45,20 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, PIECES), F.trim), lambda p: p != "")
 
 
-def fingerprint_words(pieces: Column) -> Column:
-    """Packed lanes: one word with the count, then 16 words of four lanes for each seed."""
-    count = F.size(pieces).cast("long").bitwiseAND(F.lit(LANE).cast("long"))
-    words = F.array(count)
+def with_words(docs: DataFrame, text: Column, name: str) -> DataFrame:
+    """``docs`` with the packed lanes of a text in column ``name``.
+
+    One word holds the count, then come 16 words of four lanes for each seed.
+    Pieces and hashes are columns of their own on the way, so each is made once.
+    """
+    pieces, hashes = f"_{name}_pieces", [f"_{name}_{seed}" for seed in SEEDS]
+    step = docs.withColumn(pieces, paragraphs(text)).withColumns({
+        column: _hashes(F.col(pieces), seed) for column, seed in zip(hashes, SEEDS, strict=True)
+    })
     zero = F.lit(0).cast("long")
-    for seed in SEEDS:
-        hashes = _hashes(pieces, seed)
-        words = F.concat(words, F.array(*[F.aggregate(hashes, zero, _adds(shift)) for shift in range(16)]))
-    return words
+    count = F.size(hashes[0]).cast("long").bitwiseAND(F.lit(LANE).cast("long"))
+    lanes = [F.aggregate(column, zero, _adds(shift)) for column in hashes for shift in range(16)]
+    return step.drop(pieces).withColumn(name, F.array(count, *lanes)).drop(*hashes)
 
 
 def _hashes(pieces: Column, seed: int) -> Column:
@@ -104,22 +109,30 @@ def _dot(left: Column, right: Column) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
 
-def likeness(left: str, right: str, left_signs: str, right_signs: str) -> Column:
-    """Between 0 and 1; see the module. The sign vectors come from ``with_signs``."""
-    norm = F.sqrt(_dot(F.col(left_signs), F.col(left_signs)) * _dot(F.col(right_signs), F.col(right_signs)))
-    cosine = F.when(norm > 0, _dot(F.col(left_signs), F.col(right_signs)) / norm).otherwise(0.0)
+def likeness(left: str, right: str) -> Column:
+    """Between 0 and 1; see the module. Both names come from ``with_signs``."""
+    norm = F.sqrt(F.col(f"{left}_square") * F.col(f"{right}_square"))
+    cosine = F.when(norm > 0, _dot(F.col(f"{left}_signs"), F.col(f"{right}_signs")) / norm).otherwise(0.0)
     return F.when(F.col(left) == F.col(right), 1.0).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine))
     )
 
 
+def with_signs(docs: DataFrame, *names: str) -> DataFrame:
+    """What ``likeness`` needs of the packed fingerprints in these columns."""
+    signed = docs.withColumns({f"{n}_signs": _signs(F.col(n)) for n in names})
+    return signed.withColumns({f"{n}_square": _dot(F.col(f"{n}_signs"), F.col(f"{n}_signs")) for n in names})
+
+
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` with the packed fingerprint of each whole text in column ``name``."""
-    return docs.withColumn(name, fingerprint_words(paragraphs(text_or_empty(text))))
+    return with_words(docs, text_or_empty(text), name)
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(doc_id, text, next_text): each document beside the one after it by descending doc_id.
+    """(doc_id, text, own, next_text, next): each document beside the one after it by descending doc_id.
+
+    ``own`` and ``next`` are the fingerprints of the two texts.
 
     After the last comes the first. Rows of the same doc_id follow each other by
     text; a null doc_id comes last. doc_id must be a number. Documents are cut
@@ -135,22 +148,22 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     # one id per range: a small, bounded result
     firsts = rows.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("doc_id")).orderBy("bucket").collect()
     if not firsts:
-        return rows.withColumn("next_text", F.lit(""))
+        return fingerprints(rows, name="own").withColumns({"next_text": F.lit(""), "next": F.col("own")})
     before = {f["bucket"]: firsts[(i + 1) % len(firsts)]["bucket"] for i, f in enumerate(firsts)}
     to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
     first_id = F.create_map(*[F.lit(x).cast("long") if i % 2 else F.lit(x) for f in firsts for i, x in enumerate((f["bucket"], f["doc_id"]))])
-    placed = rows.withColumn("bucket", bucket)
+    placed = fingerprints(rows, name="own").withColumn("bucket", bucket)
     is_first = F.col("doc_id").eqNullSafe(first_id[F.col("bucket")])
     own = F.struct(F.col("bucket").alias("at"), F.lit(0).alias("copy"))
     copied = F.struct(to[F.col("bucket")].alias("at"), F.lit(1).alias("copy"))
     placed = placed.select(
-        "doc_id", "text", F.explode(F.when(is_first, F.array(own, copied)).otherwise(F.array(own))).alias("place")
-    ).select("doc_id", "text", "place.at", "place.copy")
+        "doc_id", "text", "own", F.explode(F.when(is_first, F.array(own, copied)).otherwise(F.array(own))).alias("place")
+    ).select("doc_id", "text", "own", "place.at", "place.copy")
     order = Window.partitionBy("at").orderBy(F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("text"))
     return (
-        placed.withColumn("next_text", F.lead("text").over(order))
+        placed.withColumns({"next_text": F.lead("text").over(order), "next": F.lead("own").over(order)})
         .where(F.col("copy") == 0)
-        .select("doc_id", "text", "next_text")
+        .select("doc_id", "text", "own", "next_text", "next")
     )
 
 
@@ -180,17 +193,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             F.substring(F.col("next_text"), F.lit(1), half),
         ))
     )
-    marked = texts.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint_words(paragraphs(F.col("text"))).alias("own"),
-        fingerprint_words(paragraphs(F.col("edited"))).alias("changed"),
-        fingerprint_words(paragraphs(F.col("next_text"))).alias("next"),
+    marked = with_words(texts, F.col("edited"), "changed").select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "changed", "next"
     )
-    signed = marked.select("*", *[_signs(F.col(c)).alias(f"{c}_signs") for c in ("own", "changed", "next")])
-    return signed.select(
+    return with_signs(marked, "own", "changed", "next").select(
         "doc_id", "n_chars", "edited_sha256",
         fingerprint_text(F.col("own")).alias("fingerprint"),
         fingerprint_text(F.col("changed")).alias("edited_fingerprint"),
-        likeness("own", "changed", "own_signs", "changed_signs").alias("near_edited"),
-        likeness("own", "next", "own_signs", "next_signs").alias("near_next"),
+        likeness("own", "changed").alias("near_edited"),
+        likeness("own", "next").alias("near_next"),
     )
