@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from tablewright.plans.registry import table
 
 
+def op1_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablewright.llm.simhash import hexadecimal, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", hexadecimal().alias("fingerprint"), "component_id"
+    )
+
+
 def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablewright.llm.mixing import mix
 
@@ -51,7 +59,7 @@ def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_fair_mix, op4_hashed_language, op6_posting_lists, op7_backtracking_bpe, op9_histogram_shards, op10_multiset_fingerprint,
+    op1_gray_simhash, op2_fair_mix, op4_hashed_language, op6_posting_lists, op7_backtracking_bpe, op9_histogram_shards, op10_multiset_fingerprint,
 )}
 
 SQL: dict[str, str] = {}
