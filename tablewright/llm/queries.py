@@ -22,6 +22,12 @@ def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablewright.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_hashed_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablewright.llm.language import fit, identify
 
@@ -59,7 +65,7 @@ def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_gray_simhash, op2_fair_mix, op4_hashed_language, op6_posting_lists, op7_backtracking_bpe, op9_histogram_shards, op10_multiset_fingerprint,
+    op1_gray_simhash, op2_fair_mix, op3_tag_path_text, op4_hashed_language, op6_posting_lists, op7_backtracking_bpe, op9_histogram_shards, op10_multiset_fingerprint,
 )}
 
 SQL: dict[str, str] = {}
