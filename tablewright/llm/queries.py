@@ -49,6 +49,13 @@ def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablewright.llm.pii import detect, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return detect(docs, fit(docs))
+
+
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablewright.llm.sharding import shards
 
@@ -65,7 +72,8 @@ def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_gray_simhash, op2_fair_mix, op3_tag_path_text, op4_hashed_language, op6_posting_lists, op7_backtracking_bpe, op9_histogram_shards, op10_multiset_fingerprint,
+    op1_gray_simhash, op2_fair_mix, op3_tag_path_text, op4_hashed_language, op6_posting_lists, op7_backtracking_bpe, op8_boosted_pii,
+    op9_histogram_shards, op10_multiset_fingerprint,
 )}
 
 SQL: dict[str, str] = {}
