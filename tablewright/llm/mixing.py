@@ -125,7 +125,7 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself: one row per pass of a document, range-sorted by virtual finish time.
 
-    The columns are those of ``docs``; a text that the budget cuts keeps its first
+    The columns are those of ``docs``, which must not be named as those of ``mix``; a text that the budget cuts keeps its first
     words. Documents of size 0 stay once.
     """
     names = docs.columns
@@ -136,10 +136,8 @@ def mixed_documents(
     step = F.when(F.col("target") > 0, F.col("source_size") / F.col("target")).otherwise(0.0)
     rows = planned.where(passes > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), passes - 1)))
     left = F.col("taken") - F.col("pass") * F.col("size")
-    cut = F.regexp_extract(
-        F.col("text"),
-        F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), left.cast("string"), F.lit("}")), 0,
-    )
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), left.cast("int")), "")
     rows = rows.withColumn("text", F.when((F.col("size") > 0) & (left < F.col("size")), cut).otherwise(F.col("text")))
     rows = rows.withColumn("finish", F.col("finish") + F.col("pass") * step)
     return rows.repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id").select(*names)
