@@ -35,6 +35,12 @@ def op4_hashed_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs))
 
 
+def op5_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablewright.llm.suffix_dedup import removed
+
+    return removed(table(spark, sf_dir, "documents"))
+
+
 def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablewright.llm.ann import search
 
@@ -72,7 +78,8 @@ def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_gray_simhash, op2_fair_mix, op3_tag_path_text, op4_hashed_language, op6_posting_lists, op7_backtracking_bpe, op8_boosted_pii,
+    op1_gray_simhash, op2_fair_mix, op3_tag_path_text, op4_hashed_language,
+    op5_suffix_family, op6_posting_lists, op7_backtracking_bpe, op8_boosted_pii,
     op9_histogram_shards, op10_multiset_fingerprint,
 )}
 
