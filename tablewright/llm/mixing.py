@@ -109,7 +109,7 @@ def mix(
     end = F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     timed = placed.withColumn("end", end)
     # words of the source's passes that lie before the target: whole ones in the middle, a part at the cut
-    goal_words = F.round(F.col("target")).cast("long")
+    goal_words = F.round(F.round("target", 3)).cast("long")
     taken: Column = F.lit(0).cast("long")
     for epoch in range(epochs):
         start = F.col("end") - F.col("size") + F.lit(epoch).cast("long") * F.col("source_size")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.statements import FAIR_MIX, REPEATED_PASSAGES
 from tablewright.plans.registry import table
 
 
@@ -83,4 +84,4 @@ QUERIES = {f.__name__: f for f in (
     op9_histogram_shards, op10_multiset_fingerprint,
 )}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_fair_mix": FAIR_MIX, "op5_suffix_family": REPEATED_PASSAGES}
