@@ -9,7 +9,8 @@ graph that links each to its nearest ones, by best-first search.
 
 *Search.* A query walks the graph and reads the lists whose centroid is at most
 ``RATIO`` times as far as its nearest one. A query inside a dense group so reads
-few lists and one far from everything reads many. Inside a list, scores are
+few lists and one far from everything reads many; lists are added until they
+surely hold as many vectors as are asked for. Inside a list, scores are
 exact. ``recall`` measures the result against brute force.
 
 Inner products become distances by one more component that brings all vectors
@@ -114,7 +115,10 @@ def linked(points: np.ndarray) -> Centroids:
     near = np.argsort(gaps, axis=1, kind="stable")[:, : max(1, min(LINKS, count - 1))]
     ring = np.stack([(np.arange(count) + 1) % count, (np.arange(count) - 1) % count], axis=1)
     entry = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
-    return Centroids(points, np.concatenate([near, ring], axis=1), entry)
+    # a link is listed once; the number past the last centroid stands for none
+    repeated = (ring[:, :, None] == near[:, None, :]).any(axis=2)
+    repeated[:, 1] |= ring[:, 0] == ring[:, 1]
+    return Centroids(points, np.concatenate([near, np.where(repeated, count, ring)], axis=1), entry)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -167,8 +171,11 @@ def posted(rows: DataFrame, centroids: Centroids, square: float) -> DataFrame:
     return rows.mapInPandas(assign, "list long, vec_id long, vector array<double>")
 
 
-def routed(queries: DataFrame, centroids: Centroids, ratio: float) -> DataFrame:
-    """(list, vec_id, vector): each query once for each list that it reads."""
+def routed(queries: DataFrame, centroids: Centroids, ratio: float, sizes: np.ndarray, k: int) -> DataFrame:
+    """(list, vec_id, vector): each query once for each list that it reads.
+
+    Lists are added by distance until they surely hold ``k`` other vectors.
+    """
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), 512):
@@ -176,7 +183,8 @@ def routed(queries: DataFrame, centroids: Centroids, ratio: float) -> DataFrame:
                 points = np.stack(some["vector"].to_numpy())
                 points = np.concatenate([points, np.zeros((len(points), 1))], axis=1)
                 ids, far = centroids.search(points, len(centroids.points))
-                row, nth = np.nonzero((far <= far[:, :1] * ratio) & (ids < len(centroids.points)))
+                held = np.cumsum(sizes[ids], axis=1) - sizes[ids]
+                row, nth = np.nonzero(((far <= far[:, :1] * ratio) | (held <= k * COPIES)) & (ids < len(centroids.points)))
                 yield pd.DataFrame({
                     "list": ids[row, nth], "vec_id": some["vec_id"].to_numpy()[row],
                     "vector": some["vector"].to_numpy()[row],
@@ -215,9 +223,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, ratio: float = RATIO, samp
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     centroids, square = fitted
     lists = durable(posted(rows, centroids, square))
-    asked = durable(routed(rows.where(is_query), centroids, ratio))
-    # at most LISTS small rows each
-    chunks = lists.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    # at most LISTS small rows
+    counted = lists.groupBy("list").agg(F.count("*").alias("rows"))
+    sizes = np.zeros(len(centroids.points) + 1, dtype=np.int64)
+    for r in counted.collect():
+        sizes[r["list"]] = r["rows"]
+    asked = durable(routed(rows.where(is_query), centroids, ratio, sizes, k))
+    chunks = counted.select("list", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
     blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("blocks"))
     cuts = F.broadcast(chunks.join(blocks, "list"))
     left = asked.join(cuts, "list").select(

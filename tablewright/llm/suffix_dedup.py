@@ -388,8 +388,9 @@ def without(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
 def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(t1, t2, n_removed, n_spans, kept_sha256, kept): what is left of each text that loses bytes.
 
-    ``kept`` is bytes: a passage may begin or end inside a character. Texts that
-    occur twice are not listed for that.
+    A passage may begin or end inside a character: what is left of it is U+FFFD in
+    ``kept``, but counts as it is for the digest. Texts that occur twice are not
+    listed for that.
     """
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -397,12 +398,12 @@ def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             for text, starts, ends in zip(frame["text"], frame["starts"], frame["ends"], strict=True):
                 starts, ends = merged(starts, ends)
                 left = without(text.encode("utf-8", "surrogatepass"), starts, ends)
-                rows.append((int((ends - starts).sum()), len(starts), hashlib.sha256(left).hexdigest(), left))
+                rows.append((int((ends - starts).sum()), len(starts), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace")))
             out = pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "kept"])
             yield pd.concat([frame[["t1", "t2"]], out], axis=1)
 
     return repeated(docs, length, gram).mapInPandas(
-        cut, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        cut, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, kept string"
     )
 
 
@@ -427,7 +428,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated passages taken out of column text; a cut character becomes U+FFFD, null stays null."""
-    lost = cleaned(docs, length, gram).select("t1", "t2", F.decode("kept", F.lit("utf-8")).alias("kept"))
+    lost = cleaned(docs, length, gram).select("t1", "t2", "kept")
     named = docs.withColumns({"t1": F.xxhash64(text_or_empty()), "t2": F.xxhash64(F.lit(7), text_or_empty())})
     copies = named.where(F.octet_length("text") >= length).groupBy("t1", "t2").count().where("count > 1").drop("count")
     facts = copies.withColumn("twice", F.lit(True)).join(lost, ["t1", "t2"], "full")
