@@ -7,8 +7,8 @@ judged on the input. Texts are UTF-8 bytes, and no string crosses two texts.
 *Where to look.* Each window of ``LENGTH`` bytes is given to one of its
 ``GRAM``-byte runs, the one with the least hash, the leftmost of equals. That
 depends on the window's bytes alone, so equal windows have equal runs, and
-windows can only repeat where a run does. Runs are spread by hash and compared
-as neighbours in sorted order; most texts leave here. What is left are
+windows can only repeat where a run does. The owners of a run are summed up before
+the shuffle, and most texts leave here. What is left are
 *stretches*: the windows of one run in one text, as one piece of bytes. Equal
 stretches count once.
 
@@ -201,29 +201,15 @@ def shared_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 first, last, run = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pd.DataFrame({"t1": both[:, 0], "t2": both[:, 1], "first": first, "last": last, "run": run})
 
-    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["run", "t1", "t2", "first"]
-        held, before = None, None  # the last row, and the run of the one before it
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            keys = frame[names].to_numpy()
-            fresh = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
-            frame, keys = frame[fresh], keys[fresh]
-            if not len(frame):
-                continue
-            same = keys[1:, 0] == keys[:-1, 0]
-            known = before is not None and before == keys[0, 0]
-            shared = np.concatenate([[known], same]) | np.concatenate([same, [False]])
-            before = keys[-2, 0] if len(keys) > 1 else before
-            held = frame.iloc[-1:]
-            yield frame[:-1][shared[:-1]]
-        if held is not None and before is not None and before == held["run"].iloc[0]:
-            yield held
-
-    found = texts.where(F.octet_length("text") >= length).mapInPandas(
+    path = fresh_path(texts.sparkSession, "runs")
+    texts.where(F.octet_length("text") >= length).mapInPandas(
         look, "t1 long, t2 long, first int, last int, run long"
-    )
-    return found.repartition("run").sortWithinPartitions("run", "t1", "t2", "first").mapInPandas(meet, found.schema)
+    ).write.parquet(path)
+    found = texts.sparkSession.read.parquet(path)
+    # a run is shared if its least and greatest owner differ; that is summed before the shuffle
+    owner = F.xxhash64("t1", "t2", "first")
+    owners = found.groupBy("run").agg(F.min(owner).alias("least"), F.max(owner).alias("greatest"))
+    return found.join(owners.where("least <> greatest").select("run"), "run", "left_semi")
 
 
 def cut_out(texts: DataFrame, length: int, pieces: bool) -> DataFrame:
@@ -335,7 +321,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     spark = docs.sparkSession
     texts = texts_of(docs).drop("doc_id")
     shared = shared_runs(texts, length, gram).groupBy("t1", "t2").agg(
-        F.collect_list(F.struct("first", "last", "run")).alias("at")
+        F.collect_set(F.struct("first", "last", "run")).alias("at")
     ).select(
         "t1", "t2", F.col("at.first").alias("firsts"), F.col("at.last").alias("lasts"), F.col("at.run").alias("runs")
     )
