@@ -9,7 +9,8 @@ texts and on one short piece of each, so that short texts are known too.
 Training rows: at most ``ROWS_EACH`` labelled rows of a language (a bounded
 sample by hash of doc_id), of which a tenth is kept aside to calibrate: a
 temperature makes the score a probability, and a text is *rejected* when its
-score is below what all but ``REJECTED`` of the rightly labelled texts reach.
+score is well below what all but ``REJECTED`` of the rightly labelled texts reach,
+and below ``SURE``.
 
 A text that is null or has no letter is ``und`` with score 0 and rejected;
 without labelled rows all texts are. Whole texts are read, of any length.
@@ -33,6 +34,8 @@ WIDTH = 16
 LONGEST = 4
 ROWS_EACH = 1_000
 REJECTED = 0.0002
+#: No text of at least this score is rejected.
+SURE = 0.5
 UNKNOWN = "und"
 BLOCK = 1_000_000
 OTHER = re.compile(r"[\W\d_]+")
@@ -203,7 +206,7 @@ def calibrated(model: Model, rows: pd.DataFrame) -> Model:
     found = chances(model.temperature)
     whole = (rows["place"] % 2 == 0).to_numpy() & (found.argmax(axis=1) == truth)
     reached = found.max(axis=1)[whole]
-    model.threshold = float(np.quantile(reached, REJECTED)) * 0.8 if len(reached) else 0.0
+    model.threshold = min(SURE, float(np.quantile(reached, REJECTED)) * 0.8) if len(reached) else 0.0
     return model
 
 
