@@ -22,7 +22,8 @@ to the smaller vec_id, exact copies of a vector among them, because scores of
 equal vectors are summed alike. Rows that repeat a vec_id are different
 candidates only if their vectors differ in score. An empty table gives no rows.
 
-Lists are cut into chunks of a bounded number of vectors and of queries, so a
+A task compares a bucket: some small lists, or a chunk of a large one, with a
+bounded number of vectors and of queries, and gives one answer for each query. A
 list that holds a third of all rows is many tasks' work. The sample (at most
 ``SAMPLE`` vectors, by hash of vec_id) is fitted on the driver; every row is
 indexed. Only centroids, at most ``LISTS``, are sent to all tasks.
@@ -48,7 +49,8 @@ COPIES = 4
 RATIO = 1.16
 LINKS = 16
 BEAM = 48
-CHUNK = 4_096
+#: Vectors, and queries of one list, that one task compares.
+CHUNK = 16_384
 QUERY_CHUNK = 2_048
 #: Slack for the first pass over scores, whose last bits depend on the order of sums.
 SLACK = 1e-9
@@ -214,38 +216,57 @@ def best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
+def buckets_of(sizes: np.ndarray, asked: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(list, bucket, chunks, blocks): small lists share a bucket, a large one is cut into chunks of its own.
+
+    A bucket's queries are cut into blocks by the most that one of its lists is asked.
+    """
+    bucket, filled, rows = 0, 0, []
+    for i in np.nonzero((sizes > 0) & (asked > 0))[0]:
+        if filled and filled + sizes[i] > CHUNK:
+            bucket, filled = bucket + 1, 0
+        rows.append((int(i), bucket, int(-(-sizes[i] // CHUNK))))
+        filled += sizes[i]
+    most: dict[int, int] = {}
+    for i, b, _ in rows:
+        most[b] = max(most.get(b, 1), int(-(-asked[i] // QUERY_CHUNK)))
+    return [(i, b, c, most[b]) for i, b, c in rows]
+
+
 def search(vectors: DataFrame, is_query, k: int = 20, ratio: float = RATIO, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row that ``is_query`` picks."""
+    spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score double"
     rows = usable(vectors)
     fitted = fit(rows, sample)
     if fitted is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     centroids, square = fitted
     lists = durable(posted(rows, centroids, square))
-    # at most LISTS small rows
-    counted = lists.groupBy("list").agg(F.count("*").alias("rows"))
-    sizes = np.zeros(len(centroids.points) + 1, dtype=np.int64)
-    for r in counted.collect():
-        sizes[r["list"]] = r["rows"]
+    sizes = counted(lists, centroids)
     asked = durable(routed(rows.where(is_query), centroids, ratio, sizes, k))
-    chunks = counted.select("list", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
-    blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("blocks"))
-    cuts = F.broadcast(chunks.join(blocks, "list"))
+    # at most LISTS small rows
+    cuts = spark.createDataFrame(
+        buckets_of(sizes, counted(asked, centroids)), "list long, bucket int, chunks int, blocks int"
+    )
+    cuts = F.broadcast(cuts)
     left = asked.join(cuts, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "vec_id", "vector",
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+        F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "list", "vec_id", "vector",
     )
     right = lists.join(cuts, "list").select(
-        "list", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "vector",
+        "bucket", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "list", "vec_id", "vector",
     )
-    keys = ["list", "chunk", "block"]
+    keys = ["bucket", "chunk", "block"]
 
     def nearest(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or candidates.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": int, "vec_id": int})
-        return best(queries, candidates, k)
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": int, "vec_id": int})]
+        members = dict(tuple(candidates.groupby("list")))
+        out += [best(some, members[i], k) for i, some in queries.groupby("list") if i in members]
+        # the best of all lists of the bucket: one answer for each query
+        both = pd.concat(out).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return both.drop_duplicates(["query_id", "vec_id"]).groupby("query_id").head(k)
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, schema)
     distinct = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -256,6 +277,14 @@ def search(vectors: DataFrame, is_query, k: int = 20, ratio: float = RATIO, samp
     )
 
 
+def counted(rows: DataFrame, centroids: Centroids) -> np.ndarray:
+    """Rows of each list, and of none behind the last."""
+    out = np.zeros(len(centroids.points) + 1, dtype=np.int64)
+    for r in rows.groupBy("list").agg(F.count("*").alias("rows")).collect():
+        out[r["list"]] = r["rows"]
+    return out
+
+
 def recall(found: DataFrame, exact: DataFrame) -> float:
     """Share of the exact (query_id, vec_id) pairs that were found."""
     hits = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi")
