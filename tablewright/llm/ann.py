@@ -246,15 +246,16 @@ def search(vectors: DataFrame, is_query, k: int = 20, ratio: float = RATIO, samp
     sizes = counted(lists, centroids)
     asked = durable(routed(rows.where(is_query), centroids, ratio, sizes, k))
     # at most LISTS small rows
-    cuts = spark.createDataFrame(
-        buckets_of(sizes, counted(asked, centroids)), "list long, bucket int, chunks int, blocks int"
-    )
-    cuts = F.broadcast(cuts)
-    left = asked.join(cuts, "list").select(
+    placed = buckets_of(sizes, counted(asked, centroids))
+
+    def cuts() -> DataFrame:
+        return F.broadcast(spark.createDataFrame(placed, "list long, bucket int, chunks int, blocks int"))
+
+    left = asked.join(cuts(), "list").select(
         "bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
         F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "list", "vec_id", "vector",
     )
-    right = lists.join(cuts, "list").select(
+    right = lists.join(cuts(), "list").select(
         "bucket", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "list", "vec_id", "vector",
     )
