@@ -29,15 +29,35 @@ COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
 YEAR_MONTH = r"^(\d{4})[-/](\d{1,2})$"
 NAMED_FIRST = r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})" + CLOCK + "$"
 NAMED_SECOND = r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?,?[ -](\d{4})" + CLOCK + "$"
+YEAR_ONLY = r"^((?:1[5-9]|2[01])\d{2})$"
+NAMED_MONTH = r"^([A-Za-z]{3})[a-z]*\.?,? (\d{4})$"
+DAY_NAME = r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? +(?=[A-Za-z\d])"
+#: A year of two digits, from 1969 to 2068.
+THIS_CENTURY = r"^(\d{1,2}[-/.]\d{1,2}[-/.])([0-5]\d|6[0-8])(?=$|[T ])"
+LAST_CENTURY = r"^(\d{1,2}[-/.]\d{1,2}[-/.])(69|[7-9]\d)(?=$|[T ])"
+HALF_DAY = r"(?i)(\d{1,2})(:\d{2}(?::\d{2}(?:\.\d+)?)?) ?([ap])\.?m\.?$"
 DATE_SHAPED = r"^\d{4}-(\d{1,2}|[A-Za-z]{3})-\d{1,2}( \d{1,2}:[0-9:.]+)? ?$"
 
 
+def _full_day(text: Column) -> Column:
+    """A clock with am or pm as one of 24 hours; a day's name and a short year spelled out."""
+    hour = F.regexp_extract(text, HALF_DAY, 1).try_cast("int")
+    late = F.when(F.lower(F.regexp_extract(text, HALF_DAY, 3)) == "p", F.lit(12)).otherwise(F.lit(0))
+    clock = F.concat((hour % 12 + late).cast("string"), F.regexp_extract(text, HALF_DAY, 2))
+    day = F.regexp_replace(text, HALF_DAY, "")
+    text = F.when(hour.between(1, 12), F.concat(day, clock)).otherwise(text)
+    text = F.regexp_replace(text, DAY_NAME, "")
+    return F.regexp_replace(F.regexp_replace(text, THIS_CENTURY, "$120$2"), LAST_CENTURY, "$119$2")
+
+
 def _iso(text: Column) -> Column:
     """Rewrite the accepted spellings as year-month-day, the month maybe still named."""
     for pattern, order in (
         (YEAR_FIRST, "$1-$2-$3 $4"),
         (COMPACT, "$1-$2-$3"),
         (YEAR_MONTH, "$1-$2-1"),
+        (YEAR_ONLY, "$1-1-1"),
+        (NAMED_MONTH, "$2-$1-1"),
         (NAMED_FIRST, "$3-$1-$2 $4"),
         (NAMED_SECOND, "$3-$2-$1 $4"),
     ):
@@ -57,7 +77,8 @@ def parse_date(col: Column) -> Column:
     """Timestamp of a western date text, null when it cannot be read.
 
     A zone suffix is accepted and the local clock time kept. ``a/b/yyyy`` is read
-    month first, and day first only when that gives no date.
+    month first, and day first only when that gives no date. Two digits are a year
+    from 1969 to 2068; a missing day or month is the first.
     """
 
     def read(text: Column) -> Column:
@@ -65,8 +86,10 @@ def parse_date(col: Column) -> Column:
         swapped = F.regexp_replace(text, YEAR_LAST, "$3-$2-$1 $4")
         return F.when(iso.rlike(DATE_SHAPED), F.coalesce(_read_iso(iso), _read_iso(swapped)))
 
-    likely = col.cast("string").rlike(r"^\s*(\d|[A-Za-z]{3,9}\.? \d)")
-    return F.when(likely, let(_iso(F.trim(col.cast("string"))), read))
+    likely = col.cast("string").rlike(r"^\s*(\d|[A-Za-z]{3,9}\.?,? [\dA-Za-z])")
+    odd = F.trim(col.cast("string")).rlike(rf"{HALF_DAY}|{DAY_NAME}|{THIS_CENTURY}|{LAST_CENTURY}")
+    text = F.trim(col.cast("string"))
+    return F.when(likely & odd, let(_iso(_full_day(text)), read)).when(likely, let(_iso(text), read))
 
 
 def _plain_digits(text: Column) -> Column:

@@ -50,10 +50,33 @@ def json_text(response: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(flat, r'"\[', "["), r'\]"', "]")
 
 
+def double_quoted(text: Column) -> Column:
+    """A Python-style literal as JSON: single quotes, True, False and None rewritten.
+
+    A text is taken apart into quoted strings and what is between, so quotes,
+    words and escapes inside a string stay what they are.
+    """
+    token = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"]+|['"]"""
+
+    def rewritten(t: Column) -> Column:
+        inner = F.substring(t, F.lit(2), F.length(t) - 2)
+        inner = F.regexp_replace(inner, r"\\'", "'")
+        inner = F.regexp_replace(inner, r'(?<!\\)"', r'\\"')
+        plain = F.regexp_replace(t, r"\bTrue\b", "true")
+        plain = F.regexp_replace(F.regexp_replace(plain, r"\bFalse\b", "false"), r"\bNone\b", "null")
+        return (
+            F.when(t.rlike(r"(?s)^'.*'$") & (F.length(t) > 1), F.concat(F.lit('"'), inner, F.lit('"')))
+            .when(t.startswith('"'), t)
+            .otherwise(plain)
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(token), F.lit(0)), rewritten), "")
+
+
 def lenient_json(response: Column) -> Column:
     """Struct (ok, value, text): the parsed value, or the text where it does not parse."""
     text = json_text(response)
-    value = F.try_parse_json(text)
+    value = F.coalesce(F.try_parse_json(text), F.try_parse_json(double_quoted(text)))
     return F.struct(
         value.isNotNull().alias("ok"),
         value.alias("value"),

@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.cells import SENTINELS, null_sentinel
+from tablewright.functions.cells import SENTINELS, clean, null_sentinel
 from tablewright.operators.ranking import exact_quantiles, ordered_prefix, top_per_group
 from tablewright.operators.sampling import bin_of, doane_bins
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 QUARTILE_NAMES = ("low", "q1", "median", "q3", "high")
-MAX_COLUMNS = 200
 
 
 def scalar(df: DataFrame, value: Column, name: str = "answer") -> DataFrame:
@@ -48,14 +47,22 @@ def share(df: DataFrame, x: Column, y: Column, legend: Column) -> DataFrame:
     return cells.join(totals, "x").withColumn("share", F.try_divide("y", "_total")).drop("_total")
 
 
-def heatmap(df: DataFrame, x: str, y: str, value: Column, columns: Sequence | None = None) -> DataFrame:
-    """One row per x and one column per y; too many columns are refused, not cut."""
-    if columns is None:
-        found = df.select(y).distinct().limit(MAX_COLUMNS + 1).collect()
-        if len(found) > MAX_COLUMNS:
-            raise ValueError(f"{y} has more than {MAX_COLUMNS} values; use series() instead")
-        columns = sorted(r[0] for r in found if r[0] is not None)
-    return df.groupBy(x).pivot(y, list(columns)).agg(value)
+def heatmap_cells(df: DataFrame, x: str, y: str, value: Column) -> DataFrame:
+    """(x, y, value): the heatmap in long form, for any number of columns; null is a value."""
+    return df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(value.alias("value"))
+
+
+def heatmap(df: DataFrame, x: str, y: str, value: Column, columns: Sequence) -> DataFrame:
+    """One row per x and one column for each value of y that the caller lists.
+
+    A listed None is the column ``null``. Values that are not listed have no
+    column; an x that has only such values keeps its row.
+    """
+    place = F.lit(None).cast("int")
+    for i, c in enumerate(columns):
+        place = F.when(F.col(y).eqNullSafe(F.lit(c)), F.lit(i)).otherwise(place)
+    wide = df.withColumn("_at", place).groupBy(x).pivot("_at", list(range(len(columns)))).agg(value)
+    return wide.select(x, *[F.col(f"`{i}`").alias("null" if c is None else str(c)) for i, c in enumerate(columns)])
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -77,11 +84,11 @@ def five_numbers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int | str = "doane") -> DataFrame:
-    """(bin, low, high, n): rows per equal-width bin, empty bins left out."""
+    """(bin, low, high, n): rows per equal-width bin, empty bins left out; NaN and infinities are missing."""
     edges = doane_bins(df, column)
     if isinstance(bins, int):
         edges = edges.withColumn("bins", F.lit(bins))
-    value = F.col(column).cast("double")
+    value = clean(df.schema[column]).cast("double")
     edge = edges.select(F.struct("low", "high", "bins")).first()[0]  # one row
     if edge["low"] is None:
         edge = {"low": 0.0, "high": 0.0, "bins": 1}

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.cells import cell_text, display_missing_pct
+from tablewright.functions.cells import cell_text, clean, display_missing_pct
 from tablewright.operators import infer as I
 from tablewright.operators.profile import (
     column_stats,
-    resolve_tokens,
+    number_shares,
+    top_values,
     value_counts,
 )
 from tablewright.operators.ranking import top_per_group
@@ -36,7 +37,7 @@ def _extremes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(pos, low, high) as text, compared in the column's own type."""
     aggs, rows = [], []
     for i, c in enumerate(columns):
-        value = cell_text(df.schema[c]) if df.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(f"`{c}`")
+        value = cell_text(df.schema[c]) if df.schema[c].dataType.typeName() in ("array", "map", "struct") else clean(df.schema[c])
         aggs += [F.min(value).alias(f"a{i}"), F.max(value).alias(f"z{i}")]
         rows.append(F.struct(
             F.lit(i).alias("pos"),
@@ -54,17 +55,16 @@ def describe_table(
 ) -> DataFrame:
     """(pos, column, type_name, value_type, missing_pct, detail, rows), one row per column.
 
-    The detail is a range for numbers, first and last for dates, the categories
+    A text column that holds some numbers has the value type ``mixed``. NaN and
+    infinities are missing. The detail is a range for numbers, first and last for dates, the categories
     (most frequent first, 20 at most) or ten examples; nothing for URLs.
     """
     names = df.columns if columns is None else list(columns)
     types = I.types_of(df, key, names) if types is None else types
     counts = value_counts(df, None, names)
     stats = column_stats(df, names, counts=counts)
-    top = top_per_group(
-        counts, ["pos"], [F.col("n").desc(), F.col("token"), F.col("first")], MAX_CATEGORIES
-    )
-    ranked = resolve_tokens(df, top, names).groupBy("pos").agg(
+    top = top_values(df, counts, [F.col("n").desc()], MAX_CATEGORIES, names)
+    ranked = top.groupBy("pos").agg(
         F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("_top")
     ).select("pos", F.col("_top.value").alias("values"))
     codes = F.create_map(*[F.lit(x) for c in names for x in (c, types[c])])
@@ -72,6 +72,7 @@ def describe_table(
         stats.withColumn("type", I.single_value_override(F.try_element_at(codes, F.col("column")), F.col("num_of_dist_val")))
         .join(F.broadcast(ranked), "pos", "left")
         .join(F.broadcast(_extremes(df, names)), "pos")
+        .join(F.broadcast(number_shares(df, names).select("pos", "number_share")), "pos")
     )
     listed = F.array_join(F.coalesce("values", F.array().cast("array<string>")), ", ")
     examples = F.array_join(F.slice(F.coalesce("values", F.array().cast("array<string>")), 1, MAX_EXAMPLES), ", ")
@@ -91,7 +92,8 @@ def describe_table(
         "pos",
         "column",
         I.type_name(F.col("type").cast("int")).alias("type_name"),
-        F.col("dtype").alias("value_type"),
+        F.when((F.col("dtype") == "string") & (F.col("number_share") > 0) & (F.col("number_share") < 1), "mixed")
+        .otherwise(F.col("dtype")).alias("value_type"),
         display_missing_pct(F.col("num_nans"), F.col("total_vals")).alias("missing_pct"),
         detail.alias("detail"),
         F.col("total_vals").alias("rows"),

@@ -54,9 +54,11 @@ def lineage_nodes(qa: DataFrame, insights: DataFrame, graph: Sequence[str] = ())
     bare = referred.select(
         *graph, "id", *[none.alias(c) for c in ("type", "question", "answer", "insight")]
     )
-    # max() skips nulls, so a declared node wins over its bare mentions.
-    return declared.unionByName(bare).groupBy(*graph, "id").agg(
-        *[F.max(c).alias(c) for c in ("type", "question", "answer", "insight")]
+    # One whole row per id: a declared one before bare mentions, the largest of several.
+    parts = ("type", "question", "answer", "insight")
+    whole = F.max(F.struct(F.col("type").isNotNull().alias("declared"), *parts)).alias("w")
+    return declared.unionByName(bare).groupBy(*graph, "id").agg(whole).select(
+        *graph, "id", *[F.col(f"w.{c}").alias(c) for c in parts]
     )
 
 
@@ -64,3 +66,10 @@ def write_lineage(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Write both parts of the graph as JSON lines."""
     nodes.write.mode("overwrite").json(f"{path}/nodes")
     edges.write.mode("overwrite").json(f"{path}/links")
+
+
+def read_lineage(spark, path: str, graph: str = "") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a written graph; ``graph`` is the DDL of its key columns, with a comma after each."""
+    nodes = spark.read.schema(f"{graph} id string, type string, question string, answer string, insight string")
+    edges = spark.read.schema(f"{graph} source string, target string")
+    return nodes.json(f"{path}/nodes"), edges.json(f"{path}/links")

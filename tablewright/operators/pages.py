@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import text_blocks
-from tablewright.operators.ranking import SMALL_ROWS, slices
+from tablewright.operators.ranking import is_small, slices
 from tablewright.session import durable
 
 
@@ -51,26 +51,23 @@ def main_text(
 ) -> DataFrame:
     """(page, text): each page without the blocks its host repeats.
 
-    Only digests are counted and joined. A long list of repeated blocks is joined
-    with a salt per page, so a menu shared by a huge host is spread over many
-    tasks; each page's own text moves at most once, by its unique key.
+    Only digests are counted and shuffled. The repeated blocks of a host, at most
+    its blocks per page over the share, become one array, which is joined to the
+    pages and filtered in place: broadcast when all arrays are small in bytes, so
+    no page moves; else by host, with a salt per page for a huge host.
     """
     ids = page_block_ids(pages, page, url, html)
-    repeated = durable(repeated_blocks(pages, ids, url, max_page_share, min_pages))
-    if repeated.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        hits = ids.join(F.broadcast(repeated), ["host", "block_id"])
+    repeated = repeated_blocks(pages, ids, url, max_page_share, min_pages)
+    dropped = durable(repeated.groupBy("host").agg(F.collect_set("block_id").alias("_dropped")))
+    keyed = pages.select(page, url_host(F.col(url)).alias("host"), text_blocks(F.col(html)).alias("_blocks"))
+    if is_small(dropped):
+        joined = keyed.join(F.broadcast(dropped), "host", "left")
     else:
         salts = salts or slices(pages)
-        salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        salted = ids.withColumn("_salt", F.pmod(F.xxhash64(page), F.lit(salts)).cast("int"))
-        hits = salted.join(repeated.withColumn("_salt", salt), ["host", "block_id", "_salt"])
-    dropped = hits.groupBy(page).agg(F.collect_set("block_id").alias("_dropped"))
+        salted = keyed.withColumn("_salt", F.pmod(F.xxhash64(page), F.lit(salts)).cast("int"))
+        spread = dropped.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = salted.join(spread, ["host", "_salt"], "left")
     kept = F.filter(
-        text_blocks(F.col(html)),
-        lambda b: ~F.coalesce(F.array_contains(F.col("_dropped"), block_id(b)), F.lit(False)),
-    )
-    return (
-        pages.select(page, html)
-        .join(dropped, page, "left")
-        .select(page, F.array_join(kept, "\n").alias("text"))
+        "_blocks", lambda b: ~F.coalesce(F.array_contains(F.col("_dropped"), block_id(b)), F.lit(False))
     )
+    return joined.select(page, F.array_join(kept, "\n").alias("text"))

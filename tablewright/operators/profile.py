@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from tablewright.functions.cells import (
     is_number,
     is_numeric_field,
 )
-from tablewright.operators.ranking import top_per_group
+from tablewright.operators.ranking import small_or_shuffled, top_per_group
 from tablewright.session import durable
 
 SAMPLES = 5
@@ -62,12 +62,16 @@ def columns_frame(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def _token(value: Column) -> Column:
-    """A short stand-in for a value: long texts travel as a digest, not in full."""
+    """A short stand-in for a value: long texts travel as their start and a digest, not in full."""
     return F.when(F.length(value) <= LONG_TEXT, value).otherwise(
-        F.concat(F.lit(DIGEST_MARK), F.sha2(value, 256))
+        F.concat(F.substring(value, 1, LONG_TEXT), F.lit(DIGEST_MARK), F.sha2(value, 256))
     )
 
 
+def is_long(token: Column) -> Column:
+    return (F.length(token) == LONG_TEXT + 65) & (F.substring(token, LONG_TEXT + 1, 1) == DIGEST_MARK)
+
+
 def _stored_as(field: T.StructField) -> str:
     """How a value travels through the count: whole number, time, fraction or text."""
     kind = field.dataType
@@ -147,14 +151,30 @@ def value_counts(
     if key is None:
         counts = counts.withColumn("first", F.col("token"))
     # Every consumer reads all columns, so one shuffle of the values serves them all.
-    return counts.filter((F.col("n") > 0) & F.col("first").isNotNull())
+    return counts.filter(F.col("n") > 0)
+
+
+def top_values(
+    df: DataFrame, counts: DataFrame, before: Sequence[Column], k: int, columns: Sequence[str] | None = None,
+    after: Sequence[Column] = (),
+) -> DataFrame:
+    """First ``k`` values of each column by ``before``, then by full value: counts with ``rank`` and ``value``.
+
+    Long texts that agree in their start tie at first; all that might be among the
+    first ``k`` are looked up and then ordered by their whole text.
+    """
+    start = F.when(is_long(F.col("token")), F.substring("token", 1, LONG_TEXT)).otherwise(F.col("token"))
+    window = Window.partitionBy("pos").orderBy(*before, start)
+    near = counts.withColumn("_near", F.rank().over(window)).filter(F.col("_near") <= k).drop("_near")
+    full = resolve_tokens(df, near, columns)
+    return top_per_group(full, ["pos"], [*before, F.col("value"), *after], k)
 
 
 def resolve_tokens(df: DataFrame, tokens: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Add the full ``value`` of each token.
 
-    ``tokens`` must hold a bounded number of rows per column: it is broadcast to a
-    second scan of the text columns that picks up the texts sent as digests.
+    A second scan of the text columns picks up the texts sent as digests; it joins
+    by digest, and one text of each is kept before the shuffle.
     """
     fields = _columns(df, columns)
     texts = [(i, f) for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)
@@ -169,14 +189,14 @@ def resolve_tokens(df: DataFrame, tokens: DataFrame, columns: Sequence[str] | No
         .filter(F.length("value") > LONG_TEXT)
         .withColumn("token", _token(F.col("value")))
     )
-    wanted = tokens.filter(F.col("token").startswith(DIGEST_MARK)).select("pos", "token").distinct()
+    wanted = tokens.filter(is_long(F.col("token"))).select("pos", "token").distinct()
     found = (
-        long_cells.join(F.broadcast(wanted), ["pos", "token"])
+        long_cells.join(small_or_shuffled(wanted), ["pos", "token"])
         .groupBy("pos", "token")
         .agg(F.min("value").alias("_full"))
     )
     return (
-        tokens.join(F.broadcast(found), ["pos", "token"], "left")
+        tokens.join(found, ["pos", "token"], "left")
         .withColumn("value", F.coalesce("_full", "token"))
         .drop("_full")
     )
@@ -269,9 +289,10 @@ def column_samples(
 ) -> DataFrame:
     """First ``n`` distinct values of each column in row order, repeated to fill ``n``."""
     counts = value_counts(df, key, columns) if counts is None else counts
-    firsts = top_per_group(counts, ["pos"], [F.col("first"), F.col("token")], n)
+    # without a key the first value is the smallest
+    order = [] if key is None else [F.col("first").asc_nulls_last()]
     found = (
-        resolve_tokens(df, firsts, columns)
+        top_values(df, counts, order, n, columns)
         .groupBy("pos")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("_pairs"))
         .select("pos", F.col("_pairs.value").alias("_found"))

@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.functions.cells import clean
 from tablewright.session import durable
 
 SALTS = 64
-SMALL_ROWS = 200_000
+#: Bytes of a lookup, as JSON, that may be broadcast.
+SMALL_BYTES = 8_000_000
+#: Rows that one range of an ordered prefix should hold.
+RANGE_ROWS = 2_000_000
 
 
 def slices(df: DataFrame) -> int:
@@ -62,7 +66,8 @@ def ordered_prefix(
     order columns should be unique inside a group.
     """
     spark = df.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, -(-df.count() // RANGE_ROWS))
     direction = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     weighted = df.withColumn("_w", F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint"))
     ranged = durable(
@@ -88,31 +93,38 @@ def ordered_prefix(
     )
 
 
-def small_or_shuffled(lookup: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast a lookup only when a count shows it is small.
+def small_or_shuffled(lookup: DataFrame, max_bytes: int = SMALL_BYTES) -> DataFrame:
+    """Broadcast a lookup only when its summed bytes show it is small.
 
-    The lookup is written once, then counted and joined. A larger one is joined by
+    The lookup is written once, then measured and joined. A larger one is joined by
     shuffle, where adaptive execution splits hot keys.
     """
     lookup = durable(lookup)
-    if lookup.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(lookup)
-    return lookup
+    return F.broadcast(lookup) if is_small(lookup, max_bytes) else lookup
+
+
+def is_small(lookup: DataFrame, max_bytes: int = SMALL_BYTES) -> bool:
+    """Whether all rows, as JSON, fit the bytes."""
+    return (lookup.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= max_bytes
 
 
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
 ) -> DataFrame:
-    """Interpolated quantiles per group over all rows, counted by distinct value."""
+    """Interpolated quantiles per group over all rows, counted by distinct value.
+
+    NaN and infinities are missing; a group without values has no row.
+    """
     by = list(by)
     counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
+        df.select(*by, clean(df.schema[value]).cast("double").alias("_v"))
+        .filter(F.col("_v").isNotNull())
+        .groupBy(*by, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     ranked = ordered_prefix(counts, ["_v"], by, weight="_n", out="_upto")
-    # The ranked counts are already written, so the table itself is read once.
-    sizes = ranked.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    # The last running total of a group is its size; the ranked counts are already written.
+    sizes = ranked.groupBy(*by).agg(F.max("_upto").alias("_size"))
     if by:
         placed = ranked.join(small_or_shuffled(sizes), by)
     else:

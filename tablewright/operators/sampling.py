@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.cells import clean
 from tablewright.operators.ranking import top_per_group
 
 # Split in percent, class count above which caps shrink.
@@ -35,10 +36,10 @@ def hash_split(df: DataFrame, key: str | Sequence[str], weights: dict[str, int]
 
 
 def class_cap(df: DataFrame, target: str, n: int) -> int:
-    """Rows allowed per class, fewer when there are many classes."""
+    """Rows allowed per class, fewer when there are many classes, one at least."""
     few = df.select(target).filter(F.col(target).isNotNull()).distinct()
     classes = few.count()
-    return int(n * MANY_CLASSES / classes) if classes > MANY_CLASSES else n
+    return max(1, int(n * MANY_CLASSES / classes)) if classes > MANY_CLASSES else n
 
 
 def cap_per_class(df: DataFrame, by: str, n: int, key: str | Sequence[str]) -> DataFrame:
@@ -49,8 +50,8 @@ def cap_per_class(df: DataFrame, by: str, n: int, key: str | Sequence[str]) -> D
 
 
 def doane_bins(df: DataFrame, column: str) -> DataFrame:
-    """(low, high, bins) of a column by Doane's rule; no bins without values."""
-    value = F.col(column).cast("double")
+    """(low, high, bins) of a column by Doane's rule; NaN and infinities are missing."""
+    value = clean(df.schema[column]).cast("double")
     stats = df.agg(
         F.count(value).cast("double").alias("n"),
         F.min(value).alias("low"),
@@ -85,8 +86,8 @@ def capped_sample(
     if edges["low"] is None:
         return df
     bins = edges["bins"]
-    cap = int(n * MANY_CLASSES / bins) if bins > MANY_CLASSES else n
-    value = F.col(target).cast("double")
+    cap = max(1, int(n * MANY_CLASSES / bins)) if bins > MANY_CLASSES else n
+    value = clean(df.schema[target]).cast("double")
     binned = df.withColumn(
         "_bin", bin_of(value, F.lit(edges["low"]), F.lit(edges["high"]), F.lit(bins))
     )

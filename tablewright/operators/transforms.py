@@ -16,7 +16,12 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +34,7 @@ from tablewright.functions.cells import (
     is_numeric_field,
     to_number,
 )
-from tablewright.operators.profile import DIGEST_MARK, LONG_TEXT, resolve_tokens, value_counts
+from tablewright.operators.profile import LONG_TEXT, is_long, top_values, value_counts
 from tablewright.operators.ranking import ordered_prefix, top_per_group
 from tablewright.session import durable, fresh_path
 
@@ -143,9 +148,39 @@ class Standardize(_Fit):
         }
 
 
+class _LookupWriter(DefaultParamsWriter):
+    """Saves the written lookups of a model with it."""
+
+    def saveImpl(self, path):
+        model = self.instance
+        state, spark = model.getState(), self.sparkSession
+        for i, c in enumerate(model.getColumns()):
+            if state[c].get("path"):
+                spark.read.parquet(state[c]["path"]).write.parquet(f"{path}/lookups/{i}")
+                state[c] = {"saved": f"lookups/{i}"}
+        kept = model.getOrDefault(model.state)
+        model._set(state=json.dumps(state))
+        super().saveImpl(path)
+        model._set(state=kept)
+
+
+class _LookupReader(DefaultParamsReader):
+    def load(self, path):
+        model = super().load(path)
+        state = {c: {"path": f"{path}/{s['saved']}"} if s.get("saved") else s for c, s in model.getState().items()}
+        return model._set(state=json.dumps(state))
+
+
 class OrdinalEncodeModel(_Fitted):
     in_place = True
 
+    def write(self):
+        return _LookupWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _LookupReader(cls)
+
     def _transform(self, df):
         state = self.getState()
         out = df
@@ -155,7 +190,11 @@ class OrdinalEncodeModel(_Fitted):
                 lookup = df.sparkSession.read.parquet(path).withColumnsRenamed(
                     {"value": f"_v_{c}", "code": f"_code_{c}"}
                 )
-                out = out.join(lookup, q(c).cast("string") == q(f"_v_{c}"), "left").drop(f"_v_{c}")
+                # missing cells get a key of their own each, so they meet in no task and match nothing
+                text = clean(df.schema[c]).cast("string")
+                spread = F.concat(F.lit("\u0001"), F.monotonically_increasing_id().cast("string"))
+                out = out.withColumn(f"_k_{c}", F.coalesce(text, spread))
+                out = out.join(lookup, q(f"_k_{c}") == q(f"_v_{c}"), "left").drop(f"_v_{c}", f"_k_{c}")
         selected = []
         for f in df.schema.fields:
             if f.name not in state:
@@ -173,46 +212,33 @@ class OrdinalEncodeModel(_Fitted):
         codes = F.map_from_arrays(
             F.lit(values), F.lit(list(range(len(values)))).cast("array<bigint>")
         )
-        code = F.try_element_at(codes, q(field.name).cast("string"))
+        code = F.try_element_at(codes, clean(field).cast("string"))
         return [F.coalesce(code, F.lit(-1)).alias(field.name)]
 
 
 class OrdinalEncode(_Fit):
-    """Sorted categories to 0..k-1; unseen and missing values to -1.
+    """Sorted categories to 0..k-1; unseen and missing values, NaN and infinities too, to -1.
 
-    Few categories are kept in the model. Many are ranked by range partitions and
-    written as a lookup table next to the checkpoints.
+    Categories are ordered in the column's own type. Few are kept in the model; many
+    are ranked by range partitions and written as a lookup table next to the
+    checkpoints, which ``save`` copies to the model's folder.
     """
 
     model = OrdinalEncodeModel
 
     def fit_state(self, df, columns):
-        spark = df.sparkSession
         limit = self.option("inline", INLINE_CATEGORIES)
-        cells = F.array(*[
-            F.struct(F.lit(i).alias("pos"), q(c).cast("string").alias("value"))
-            for i, c in enumerate(columns)
-        ])
-        pairs = df.select(F.inline(cells)).filter(F.col("value").isNotNull()).distinct()
-        pairs = durable(pairs)
-        sizes = {r["pos"]: r["n"] for r in pairs.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).collect()}
-        small = [p for p, n in sizes.items() if n <= limit]
-        found: dict[int, list[str]] = {i: [] for i in range(len(columns))}
-        for row in pairs.filter(F.col("pos").isin(small)).collect() if small else []:
-            found[row["pos"]].append(row["value"])
         state = {}
         for i, c in enumerate(columns):
-            numeric = is_numeric_field(df.schema[c])
-            if sizes.get(i, 0) <= limit:
-                order = (lambda v: float(v)) if numeric and not isinstance(df.schema[c].dataType, T.BooleanType) else (lambda v: v.encode())
-                state[c] = {"values": sorted(found[i], key=order)}
+            value = clean(df.schema[c])
+            values = durable(df.select(value.alias("sorted")).filter(F.col("sorted").isNotNull()).distinct())
+            few = [r[0] for r in values.orderBy("sorted").limit(limit + 1).select(F.col("sorted").cast("string")).collect()]
+            if len(few) <= limit:
+                state[c] = {"values": few}
                 continue
-            values = pairs.filter(F.col("pos") == i).select(
-                "value", (F.col("value").cast("double") if numeric else F.col("value")).alias("sorted")
-            )
-            path = fresh_path(spark, "categories")
+            path = fresh_path(df.sparkSession, "categories")
             ordered_prefix(values, ["sorted"], out="upto").select(
-                "value", (F.col("upto") - 1).alias("code")
+                F.col("sorted").cast("string").alias("value"), (F.col("upto") - 1).alias("code")
             ).write.parquet(path)
             state[c] = {"path": path}
         return state
@@ -240,13 +266,8 @@ class ModeImpute(_Fit):
         counts = value_counts(df, None, columns)
         numeric = [i for i, c in enumerate(columns) if is_numeric_field(df.schema[c])]
         as_number = F.when(F.col("pos").isin(numeric), F.col("token").try_cast("double"))
-        ranked = top_per_group(
-            counts.withColumn("_num", as_number),
-            ["pos"],
-            [F.col("n").desc(), F.col("_num"), F.col("token"), F.col("first")],
-            1,
-        )
-        rows = resolve_tokens(df, ranked, columns).select("pos", "value").collect()
+        ranked = top_values(df, counts.withColumn("_num", as_number), [F.col("n").desc(), F.col("_num")], 1, columns)
+        rows = ranked.select("pos", "value").collect()
         return {columns[r["pos"]]: {"fill": r["value"]} for r in rows}
 
 
@@ -328,8 +349,9 @@ class DatePartsModel(_Fitted):
 class DateParts(_Fit):
     """Year to second and weekday of date columns.
 
-    ``dialect`` is western, japanese or auto; auto looks for characters outside
-    ASCII in the first ten rows by ``key``.
+    ``dialect`` is western, japanese or auto; auto names the parts in Japanese if
+    any cell of the column has a character outside ASCII. Each cell of such a
+    column is read as an era date, and as a western one where that fails.
     """
 
     model = DatePartsModel
@@ -338,12 +360,10 @@ class DateParts(_Fit):
         dialect = self.option("dialect", "auto")
         if dialect != "auto":
             return {c: {"dialect": dialect} for c in columns}
-        key = self.option("key")
         texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
         wide = {}
         if texts:
-            head = (df.orderBy(key) if key else df).limit(10)
-            row = one_row(head, [F.bool_or(dates.has_wide_text(q(c))).alias(c) for c in texts])
+            row = one_row(df, [F.bool_or(dates.has_wide_text(q(c))).alias(c) for c in texts])
             wide = row.asDict()
         return {c: {"dialect": "japanese" if wide.get(c) else "western"} for c in columns}
 
@@ -513,7 +533,7 @@ def _split_values(df: DataFrame, columns: Sequence[str], counts: DataFrame | Non
     if counts is None:
         return each
     # Counted values stand for all their cells; only long texts are read again.
-    short = counts.filter(~F.col("token").startswith(DIGEST_MARK))
+    short = counts.filter(~is_long(F.col("token")))
     return short.select("pos", F.col("token").alias("value"), "n").unionByName(
         each.filter(F.length("value") > LONG_TEXT)
     )

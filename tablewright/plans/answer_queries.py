@@ -65,10 +65,20 @@ def a5_share(spark, sf_dir):
 
 @query(
     "a6_heatmap",
-    'SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = \'F\') AS "F", count(*) FILTER (WHERE o_orderstatus = \'O\') AS "O", count(*) FILTER (WHERE o_orderstatus = \'P\') AS "P" FROM orders GROUP BY 1',
+    with_views("dv_gaps") + "SELECT o_orderpriority, " + ", ".join(
+        f"nullif(count(*) FILTER (WHERE status IS NOT DISTINCT FROM {v}), 0) AS \"{n}\"" for v, n in (("'F'", "F"), ("'O'", "O"), ("NULL", "null"))
+    ) + " FROM dv_gaps GROUP BY 1",
 )
 def a6_heatmap(spark, sf_dir):
-    return A.heatmap(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", F.count(F.lit(1)))
+    return A.heatmap(view(spark, sf_dir, "dv_gaps"), "o_orderpriority", "status", F.count(F.lit(1)), ["F", "O", None])
+
+
+@query(
+    "a6_heatmap_cells",
+    with_views("dv_gaps") + "SELECT o_custkey AS x, status AS y, count(*) AS value FROM dv_gaps GROUP BY 1, 2",
+)
+def a6_heatmap_cells(spark, sf_dir):
+    return A.heatmap_cells(view(spark, sf_dir, "dv_gaps"), "o_custkey", "status", F.count(F.lit(1)))
 
 
 CORRELATED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -91,6 +101,18 @@ def a7_five_numbers(spark, sf_dir):
     return found.select("l_returnflag", *[F.round(n, 4).alias(n) for n in A.QUARTILE_NAMES])
 
 
+PRICED = with_views("dv_gaps") + ", priced AS (SELECT * FROM dv_gaps WHERE isfinite(price))"
+
+
+@query(
+    "a7_five_numbers_gaps",
+    PRICED + " SELECT o_orderpriority, " + ", ".join(f"round(quantile_cont(price, {p}), 4) AS {n}" for p, n in zip(A.QUARTILES, A.QUARTILE_NAMES)) + " FROM priced GROUP BY 1",
+)
+def a7_five_numbers_gaps(spark, sf_dir):
+    found = A.five_numbers(view(spark, sf_dir, "dv_gaps"), ["o_orderpriority"], "price")
+    return found.select("o_orderpriority", *[F.round(n, 4).alias(n) for n in A.QUARTILE_NAMES])
+
+
 def doane_sql(t, c):
     return f"""doane AS (SELECT low, high, CAST(CASE WHEN n > 2 AND high > low THEN ceil(1 + log2(n) + log2(1 + abs(m3 / pow(sd, 3)) / sqrt(6.0 * (n - 2) / ((n + 1.0) * (n + 3))))) ELSE 1 END AS INTEGER) AS bins
   FROM (SELECT count(*) AS n, min({c}) AS low, max({c}) AS high, stddev_pop({c}) AS sd, avg(pow({c} - mu, 3)) AS m3 FROM {t}, (SELECT avg({c}) AS mu FROM {t})))"""
@@ -108,6 +130,15 @@ def a8_histogram(spark, sf_dir):
     return found.withColumns({"low": F.round("low", 4), "high": F.round("high", 4)})
 
 
+@query(
+    "a8_histogram_gaps",
+    PRICED + ", " + doane_sql("priced", "price") + f" SELECT bin, round(low + (bin - 1) * w, 4) AS low, round(low + bin * w, 4) AS high, n FROM (SELECT {BIN_SQL.replace('{c}', 'price')} AS bin, low, (high - low) / bins AS w, count(*) AS n FROM priced, doane GROUP BY ALL)",
+)
+def a8_histogram_gaps(spark, sf_dir):
+    found = A.histogram(view(spark, sf_dir, "dv_gaps"), "price")
+    return found.withColumns({"low": F.round("low", 4), "high": F.round("high", 4)})
+
+
 @query(
     "a9_panels",
     "SELECT 'status' AS panel, o_orderstatus AS x, '' AS legend, CAST(count(*) AS DOUBLE) AS y FROM orders GROUP BY ALL UNION ALL SELECT 'year', CAST(year(o_orderdate) AS VARCHAR), o_orderpriority, round(avg(o_totalprice), 4) FROM orders GROUP BY ALL",
@@ -163,7 +194,7 @@ def m2_capped_sample(spark, sf_dir):
 
 @query(
     "m2_capped_many_classes",
-    """WITH cap AS (SELECT CAST(floor(200 * 25 / count(DISTINCT o_custkey)::DOUBLE) AS BIGINT) AS n, count(DISTINCT o_custkey) AS k FROM orders)
+    """WITH cap AS (SELECT greatest(1, CAST(floor(200 * 25 / count(DISTINCT o_custkey)::DOUBLE) AS BIGINT)) AS n, count(DISTINCT o_custkey) AS k FROM orders)
 SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r FROM orders), cap WHERE r <= CASE WHEN k > 25 THEN n ELSE 200 END""",
 )
 def m2_capped_many_classes(spark, sf_dir):
@@ -184,6 +215,22 @@ def m4_regression_sample(spark, sf_dir):
     return M.capped_sample(rows, "o_totalprice", 80, "o_orderkey", task="regression")
 
 
+@query("m3_doane_bins_gaps", PRICED + ", " + doane_sql("priced", "price") + " SELECT * FROM doane")
+def m3_doane_bins_gaps(spark, sf_dir):
+    return M.doane_bins(view(spark, sf_dir, "dv_gaps"), "price")
+
+
+@query(
+    "m4_regression_sample_gaps",
+    PRICED + ", " + doane_sql("priced", "price") + f""", binned AS (
+  SELECT o_orderkey, CASE WHEN isfinite(price) THEN {BIN_SQL.replace('{c}', 'price')} END AS bin FROM dv_gaps, doane)
+SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY bin ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r FROM binned) WHERE r <= 80""",
+)
+def m4_regression_sample_gaps(spark, sf_dir):
+    rows = view(spark, sf_dir, "dv_gaps").select("o_orderkey", "price")
+    return M.capped_sample(rows, "price", 80, "o_orderkey", task="regression").select("o_orderkey")
+
+
 @query("s1_read_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment || ', \"' || c_name || '\"' AS note FROM customer")
 def s1_read_csv(spark, sf_dir):
     path = fresh_path(spark, "csv")

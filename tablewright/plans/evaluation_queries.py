@@ -48,6 +48,18 @@ def e4_best_match(spark, sf_dir):
     return E.best_match(view(spark, sf_dir, "dv_scores"), ["dataset"])
 
 
+GOLD_SQL = ", gold AS (SELECT o_orderkey % 50 AS dataset, o_orderkey AS gt_id FROM orders)"
+
+
+@query(
+    "e4_best_match_all_gold",
+    with_views("dv_scores") + "," + BEST_SQL + GOLD_SQL + " SELECT dataset, gt_id, pred_id, coalesce(score, 0) AS score FROM (SELECT DISTINCT * FROM gold) LEFT JOIN best USING (dataset, gt_id)",
+)
+def e4_best_match_all_gold(spark, sf_dir):
+    gold = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("dataset"), F.col("o_orderkey").alias("gt_id"))
+    return E.best_match(view(spark, sf_dir, "dv_scores"), ["dataset"], items=gold)
+
+
 TOKENS_SQL = r"list_distinct(regexp_extract_all(lower({t}), '[\p{L}\p{N}_]+'))"
 
 
@@ -77,6 +89,28 @@ def e5_score_matching(spark, sf_dir):
     return scored.select("conv_id", "gt_id", "pred_index", F.round("score", 6).alias("score"))
 
 
+@query(
+    "e5_score_matching_all_gold",
+    f"""WITH gold AS (SELECT conv_id, turn AS gt_id, text AS gt_text, CASE WHEN (conv_id + turn) % 3 <> 0 THEN turn + 1 END AS want FROM conversations WHERE role = 'user'),
+pred AS (SELECT conv_id, turn + 1 AS i, text FROM conversations WHERE conv_id % 4 <> 0),
+sizes AS (SELECT conv_id, max(i) AS n FROM pred GROUP BY conv_id),
+m AS (SELECT conv_id, gt_id, gt_text, CAST(coalesce(want, ('0x' || substr(md5(CAST(gt_id AS VARCHAR)), 1, 8))::BIGINT % n + 1) AS INTEGER) AS pred_index FROM gold LEFT JOIN sizes USING (conv_id))
+SELECT m.conv_id, gt_id, pred_index, coalesce(round({jaccard_sql('gt_text', 'p.text')}, 6), 0) AS score FROM m LEFT JOIN pred p ON p.conv_id = m.conv_id AND p.i = pred_index""",
+)
+def e5_score_matching_all_gold(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.filter(F.col("role") == "user")
+    gold = asked.select("conv_id", F.col("turn").alias("gt_id"), F.col("text").alias("gt_text"))
+    pred = turns.filter(F.col("conv_id") % 4 != 0).select(
+        "conv_id", (F.col("turn") + 1).cast("int").alias("pred_index"), F.col("text").alias("pred_text")
+    )
+    matching = asked.filter((F.col("conv_id") + F.col("turn")) % 3 != 0).select(
+        "conv_id", F.col("turn").alias("gt_id"), (F.col("turn") + 1).cast("int").alias("pred_index")
+    )
+    scored = E.score_matching(gold, pred, matching, E.token_jaccard, ["conv_id"])
+    return scored.select("conv_id", "gt_id", "pred_index", F.round("score", 6).alias("score"))
+
+
 @query(
     "e6_expected_rating",
     """SELECT l_orderkey, round(sum(CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_linenumber END * exp(-l_quantity / 10)) / sum(exp(-l_quantity / 10)), 6) AS rating
@@ -134,6 +168,33 @@ def e11_pair_jaccard(spark, sf_dir):
     return pairs.select("conv_id", "turn", F.round(E.token_jaccard(F.col("question"), F.col("target")), 6).alias("score"))
 
 
+@query(
+    "e10_dataset_scores_all",
+    with_views("dv_scores") + "," + BEST_SQL + """, summaries AS (SELECT o_orderkey % 60 AS dataset, CAST(count(*) % 11 AS DOUBLE) / 10 AS summary_score FROM orders GROUP BY 1)
+SELECT dataset, coalesce(round(avg(score), 6), 0) AS insight_score, count(score) AS pairs, any_value(summary_score) AS summary_score FROM best FULL JOIN summaries USING (dataset) GROUP BY dataset""",
+)
+def e10_dataset_scores_all(spark, sf_dir):
+    best = E.best_match(view(spark, sf_dir, "dv_scores"), ["dataset"])
+    summaries = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 60).alias("dataset")).agg(
+        ((F.count(F.lit(1)) % 11).cast("double") / 10).alias("summary_score")
+    )
+    found = E.dataset_scores(best, summaries, ["dataset"])
+    return found.withColumn("insight_score", F.round("insight_score", 6))
+
+
+@query(
+    "e11_similar_pairs",
+    f"""WITH q AS (SELECT conv_id, turn AS gt_id, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn AS pred_id, text FROM conversations WHERE role <> 'user'),
+s AS (SELECT q.conv_id, gt_id, pred_id, {jaccard_sql('q.text', 'a.text')} AS score FROM q JOIN a USING (conv_id))
+SELECT conv_id, gt_id, pred_id, round(score, 6) AS score FROM s WHERE score >= 0.1""",
+)
+def e11_similar_pairs(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.filter(F.col("role") == "user").select("conv_id", F.col("turn").alias("gt_id"), "text")
+    told = turns.filter(F.col("role") != "user").select("conv_id", F.col("turn").alias("pred_id"), "text")
+    return E.similar_pairs(asked, told, ["conv_id"], 0.1).withColumn("score", F.round("score", 6))
+
+
 CATEGORY_SQL = """CASE license WHEN 'us-pd' THEN 'ok' WHEN 'Creative Commons Attribution' THEN 'attribution' WHEN 'Creative Commons Attribution Share-Alike' THEN 'sharealike'
   WHEN 'CC-BY-NC-SA-4.0' THEN 'noncommercial' WHEN 'License not specified' THEN 'problem' WHEN '' THEN 'problem' WHEN '<MISSING>' THEN 'problem'
   ELSE CASE WHEN contains(license, 'NC') THEN 'noncommercial' WHEN contains(license, '-SA') THEN 'sharealike' ELSE 'review' END END"""
@@ -223,11 +284,21 @@ def g3_lineage_edges(spark, sf_dir):
     return G.lineage_edges(*lineage_inputs(spark, sf_dir), ["conv_id"])
 
 
-@query("g4_lineage_export", with_views("dv_refs", "dv_qa") + EDGES_SQL)
+@query(
+    "g4_lineage_export",
+    with_views("dv_refs", "dv_qa") + NODES_SQL.replace("SELECT conv_id, id, type, question, answer, insight FROM ids", ", edges AS (" + EDGES_SQL.removeprefix(REF_SQL + FOLLOW_SQL) + ")\nSELECT conv_id, id, type, question, answer, insight, NULL AS target FROM ids")
+    + " UNION ALL SELECT conv_id, source, 'link', NULL, NULL, NULL, target FROM edges",
+)
 def g4_lineage_export(spark, sf_dir):
     qa, insights = lineage_inputs(spark, sf_dir)
     path = fresh_path(spark, "lineage")
     G.write_lineage(
         G.lineage_nodes(qa, insights, ["conv_id"]), G.lineage_edges(qa, insights, ["conv_id"]), path
     )
-    return spark.read.schema("conv_id bigint, source string, target string").json(f"{path}/links")
+    nodes, edges = G.read_lineage(spark, path, "conv_id bigint,")
+    none = F.lit(None).cast("string")
+    links = edges.select(
+        "conv_id", F.col("source").alias("id"), F.lit("link").alias("type"),
+        *[none.alias(c) for c in ("question", "answer", "insight")], "target",
+    )
+    return nodes.withColumn("target", none).unionByName(links)

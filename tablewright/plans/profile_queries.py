@@ -17,19 +17,20 @@ from tablewright.plans.views import VIEWS, view, with_views
 PROFILED = {
     "orders": ("o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
     "customer": ("c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
-    "dv_part": ("p_partkey", ["p_partkey", "p_size", "p_type", "unit_text", "range_text", "embed_text", "list_text", "code_text", "mixed_text", "type_nullable", "size_nullable"]),
+    "dv_part": ("p_partkey", ["p_partkey", "p_size", "p_type", "const_text", "unit_text", "one_unit_text", "sign_text", "range_text", "no_range_text", "embed_text", "list_text", "wide_list_text", "code_text", "mixed_text", "sentinel_text", "type_nullable", "size_nullable"]),
 }
 SAMPLED = {
     **{k: v for k, v in PROFILED.items() if k != "orders"},
-    "documents": ("doc_id", ["text", "lang", "source"]),
-    "pages": ("page_id", ["url", "html"]),
-    "dv_dates": ("o_orderkey", ["o_orderdate", "iso_text", "era_text"]),
-    "events": ("event_id", ["value", "props"]),
+    "documents": ("doc_id", ["doc_id", "text", "lang", "source", "n_chars"]),
+    "pages": ("page_id", ["page_id", "url", "html"]),
+    "dv_dates": ("o_orderkey", ["o_orderkey", "o_orderdate", "iso_text", "loose_text", "era_text", "era_mixed"]),
+    "events": ("event_id", ["event_id", "ts", "user_id", "event_type", "value", "props"]),
 }
 KIND = {
     "o_orderkey": "integer", "o_custkey": "integer", "o_totalprice": "floating", "o_orderdate": "datetime",
     "c_custkey": "integer", "c_nationkey": "integer", "c_acctbal": "floating", "value": "floating",
-    "p_partkey": "integer", "p_size": "integer", "size_nullable": "integer",
+    "p_partkey": "integer", "p_size": "integer", "size_nullable": "integer", "doc_id": "integer", "n_chars": "integer",
+    "page_id": "integer", "event_id": "integer", "user_id": "integer", "ts": "datetime",
 }
 
 
@@ -99,7 +100,9 @@ def shape_cte() -> str:
   len(list_filter(s, lambda v: regexp_matches(v, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,6}}\\b'))) > 2 AS has_email,
   dtype = 'datetime' OR (dtype = 'string' AND has_values AND
     len(list_filter(s, lambda v: (regexp_matches(v, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') AND TRY_CAST(v AS TIMESTAMP) IS NOT NULL)
-      OR regexp_matches(v, '^平成\\d+年\\d+月\\d+日$'))) > 2) AS has_date
+      OR regexp_matches(v, '^平成\\d+年\\d+月\\d+日$')
+      OR regexp_matches(v, '^\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}$|^\\d{{4}}/\\d{{1,2}}/\\d{{1,2}} \\d\\d:\\d\\d$|^(19|20)\\d{{6}}$')
+      OR regexp_matches(v, '^(平成|㍻|H)[0-9０-９]|^\\d{{4}}年|^4\\d{{6}}$'))) > 2) AS has_date
 FROM samples),
 flagged AS (SELECT *, has_delimiters AND mean_char_count < 100 AS is_list, mean_word_count > 10 AS is_long_sentence FROM shape)"""
 

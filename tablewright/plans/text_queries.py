@@ -14,13 +14,23 @@ from tablewright.plans.views import view, with_views
 DESCRIBED = {
     "orders": {"o_orderkey": 7, "o_custkey": 0, "o_orderstatus": 1, "o_totalprice": 0, "o_orderdate": 2, "o_orderpriority": 1},
     "customer": {"c_custkey": 7, "c_name": 3, "c_nationkey": 1, "c_acctbal": 0, "c_mktsegment": 1},
-    "dv_part": {"p_size": 1, "unit_text": 8, "embed_text": 5, "size_nullable": 0, "type_nullable": 1, "const_text": 3},
-    "pages": {"url": 4},
+    "dv_part": {
+        "p_partkey": 7, "p_size": 1, "p_type": 1, "const_text": 3, "unit_text": 8, "one_unit_text": 8, "sign_text": 10, "range_text": 9,
+        "no_range_text": 9, "embed_text": 5, "list_text": 6, "wide_list_text": 6, "code_text": 11, "mixed_text": 1, "sentinel_text": 1,
+        "type_nullable": 1, "size_nullable": 0,
+    },
+    "pages": {"page_id": 7, "url": 4, "html": 3},
+    "dv_gaps": {"o_orderkey": 7, "o_custkey": 0, "o_orderpriority": 1, "some_key": 0, "price": 0, "grade": 0, "status": 1, "long_text": 3},
 }
 VALUE_TYPE = {
     "o_orderkey": "integer", "o_custkey": "integer", "o_totalprice": "floating", "o_orderdate": "datetime",
     "c_custkey": "integer", "c_nationkey": "integer", "c_acctbal": "floating", "p_size": "integer", "size_nullable": "integer",
+    "p_partkey": "integer", "page_id": "integer", "some_key": "integer", "price": "floating", "grade": "floating",
+    "range_text": "mixed", "no_range_text": "mixed", "mixed_text": "mixed", "sentinel_text": "mixed",
 }
+# NaN and infinities are missing.
+FINITE_SQL = ", finite_gaps AS (SELECT * REPLACE (CASE WHEN isfinite(price) THEN price END AS price, CASE WHEN isfinite(grade) THEN grade END AS grade) FROM dv_gaps)"
+
 
 
 def _detail(t, c, code):
@@ -47,10 +57,11 @@ def described_cte(tables) -> str:
     for t, columns in tables.items():
         for i, (c, code) in enumerate(columns.items()):
             code = 1 if c == "const_text" else code
+            rows = "finite_gaps" if t == "dv_gaps" else t
             arms.append(
                 f"SELECT '{t}' AS table_name, {i} AS pos, '{c}' AS column_name, '{I.TYPE_NAMES[code]}' AS type_name, "
                 f"'{VALUE_TYPE.get(c, 'string')}' AS value_type, CAST(CASE WHEN p > 0 AND p < 1 THEN 1 ELSE floor(p) END AS BIGINT) AS missing_pct, detail, total AS rows "
-                f"FROM (SELECT (count(*) - count({c})) * 100.0::DOUBLE / (count(*) + 1e-9) AS p, {_detail(t, c, code)} AS detail, count(*) AS total FROM {t})"
+                f"FROM (SELECT (count(*) - count({c})) * 100.0::DOUBLE / (count(*) + 1e-9) AS p, {_detail(rows, c, code)} AS detail, count(*) AS total FROM {rows})"
             )
     return "described AS (" + "\nUNION ALL\n".join(arms) + ")"
 
@@ -67,7 +78,7 @@ def _load(spark, sf_dir, name):
 
 @query(
     "d1_describe",
-    with_views("dv_part") + "," + described_cte(DESCRIBED)
+    with_views("dv_part", "dv_gaps") + FINITE_SQL + "," + described_cte(DESCRIBED)
     + "SELECT table_name, column_name, type_name, value_type, missing_pct, detail, rows FROM described",
 )
 def d1_describe(spark, sf_dir):

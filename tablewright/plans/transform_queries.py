@@ -57,6 +57,17 @@ def x2_ordinal_encode_many(spark, sf_dir):
     return X.OrdinalEncode(["o_totalprice"], inline=100).fit(rows).transform(rows)
 
 
+@query(
+    "x2_ordinal_encode_gaps",
+    with_views("dv_gaps") + """, codes AS (SELECT grade, row_number() OVER (ORDER BY grade) - 1 AS code FROM (SELECT DISTINCT grade FROM dv_gaps WHERE isfinite(grade)))
+SELECT o_orderkey, CASE WHEN price IS NULL OR NOT isfinite(price) THEN -1 ELSE dense_rank() OVER (ORDER BY CASE WHEN isfinite(price) THEN price END NULLS LAST) - 1 END AS price,
+  coalesce(code, -1) AS grade FROM dv_gaps LEFT JOIN codes USING (grade)""",
+)
+def x2_ordinal_encode_gaps(spark, sf_dir):
+    rows = view(spark, sf_dir, "dv_gaps").select("o_orderkey", "price", "grade")
+    return X.OrdinalEncode(["price", "grade"], inline=100).fit(rows).transform(rows)
+
+
 def stamp_parts(stamp, prefix, names=("year", "month", "day", "weekday", "hour", "minute", "second")):
     calls = ("year", "month", "day", "isodow", "hour", "minute", "second")
     return ", ".join(
@@ -78,6 +89,23 @@ def x3_date_parts(spark, sf_dir):
     return X.DateParts(["o_orderdate", "iso_text", "loose_text"], dialect="western").fit(rows).transform(rows)
 
 
+@query(
+    "x3_loose_spellings",
+    r"""WITH t AS (SELECT o_orderkey, o_orderdate + (o_orderkey % 86400) * INTERVAL 1 SECOND AS moment FROM orders), s AS (SELECT o_orderkey, CASE o_orderkey % 6
+    WHEN 0 THEN strptime(strftime(moment, '%m/%d/%Y %I:%M:%S %p'), '%m/%d/%Y %I:%M:%S %p') WHEN 1 THEN strptime(strftime(moment, '%Y-%m-%d %I:%M %p'), '%Y-%m-%d %I:%M %p')
+    WHEN 2 THEN strptime(strftime(moment, '%Y'), '%Y') WHEN 3 THEN strptime(strftime(moment, '%b %Y'), '%b %Y') WHEN 4 THEN strptime(strftime(moment, '%m/%d/%y'), '%m/%d/%y')
+    ELSE strptime(strftime(moment, '%a, %d %b %Y'), '%a, %d %b %Y') END AS loose FROM t)
+SELECT o_orderkey, """ + stamp_parts("loose", "loose") + " FROM s",
+)
+def x3_loose_spellings(spark, sf_dir):
+    spelled = F.expr("""CASE o_orderkey % 6 WHEN 0 THEN date_format(at, 'MM/dd/yyyy hh:mm:ss a') WHEN 1 THEN date_format(at, 'yyyy-MM-dd h:mm a')
+      WHEN 2 THEN date_format(at, 'yyyy') WHEN 3 THEN date_format(at, 'MMM yyyy') WHEN 4 THEN date_format(at, 'MM/dd/yy')
+      ELSE date_format(at, 'E, dd MMM yyyy') END""")
+    at = F.expr("o_orderdate + make_interval(0, 0, 0, 0, 0, 0, o_orderkey % 86400)")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", at.alias("at")).select("o_orderkey", spelled.alias("loose"))
+    return X.DateParts(["loose"], dialect="western").fit(rows).transform(rows)
+
+
 JP = ("年", "月", "日", "曜日", "時", "分", "秒")
 
 
@@ -102,6 +130,15 @@ def x5_date_dialect(spark, sf_dir):
     return X.DateParts(["iso_text", "era_text"], key="o_orderkey").fit(rows).transform(rows)
 
 
+@query(
+    "x5_late_era_date",
+    with_views("dv_dates") + "SELECT o_orderkey, " + stamp_parts("CASE WHEN o_orderkey % 997 = 0 THEN o_orderdate ELSE TRY_CAST(iso_text AS TIMESTAMP) END", "mixed", JP) + " FROM dv_dates",
+)
+def x5_late_era_date(spark, sf_dir):
+    rows = view(spark, sf_dir, "dv_dates").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 997 = 0 THEN era_text ELSE iso_text END AS mixed")
+    return X.DateParts(["mixed"]).fit(rows).transform(rows)
+
+
 @query(
     "x6_tfidf",
     r"""WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(
@@ -376,6 +413,16 @@ def x25_mode_impute(spark, sf_dir):
     return X.ModeImpute(["type_nullable", "size_nullable"]).fit(rows).transform(rows)
 
 
+@query(
+    "x25_mode_impute_gaps",
+    with_views("dv_gaps") + """, ties AS (SELECT DISTINCT long_text, 1 AS n FROM dv_gaps)
+SELECT n, coalesce(long_text, (SELECT min(long_text) FROM ties)) AS long_text FROM ties""",
+)
+def x25_mode_impute_gaps(spark, sf_dir):
+    rows = view(spark, sf_dir, "dv_gaps").select("long_text").distinct().withColumn("n", F.lit(1))
+    return X.ModeImpute(["long_text"]).fit(rows).transform(rows)
+
+
 @query(
     "x26_chain",
     with_views("dv_part") + f"""SELECT p_partkey, {digits('embed_text')} AS embed_text,

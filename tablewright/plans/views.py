@@ -63,6 +63,21 @@ SELECT o_orderkey, o_orderdate,
     WHEN 4 THEN '4' || substr(CAST((year(o_orderdate) - 1988) * 10000 + 1000000 + month(o_orderdate) * 100 + day(o_orderdate) AS STRING), 2)
     ELSE '平成' || CAST(year(o_orderdate) - 1988 AS STRING) || '年' || CAST(month(o_orderdate) AS STRING) || '月' || CAST(day(o_orderdate) AS STRING) || '日9時5分' END AS era_mixed
 FROM {orders}
+""",
+    ),
+    # Numbers with NaN, infinities and nulls, null keys and categories, and long texts that tie.
+    "dv_gaps": (
+        ["orders"],
+        """
+SELECT o_orderkey, o_custkey, o_orderpriority,
+  CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_orderkey END AS some_key,
+  CASE o_orderkey % 11 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN NULL WHEN 2 THEN CAST('Infinity' AS DOUBLE)
+    ELSE floor(o_totalprice / 100) END AS price,
+  CASE o_orderkey % 13 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST(-1 AS DOUBLE) ELSE CAST(o_orderkey % 7 AS DOUBLE) + 8 END AS grade,
+  CASE WHEN o_orderkey % 23 = 0 THEN 'only under a null key' WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS status,
+  CASE WHEN o_orderkey % 9 = 0 THEN NULL
+    ELSE repeat('long text before the end ', 4) || substr('hgfedcba', CAST(o_orderkey % 8 AS INT) + 1, 1) END AS long_text
+FROM {orders}
 """,
     ),
     # Dataset metadata, one row per customer.

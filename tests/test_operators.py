@@ -220,4 +220,4 @@ def test_share_and_heatmap(spark):
     df = frame(spark, [("a", "p", 1.0), ("a", "q", 3.0), ("b", "p", 2.0)], "x string, l string, y double")
     shares = {(r["x"], r["legend"]): r["share"] for r in A.share(df, F.col("x"), F.sum("y"), F.col("l")).collect()}
     assert shares == {("a", "p"): 0.25, ("a", "q"): 0.75, ("b", "p"): 1.0}
-    assert A.heatmap(df, "x", "l", F.sum("y")).columns == ["x", "p", "q"]
+    assert A.heatmap(df, "x", "l", F.sum("y"), ["p", "q"]).columns == ["x", "p", "q"]
