@@ -19,8 +19,8 @@ from tablewright.operators.ranking import top_per_group
 
 MAX_CATEGORIES = 20
 MAX_EXAMPLES = 10
+# Fixed value: rows from which a sidecar table is described instead of listed.
 MAX_LINES = 300
-PART_TURNS = 500
 
 
 def ordinal(i: Column) -> Column:
@@ -218,15 +218,22 @@ def _joined_parts(lines: DataFrame, conv: str, turn: str, per_part: int) -> Data
     )
 
 
-def transcript(df: DataFrame, conv: str, turn: str, role: str = "role", text: str = "text", per_part: int = PART_TURNS) -> DataFrame:
-    """(conv, part, text): the question and answer text of each conversation."""
+def question_lines(df: DataFrame, role: str = "role", text: str = "text") -> DataFrame:
+    """Add ``line``: the text of user turns; others drop out."""
+    return df.filter(F.col(role) == "user").withColumn("line", F.col(text))
+
+
+def transcript(df: DataFrame, conv: str, turn: str, per_part: int, role: str = "role", text: str = "text") -> DataFrame:
+    """(conv, part, text): the question and answer text of each conversation, ``per_part`` turns to a text.
+
+    ``transcript_lines`` gives the same as rows, for conversations of any length.
+    """
     return _joined_parts(transcript_lines(df, role, text), conv, turn, per_part)
 
 
-def questions(df: DataFrame, conv: str, turn: str, role: str = "role", text: str = "text", per_part: int = PART_TURNS) -> DataFrame:
-    """(conv, part, text): the questions of each conversation, one per line."""
-    asked = df.filter(F.col(role) == "user").withColumn("line", F.col(text))
-    return _joined_parts(asked, conv, turn, per_part)
+def questions(df: DataFrame, conv: str, turn: str, per_part: int, role: str = "role", text: str = "text") -> DataFrame:
+    """(conv, part, text): the questions of each conversation, one per line, ``per_part`` turns to a text."""
+    return _joined_parts(question_lines(df, role, text), conv, turn, per_part)
 
 
 def distinct_lines(df: DataFrame, key: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -242,11 +249,19 @@ def distinct_lines(df: DataFrame, key: str | Sequence[str], columns: Sequence[st
     )
 
 
-def sidecar_text(df: DataFrame, key: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Text of a sidecar table: its distinct lines when short, else its description."""
+def sidecar_text(
+    df: DataFrame, key: str | Sequence[str], columns: Sequence[str] | None = None, max_lines: int = MAX_LINES
+) -> DataFrame:
+    """Text of a sidecar table: its distinct lines with fewer than ``max_lines`` rows, else its description."""
     names = df.columns if columns is None else list(columns)
-    if df.limit(MAX_LINES).count() >= MAX_LINES:
+    if df.limit(max_lines).count() >= max_lines:
         return describe_text(describe_table(df, None, key, names))
+    return listed_text(df, key, names)
+
+
+def listed_text(df: DataFrame, key: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """One row with the header and the distinct lines of a table that is known to be short."""
+    names = df.columns if columns is None else list(columns)
     lines = distinct_lines(df, key, names).agg(
         F.sort_array(F.collect_list(F.struct("first", "line"))).alias("_l")
     )

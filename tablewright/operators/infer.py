@@ -222,15 +222,27 @@ def candidate_classes(probabilities: DataFrame, filtered: bool = False) -> DataF
 
 
 def type_candidates(
-    probabilities: DataFrame, top_n: int = TOP_CANDIDATES, filtered: bool = False
+    probabilities: DataFrame, top_n: int = TOP_CANDIDATES, filtered: bool = False, fallback: DataFrame | None = None
 ) -> DataFrame:
     """Best combinations of column types per table: (table_id, rank, types, score).
 
+    ``fallback`` (table_id, column_id, class) lists all columns with their likeliest
+    class, which a column takes, at no score, when no class is above chance: types
+    stay in the places of their columns.
+
     The score is a sum over columns, so keeping the best ``top_n`` partial sums
     after each column gives the exact top ``top_n`` without the full product. One
     table's columns, not its rows, are gathered, so a group is a schema wide.
     """
-    per_table = candidate_classes(probabilities, filtered).groupBy("table_id").agg(
+    classes = candidate_classes(probabilities, filtered)
+    if fallback is not None:
+        likeliest = F.array(F.struct(F.col("_class").alias("class"), F.lit(0.0).alias("probability")))
+        every = fallback.select("table_id", "column_id", F.col("class").alias("_class"))
+        classes = every.join(classes, ["table_id", "column_id"], "left").select(
+            "table_id", "column_id",
+            F.when(F.size("classes") > 0, F.col("classes")).otherwise(likeliest).alias("classes"),
+        )
+    per_table = classes.groupBy("table_id").agg(
         F.sort_array(F.collect_list(F.struct("column_id", "classes"))).alias("columns")
     )
     start = F.array(

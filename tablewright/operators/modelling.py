@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -22,6 +24,8 @@ ROUNDS, DEPTH, RATE = 30, 3, 0.25
 MAX_ROUNDS = 3
 # Rows per class that candidates are fitted and checked on.
 TRAIN_ROWS, VALIDATION_ROWS = 200, 80
+#: Errors that a candidate's own columns can cause.
+CANDIDATE_FAULTS = (AnalysisException, IllegalArgumentException, ValueError, ArithmeticError)
 READY = (I.NUMERIC, I.CATEGORICAL, I.SENTENCE)
 
 TRANSFORMS = {
@@ -44,9 +48,12 @@ def enrich(
     types: dict[str, int],
     max_rounds: int = MAX_ROUNDS,
     key: str | Sequence[str] | None = None,
+    model=None,
 ) -> tuple[DataFrame, dict[str, int], PipelineModel]:
     """Apply the transform of every column that is not ready for a model yet.
 
+    New columns are typed by ``model``, a fitted type classifier, or by the rules.
+
     Each round fits one transform per type, applies them as projections and types
     all new columns together. Row keys stay out of ``types`` and pass through.
     """
@@ -62,9 +69,9 @@ def enrich(
         before = set(df.columns)
         for code, columns in sorted(todo.items()):
             stage = TRANSFORMS[code](columns)
-            model = stage.fit(df) if hasattr(stage, "fit") else stage
-            df = model.transform(df)
-            stages.append(model)
+            fitted = stage.fit(df) if hasattr(stage, "fit") else stage
+            df = fitted.transform(df)
+            stages.append(fitted)
         types = {
             c: (I.NUMERIC if code in KEPT_IN_PLACE else code)
             for c, code in types.items()
@@ -72,7 +79,7 @@ def enrich(
         }
         fresh = [c for c in df.columns if c not in before]
         if fresh:
-            for column, code in I.types_of(df, key, fresh).items():
+            for column, code in I.types_of(df, key, fresh, model).items():
                 forced = column.endswith(TEXT_SUFFIXES) and code != I.DROP
                 types[column] = I.SENTENCE if forced or code == I.FORMATTED_ID else code
     return df, types, PipelineModel(stages)
@@ -147,17 +154,24 @@ def score_candidates(
     targets: Sequence[str],
     task: str,
     learner: str = "gbt",
-) -> list[tuple[int, list[int], float]]:
+    key: str | Sequence[str] | None = None,
+    model=None,
+    at_once: int = 4,
+) -> tuple[list[tuple[int, list[int], float]], list[tuple[int, list[int], str]]]:
     """Fit every candidate on the capped sample and score it on the validation part.
 
-    Returns (rank, types, score) rows for :func:`tablewright.operators.infer.best_candidate`.
-    A candidate that cannot be fitted is left out.
+    Returns (rank, types, score) rows for :func:`tablewright.operators.infer.best_candidate`,
+    and (rank, types, reason) of the candidates that have no score: those whose
+    columns cannot be fitted (``CANDIDATE_FAULTS``) or give no number. Any other
+    error, a lost executor among them, ends the search. ``at_once`` candidates
+    are worked on side by side.
     """
-    scored = []
-    for rank, types in enumerate(candidates, start=1):
+    scored, failed = [], []
+
+    def one(rank: int, types: dict[str, int]):
         try:
             inputs = {c: t for c, t in types.items() if c not in targets}
-            enriched, final, chain = enrich(train, inputs)
+            enriched, final, chain = enrich(train, inputs, key=key, model=model)
             checked = chain.transform(validation)
             predicted, names = checked, []
             for target, pipeline in zip(targets, build_pipeline(final, targets, task, learner)):
@@ -166,10 +180,17 @@ def score_candidates(
                 names.append(target)
             labels = targets if task == "regression" else [f"{t}_index" for t in targets]
             value = score(predicted, labels, [f"{t}_predicted" for t in targets], task).first()["score"]
-        except (PySparkException, ValueError, ArithmeticError):
-            continue
-        scored.append((rank, list(types.values()), float(value)))
-    return scored
+        except CANDIDATE_FAULTS as error:
+            return rank, list(types.values()), None, f"{type(error).__name__}: {error}"[:500]
+        return rank, list(types.values()), value, "no score"
+
+    with ThreadPoolExecutor(at_once) as pool:
+        for rank, types, value, reason in pool.map(lambda x: one(*x), enumerate(candidates, start=1)):
+            if value is None or value != value:
+                failed.append((rank, types, reason))
+            else:
+                scored.append((rank, types, float(value)))
+    return scored, failed
 
 
 def search_types(
@@ -194,16 +215,21 @@ def search_types(
     train = parts.filter(F.col("split") == "train").drop("split")
     validation = parts.filter(F.col("split") == "validation").drop("split")
     profiles = durable(I.type_profile(train, key, inputs).withColumn("table", F.lit("input")))
-    found = I.type_candidates(model.probabilities(profiles), top_n, filtered=True)
+    likeliest = model.transform(profiles).select(F.col("table").alias("table_id"), F.col("pos").alias("column_id"), F.col("type").alias("class"))
+    found = I.type_candidates(model.probabilities(profiles), top_n, filtered=True, fallback=likeliest)
     candidates = [dict(zip(inputs, r["types"])) for r in found.orderBy("rank").collect()]
-    scored = score_candidates(
+    scored, failed = score_candidates(
         durable(capped_sample(train, targets[0], TRAIN_ROWS, key, task)),
         durable(capped_sample(validation, targets[0], VALIDATION_ROWS, key, task)),
         candidates,
         targets,
         task,
         learner,
+        key,
+        model,
     )
+    for rank, types, reason in failed:
+        warnings.warn(f"candidate {rank} has no score: {reason}", stacklevel=2)
     if not scored:
         return {r["column"]: r["type"] for r in model.transform(profiles).select("column", "type").collect()}
     rows = spark.createDataFrame(

@@ -10,7 +10,15 @@ from tablewright.operators import sampling as M
 from tablewright.plans.registry import query, table
 from tablewright.plans.views import view, with_views
 from tablewright.session import fresh_path
-from tablewright.sources.files import read_labelled_profiles, read_table, write_json
+from tablewright.sources.files import (
+    read_column_notes,
+    read_keyed_json,
+    read_labelled_profiles,
+    read_metadata,
+    read_sidecars,
+    read_table,
+    write_json,
+)
 
 
 def sales(spark, sf_dir):
@@ -240,6 +248,88 @@ def s1_read_csv(spark, sf_dir):
     return read_table(spark, path, schema=schema)
 
 
+@query(
+    "s1_two_encodings",
+    "SELECT c_custkey, c_name || CASE WHEN c_custkey % 2 = 0 THEN ' é' ELSE ' ü' END AS c_name FROM customer",
+)
+def s1_two_encodings(spark, sf_dir):
+    path = fresh_path(spark, "csv")
+    rows = table(spark, sf_dir, "customer")
+    for kind, even, mark in (("UTF-8", 0, " é"), ("ISO-8859-1", 1, " ü")):
+        half = rows.filter(F.col("c_custkey") % 2 == even)
+        half.select("c_custkey", F.concat("c_name", F.lit(mark)).alias("c_name")).write.option("header", True).option(
+            "encoding", kind
+        ).csv(f"{path}/with blank {even}")
+    return read_table(spark, [f"{path}/with blank 0", f"{path}/with blank 1"], schema="c_custkey bigint, c_name string")
+
+
+def keyed_files(rows, path, body, *levels):
+    """Write one JSON row to each file under folders named by the levels."""
+    rows.select(*levels, F.to_json(body).alias("value")).write.partitionBy(*levels).text(path)
+
+
+@query(
+    "s2_read_metadata",
+    "SELECT 'nation=' || CAST(c_nationkey AS VARCHAR) AS path, 'Customers of ' || CAST(c_nationkey AS VARCHAR) AS dataset_title, CASE WHEN c_nationkey % 3 = 0 THEN '<MISSING>' ELSE 'us-pd' END AS license, '' AS publisher FROM customer GROUP BY c_nationkey",
+)
+def s2_read_metadata(spark, sf_dir):
+    path = fresh_path(spark, "metadata")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).distinct()
+    body = F.struct(
+        F.concat(F.lit("Customers of "), F.col("nation").cast("string")).alias("dataset_title"),
+        F.when(F.col("nation") % 3 != 0, "us-pd").otherwise("").alias("license"),
+    )
+    keyed_files(rows, path, body, "nation")
+    return read_metadata(spark, path, "part-*").select("path", "dataset_title", "license", "publisher")
+
+
+@query(
+    "s3_read_keyed_json",
+    "SELECT 'status=' || o_orderstatus AS data_source, 'priority=' || substr(o_orderpriority, 1, 1) AS dataset_id, count(*) AS orders FROM orders GROUP BY 1, 2",
+)
+def s3_read_keyed_json(spark, sf_dir):
+    path = fresh_path(spark, "keyed")
+    rows = table(spark, sf_dir, "orders").groupBy(
+        F.col("o_orderstatus").alias("status"), F.substring("o_orderpriority", 1, 1).alias("priority")
+    ).agg(F.count(F.lit(1)).alias("orders"))
+    keyed_files(rows, path, F.struct("orders"), "status", "priority")
+    return read_keyed_json(spark, path, "part-*", "orders bigint", ["data_source", "dataset_id"])
+
+
+@query("s4_read_column_notes", "SELECT p_name AS column, any_value(p_type) AS description FROM part GROUP BY p_name HAVING p_name < 'm'")
+def s4_read_column_notes(spark, sf_dir):
+    path = fresh_path(spark, "notes")
+    notes = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.any_value("p_type").alias("description"))
+    # one document per table, as wide as its columns
+    notes.agg(F.to_json(F.struct(F.struct(F.struct(F.collect_list(F.struct("name", "description")).alias("columns")).alias("view")).alias("meta")))).write.text(path)
+    names = [r[0] for r in notes.filter(F.col("name") < "m").select("name").collect()]
+    return read_column_notes(spark, path, names)
+
+
+@query(
+    "s6_read_sidecars",
+    """SELECT 'txt' AS kind, 'read' AS status, r_name || chr(10) || 'key ' || CAST(r_regionkey AS VARCHAR) AS text FROM region
+UNION ALL SELECT 'xml', 'read', r_name || chr(10) || CAST(r_regionkey AS VARCHAR) FROM region
+UNION ALL SELECT 'csv', 'read', 'name|key' || chr(10) || r_name || '|' || CAST(r_regionkey AS VARCHAR) FROM region
+UNION ALL SELECT 'pdf', 'no reader', NULL FROM region""",
+)
+def s6_read_sidecars(spark, sf_dir):
+    path = fresh_path(spark, "sidecars")
+    rows = table(spark, sf_dir, "region")
+    name, key = F.col("r_name"), F.col("r_regionkey").cast("string")
+    bodies = {
+        "txt": F.concat(name, F.lit("\nkey "), key), "xml": F.concat(F.lit("<r><a>"), name, F.lit("</a><b>"), key, F.lit("</b></r>")),
+        "csv": F.concat(F.lit("name,key\n"), name, F.lit(","), key), "pdf": F.lit("%PDF"),
+    }
+    paths = []
+    for kind, body in bodies.items():
+        rows.select("r_regionkey", body.alias("value")).write.option("lineSep", "\u0001").partitionBy("r_regionkey").text(f"{path}/{kind}")
+        written = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/{kind}")
+        paths += [(kind, r["path"]) for r in written.select("path").collect()]
+    found = read_sidecars(spark, [p for _, p in paths], kinds=[k for k, _ in paths])
+    return found.select("kind", "status", F.rtrim(F.col("text"), F.lit("\u0001")).alias("text"))
+
+
 @query(
     "s7_labelled_profiles",
     "SELECT doc_id, subcategory FROM (SELECT doc_id, CASE quality + 2 * toxic WHEN 0 THEN 'numeric' WHEN 1 THEN 'url' WHEN 2 THEN 'list' ELSE 'other' END AS subcategory FROM labels) WHERE subcategory IN ('url', 'list')",

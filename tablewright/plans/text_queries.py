@@ -141,7 +141,15 @@ def d4_flatten_notes(spark, sf_dir):
 FROM conversations WHERE role IN ('user', 'assistant') GROUP BY ALL""",
 )
 def d5_transcript(spark, sf_dir):
-    return D.transcript(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return D.transcript(table(spark, sf_dir, "conversations"), "conv_id", "turn", 500)
+
+
+@query(
+    "d5_transcript_lines",
+    """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Q: ' || text ELSE 'A: ' || text || chr(10) END AS line FROM conversations WHERE role IN ('user', 'assistant')""",
+)
+def d5_transcript_lines(spark, sf_dir):
+    return D.transcript_lines(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "line")
 
 
 @query(
@@ -150,7 +158,7 @@ def d5_transcript(spark, sf_dir):
 FROM conversations WHERE role = 'user' GROUP BY ALL""",
 )
 def d6_questions(spark, sf_dir):
-    return D.questions(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return D.questions(table(spark, sf_dir, "conversations"), "conv_id", "turn", 500)
 
 
 @query(
@@ -196,7 +204,7 @@ def w3_fenced_code(spark, sf_dir):
 
 
 RESPONSE = """CASE event_id % 4 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```'
-  WHEN 1 THEN '{' || chr(10) || '    "refs": "[1, 2]", "in": ' || props || '}' WHEN 2 THEN props ELSE 'not json: ' || props END"""
+  WHEN 1 THEN '{' || chr(10) || '    "refs": "[1, 2]", "in": ' || props || '}' WHEN 2 THEN replace(props, '"', chr(39)) ELSE 'not json: ' || props END"""
 
 
 @query(

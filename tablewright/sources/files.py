@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,12 @@ SIDECAR_KINDS = {
     "xlsx": None, "xls": None, "pdf": None, "docx": None, "doc": None,
 }
 
+TEXT_OF = {
+    "txt": lambda value: value,
+    "xml": markup_lines,
+    "html": lambda value: F.array_join(text_blocks(value), "\n"),
+}
+
 
 def badly_encoded(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
     """Files that do not decode as UTF-8, found in one scan."""
@@ -48,7 +56,8 @@ def badly_encoded(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
         .select("file")
         .distinct()
     )
-    return [r["file"] for r in bad.collect()]
+    # the metadata path is URL-encoded, the reader's is not
+    return [unquote(r["file"]) for r in bad.collect()]
 
 
 def read_table(
@@ -56,20 +65,24 @@ def read_table(
     paths: str | Sequence[str],
     fallback_encoding: str | None = "ISO-8859-1",
     schema: T.StructType | str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """CSV files with a header; files that are not UTF-8 are read in the fallback encoding."""
+    """CSV files with a header; files that are not UTF-8 are read in the fallback encoding.
+
+    A file is read in splits unless ``multi_line`` says that cells hold line breaks.
+    """
     names = [paths] if isinstance(paths, str) else list(paths)
 
     def csv(files, encoding, kind):
         reader = spark.read.option("header", True).option("encoding", encoding)
-        reader = reader.option("multiLine", True).option("escape", '"')
+        reader = reader.option("multiLine", multi_line).option("escape", '"')
         return reader.schema(kind).csv(files) if kind is not None else reader.option("inferSchema", True).csv(files)
 
     bad = badly_encoded(spark, names) if fallback_encoding else []
     if not bad:
         return csv(names, "UTF-8", schema)
-    listed = spark.read.format("binaryFile").load(names).select("path")
-    good = [r["path"] for r in listed.filter(~F.col("path").isin(bad)).collect()]
+    listed = spark.read.format("binaryFile").load(names).select("_metadata.file_path").collect()
+    good = sorted({unquote(r["file_path"]) for r in listed} - set(bad))
     if not good:
         return csv(bad, fallback_encoding, schema)
     first = csv(good, "UTF-8", schema)
@@ -155,9 +168,9 @@ def read_column_notes(spark: SparkSession, path: str, columns: Sequence[str]) ->
     return matched.filter(~gap & (F.col("description") != ""))
 
 
-def read_sidecar(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
-    """(text): the readable text of one sidecar document."""
-    kind = SIDECAR_KINDS.get(path.rsplit(".", 1)[-1].lower())
+def read_sidecar(spark: SparkSession, path: str, columns: Sequence[str] = (), kind: str | None = None) -> DataFrame:
+    """(text): the readable text of one sidecar document, of the kind its name says unless given."""
+    kind = SIDECAR_KINDS.get(kind or path.rsplit(".", 1)[-1].lower())
     if kind is None:
         raise ValueError(f"no reader for {path}")
     if kind == "csv":
@@ -168,29 +181,37 @@ def read_sidecar(spark: SparkSession, path: str, columns: Sequence[str] = ()) ->
         notes = read_column_notes(spark, path, columns)
         line = F.concat_ws(": ", "column", "description")
         return notes.agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
-    value = F.col("value")
-    text = {
-        "txt": value,
-        "xml": markup_lines(value),
-        "html": F.array_join(text_blocks(value), "\n"),
-    }[kind]
-    return spark.read.text(path, wholetext=True).select(text.alias("text"))
-
-
-def read_sidecars(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
-    """(path, kind, text, status) of sidecar documents; kinds without a reader are reported."""
-    out = None
-    for path in paths:
-        kind = path.rsplit(".", 1)[-1].lower()
-        if SIDECAR_KINDS.get(kind):
-            text, status = read_sidecar(spark, path, columns), "read"
+    return spark.read.text(path, wholetext=True).select(TEXT_OF[kind](F.col("value")).alias("text"))
+
+
+def read_sidecars(
+    spark: SparkSession, paths: Sequence[str], columns: Sequence[str] = (), kinds: Sequence[str] | None = None
+) -> DataFrame:
+    """(path, kind, text, status) of sidecar documents; kinds without a reader are reported.
+
+    Text, markup and page documents of a kind are read by one scan of all their
+    files. A table or a column document has a schema of its own, and so a scan.
+    """
+    kinds = [p.rsplit(".", 1)[-1].lower() for p in paths] if kinds is None else list(kinds)
+    of_kind: dict[str, list[str]] = {}
+    for path, kind in zip(paths, kinds, strict=True):
+        of_kind.setdefault(kind, []).append(path)
+    frames = []
+    for kind, files in of_kind.items():
+        if SIDECAR_KINDS.get(kind) in TEXT_OF:
+            whole = spark.read.text(files, wholetext=True).select(
+                F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), "value"
+            )
+            frames.append(whole.select("path", F.lit(kind).alias("kind"), TEXT_OF[kind](F.col("value")).alias("text"), F.lit("read").alias("status")))
+        elif SIDECAR_KINDS.get(kind):
+            frames += [
+                read_sidecar(spark, path, columns, kind).select(F.lit(path).alias("path"), F.lit(kind).alias("kind"), "text", F.lit("read").alias("status"))
+                for path in files
+            ]
         else:
-            text, status = spark.range(1).select(F.lit(None).cast("string").alias("text")), "no reader"
-        one = text.select(
-            F.lit(path).alias("path"), F.lit(kind).alias("kind"), "text", F.lit(status).alias("status")
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+            rows = [(path, kind, None, "no reader") for path in files]
+            frames.append(spark.createDataFrame(rows, "path string, kind string, text string, status string"))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def read_labelled_profiles(spark: SparkSession, path: str, labels: Sequence[str]) -> DataFrame:

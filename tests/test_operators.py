@@ -213,7 +213,7 @@ def test_transcript_parts_stay_bounded(spark):
     df = frame(spark, rows, "conv int, turn long, role string, text string")
     got = D.transcript(df, "conv", "turn", per_part=5).orderBy("part").collect()
     assert len(got) == 3 and got[0]["text"].startswith("Q: t0\nA: t1\n")
-    assert D.questions(df, "conv", "turn").first()["text"] == "t0\nt2\nt4\nt6\nt8\nt10"
+    assert D.questions(df, "conv", "turn", 500).first()["text"] == "t0\nt2\nt4\nt6\nt8\nt10"
 
 
 def test_share_and_heatmap(spark):

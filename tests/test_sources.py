@@ -20,6 +20,18 @@ def test_latin1_file_is_read_in_its_encoding(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("Zoë", 1), ("café", 2)]
 
 
+def test_names_with_blanks_and_percent_signs(spark, tmp_path):
+    good = write(tmp_path / "t" / "a 1%.csv", "name,n\nZoë,1\n")
+    bad = write(tmp_path / "t" / "b c.csv", "name,n\ncafé,2\n", "latin-1")
+    got = S.read_table(spark, [good, bad])
+    assert sorted(map(tuple, got.collect())) == [("Zoë", 1), ("café", 2)]
+
+
+def test_line_breaks_inside_cells(spark, tmp_path):
+    path = write(tmp_path / "a.csv", 'name,n\n"two\nlines",1\n')
+    assert [tuple(r) for r in S.read_table(spark, path, multi_line=True).collect()] == [("two\nlines", 1)]
+
+
 def test_unreadable_table_is_skipped(spark, tmp_path):
     good = write(tmp_path / "a.csv", "x\n1\n")
     with pytest.warns(UserWarning):
