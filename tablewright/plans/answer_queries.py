@@ -323,11 +323,11 @@ def s6_read_sidecars(spark, sf_dir):
     }
     paths = []
     for kind, body in bodies.items():
-        rows.select("r_regionkey", body.alias("value")).write.option("lineSep", "\u0001").partitionBy("r_regionkey").text(f"{path}/{kind}")
+        rows.select("r_regionkey", body.alias("value")).write.partitionBy("r_regionkey").text(f"{path}/{kind}")
         written = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/{kind}")
         paths += [(kind, r["path"]) for r in written.select("path").collect()]
     found = read_sidecars(spark, [p for _, p in paths], kinds=[k for k, _ in paths])
-    return found.select("kind", "status", F.rtrim(F.col("text"), F.lit("\u0001")).alias("text"))
+    return found.select("kind", "status", F.rtrim(F.col("text"), F.lit("\n")).alias("text"))
 
 
 @query(

@@ -38,7 +38,7 @@ def test_long_texts_keep_their_whole_value(spark):
     long = "x" * 500
     df = frame(spark, [(1, long + "1"), (2, "short"), (3, long + "2"), (4, long + "1")], "k int, s string")
     counts = P.value_counts(df, "k", ["s"])
-    assert counts.agg(F.max(F.length("token"))).first()[0] < 80
+    assert counts.agg(F.max(F.length("token"))).first()[0] < 130
     assert P.column_samples(df, "k", columns=["s"]).first()["samples"][:3] == [long + "1", "short", long + "2"]
 
 
