@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import text_or_empty
 
 #: Words kept encoded by a worker before it starts afresh.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 #: Characters of a text, and ids, that are worked on at once.
 BLOCK_CHARS = 1_000_000
 BLOCK_IDS = 1_000_000

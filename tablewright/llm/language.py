@@ -38,6 +38,8 @@ REJECTED = 0.0002
 SURE = 0.5
 UNKNOWN = "und"
 BLOCK = 1_000_000
+#: Texts whose bucket counts are held at once.
+TOGETHER = 64
 OTHER = re.compile(r"[\W\d_]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0x100000001B3)
@@ -88,13 +90,13 @@ class Model:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.languages:
             return names, scores
-        for at in range(0, len(texts), 256):
+        for at in range(0, len(texts), TOGETHER):
             means, rows = [], []
-            for i, text in enumerate(texts[at : at + 256]):
+            for i, text in enumerate(texts[at : at + TOGETHER]):
                 letters = cleaned(text)
                 if letters:
                     count = counts(letters)
-                    means.append(count / count.sum())
+                    means.append((count / count.sum()).astype(np.float32))
                     rows.append(at + i)
             if rows:
                 found = self.scores(np.stack(means))

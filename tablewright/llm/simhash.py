@@ -47,7 +47,9 @@ LIMIT = 4
 LEAF = 32
 FAN = 8
 #: Searches that go down the tree together.
-TOGETHER = 256
+TOGETHER = 64
+#: Pairs of a search and a leaf that are compared at once.
+LEAVES = 8_192
 #: Members that a node should have at most, on average.
 NODE_ROWS = 64
 BLOCK = 100_000
@@ -149,14 +151,18 @@ class GrayTree:
             gone = gone + np.bitwise_count((queries[query] ^ one[node]) & own[node])
             keep = (gone <= limit) & live[depth][node]
             query, gone, node = query[keep], gone[keep], node[keep]
-        member = (node[:, None] * LEAF + np.arange(LEAF)).ravel()
-        query = np.repeat(query, LEAF)
-        fits = member < len(self.values)
-        query, member = query[fits], member[fits]
-        keep = self.alive[member]
-        query, member = query[keep], member[keep]
-        near = np.bitwise_count(queries[query] ^ self.values[member]) <= limit
-        return query[near], member[near]
+        found = [(query[:0], node[:0])]
+        for at in range(0, len(node), LEAVES):
+            member = (node[at : at + LEAVES, None] * LEAF + np.arange(LEAF)).ravel()
+            of = np.repeat(query[at : at + LEAVES], LEAF)
+            fits = member < len(self.values)
+            of, member = of[fits], member[fits]
+            keep = self.alive[member]
+            of, member = of[keep], member[keep]
+            near = np.bitwise_count(queries[of] ^ self.values[member]) <= limit
+            found.append((of[near], member[near]))
+        of, member = (np.concatenate(x) for x in zip(*found, strict=True))
+        return of, member
 
 
 def node_links(values: np.ndarray, limit: int = LIMIT) -> Iterator[tuple[int, int]]:
