@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.cells import let
@@ -81,15 +83,21 @@ def parse_date(col: Column) -> Column:
     from 1969 to 2068; a missing day or month is the first.
     """
 
-    def read(text: Column) -> Column:
-        iso = F.regexp_replace(text, YEAR_LAST, "$3-$1-$2 $4")
-        swapped = F.regexp_replace(text, YEAR_LAST, "$3-$2-$1 $4")
-        return F.when(iso.rlike(DATE_SHAPED), F.coalesce(_read_iso(iso), _read_iso(swapped)))
+    return let(_western_text(col.cast("string")), lambda text: let(_iso(text), _read_western))
+
+
+def _western_text(text: Column) -> Column:
+    """The trimmed text if it may be a western date, with odd clocks and short years spelled out."""
+    trimmed = F.trim(text)
+    likely = text.rlike(r"^\s*(\d|[A-Za-z]{3,9}\.?,? [\dA-Za-z])")
+    odd = trimmed.rlike(rf"{HALF_DAY}|{DAY_NAME}|{THIS_CENTURY}|{LAST_CENTURY}")
+    return F.when(likely & odd, _full_day(trimmed)).when(likely, trimmed)
+
 
-    likely = col.cast("string").rlike(r"^\s*(\d|[A-Za-z]{3,9}\.?,? [\dA-Za-z])")
-    odd = F.trim(col.cast("string")).rlike(rf"{HALF_DAY}|{DAY_NAME}|{THIS_CENTURY}|{LAST_CENTURY}")
-    text = F.trim(col.cast("string"))
-    return F.when(likely & odd, let(_iso(_full_day(text)), read)).when(likely, let(_iso(text), read))
+def _read_western(text: Column) -> Column:
+    iso = F.regexp_replace(text, YEAR_LAST, "$3-$1-$2 $4")
+    swapped = F.regexp_replace(text, YEAR_LAST, "$3-$2-$1 $4")
+    return F.when(iso.rlike(DATE_SHAPED), F.coalesce(_read_iso(iso), _read_iso(swapped)))
 
 
 def _plain_digits(text: Column) -> Column:
@@ -150,13 +158,17 @@ def _era_stamp(read: Column) -> Column:
     filled = F.concat(n, F.expr("array(0, 0, 0)"))
     stamp = F.try_make_timestamp(number + begin - 1, *[F.get(filled, F.lit(i)) for i in range(1, 6)])
     usable = read["japanese"] & F.size(n).between(3, 6) & (number > 0)
-    within = let(
-        stamp,
-        lambda t: F.when(
-            (t >= F.lit(FIRST_DAY).cast("timestamp")) & (era.isNull() | (t <= era["last"])), t
-        ),
-    )
-    return F.when(usable, within)
+    return F.when(usable, stamp)
+
+
+def _within_era(read: Column, stamp: Column) -> Column:
+    era = read["era"]
+    known = (stamp >= F.lit(FIRST_DAY).cast("timestamp")) & (era.isNull() | (stamp <= era["last"]))
+    return F.when(known, stamp)
+
+
+def _maybe_era(text: Column) -> Column:
+    return text.rlike(rf"^\s*({ERA_MARKS})|[年月日]|^\s*[1-5１-５]([0-9０-９]{{6}})\s*$")
 
 
 def parse_era(col: Column) -> Column:
@@ -166,10 +178,12 @@ def parse_era(col: Column) -> Column:
     plus yymmdd, era number plus yymmdd, and unmarked 年月日 dates, where a
     four-digit year is western and a shorter one belongs to the latest era.
     """
-    likely = col.cast("string").rlike(rf"^\s*({ERA_MARKS})|[年月日]|^\s*[1-5１-５]([0-9０-９]{{6}})\s*$")
+    def read(parsed: Column) -> Column:
+        return let(_era_stamp(parsed), lambda stamp: _within_era(parsed, stamp))
+
     return F.when(
-        likely,
-        let(F.trim(ascii_width(col)), lambda text: let(_read_era(text), _era_stamp)),
+        _maybe_era(col.cast("string")),
+        let(F.trim(ascii_width(col)), lambda text: let(_read_era(text), read)),
     )
 
 
@@ -185,6 +199,34 @@ def date_value(col: Column, dialect: str = "western") -> Column:
     return parse_date(text)
 
 
+def with_stamps(df: DataFrame, columns: dict[str, str], japanese: Sequence[str] = ()) -> DataFrame:
+    """``df`` with a timestamp column for each text column: ``columns`` maps text to stamp.
+
+    The same values as ``date_value``, with every step a column of its own, so that
+    each is made once and inside generated code.
+    """
+    def step(made: dict[str, Column]) -> None:
+        nonlocal df
+        df = df.withColumns(made)
+
+    era = [c for c in columns if c in japanese]
+    text = {c: F.col(f"`{c}`").cast("string") for c in columns}
+    step({f"_text_{c}": F.when(t != "None", t) for c, t in text.items()})
+    at = lambda name, c: F.col(f"`_{name}_{c}`")
+    if era:
+        step({f"_wide_{c}": F.when(_maybe_era(at("text", c)), F.trim(ascii_width(at("text", c)))) for c in era})
+        step({f"_read_{c}": F.when(at("wide", c).isNotNull(), _read_era(at("wide", c))) for c in era})
+        step({f"_time_{c}": _era_stamp(at("read", c)) for c in era})
+        step({f"_era_{c}": _within_era(at("read", c), at("time", c)) for c in era})
+    left = {c: F.when(at("era", c).isNull(), at("text", c)) if c in era else at("text", c) for c in columns}
+    step({f"_full_{c}": _western_text(left[c]) for c in columns})
+    step({f"_iso_{c}": _iso(at("full", c)) for c in columns})
+    step({f"_day_{c}": _read_western(at("iso", c)) for c in columns})
+    step({out: F.coalesce(at("era", c), at("day", c)) if c in era else at("day", c) for c, out in columns.items()})
+    names = [f"_{n}_{c}" for c in columns for n in ("text", "wide", "read", "time", "era", "full", "iso", "day")]
+    return df.drop(*names)
+
+
 def date_parts(stamp: Column) -> list[Column]:
     """Year, month, day, weekday (Monday is 0), hour, minute and second."""
     return [

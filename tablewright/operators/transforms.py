@@ -329,14 +329,11 @@ class DropConstant(_Fit):
 class DatePartsModel(_Fitted):
     def _transform(self, df):
         state = self.getState()
-        stamps = {}
-        for c in self.getColumns():
-            if isinstance(df.schema[c].dataType, T.StringType):
-                stamps[f"_stamp_{c}"] = dates.date_value(q(c), state[c]["dialect"])
-            else:
-                stamps[f"_stamp_{c}"] = q(c).cast("timestamp")
-        # A projection of its own: each text is parsed once for its seven parts.
-        parsed = df.withColumns(stamps)
+        columns = self.getColumns()
+        texts = {c: f"_stamp_{c}" for c in columns if isinstance(df.schema[c].dataType, T.StringType)}
+        japanese = [c for c in texts if state[c]["dialect"] == "japanese"]
+        parsed = dates.with_stamps(df, texts, japanese) if texts else df
+        parsed = parsed.withColumns({f"_stamp_{c}": q(c).cast("timestamp") for c in columns if c not in texts})
         added = []
         for c in self.getColumns():
             japanese = state[c]["dialect"] == "japanese"
