@@ -209,7 +209,9 @@ def shared_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
     # a run is shared if its least and greatest owner differ; that is summed before the shuffle
     owner = F.xxhash64("t1", "t2", "first")
     owners = found.groupBy("run").agg(F.min(owner).alias("least"), F.max(owner).alias("greatest"))
-    return found.join(owners.where("least <> greatest").select("run"), "run", "left_semi")
+    # written, so that both sides of the join are plain shuffles and a hot run can be split
+    shared = durable(owners.where("least <> greatest").select("run"))
+    return found.join(shared, "run", "left_semi")
 
 
 def cut_out(texts: DataFrame, length: int, pieces: bool) -> DataFrame:
