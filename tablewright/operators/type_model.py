@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
-    PCA,
+    IDF,
     CountVectorizer,
     CountVectorizerModel,
     RegexTokenizer,
     VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +39,10 @@ from tablewright.operators.infer import (
 )
 
 TEXT_DIMENSIONS = 70
-# Most frequent terms kept per vocabulary: the PCA works on a matrix of that width.
-MAX_VOCABULARY = 400
+# Every term of a vocabulary is kept.
+ALL_TERMS = 2**31 - 1
+# Block power iteration: further columns beside the components, and rounds.
+SPARE, POWER_ROUNDS = 10, 8
 MOMENTS = ["total_vals", "num_nans", "num_of_dist_val", "mean", "std_dev", "min_val", "max_val", "pct_dist_val", "pct_nans"]
 SHAPE = [
     f"{p}_{m}"
@@ -40,6 +53,130 @@ FLAGS = ["has_delimiters", "has_url", "has_email", "has_date", "is_list", "is_lo
 DIGITS = ["num_number_characters", "num_separated_tokens", "comma_include"]
 
 
+class _TextParams(Params):
+    inputCol = Param(Params._dummy(), "inputCol", "sparse vectors", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "projected vectors", TypeConverters.toString)
+
+
+def _sparse(df: DataFrame, column: str) -> DataFrame:
+    """(at, value) arrays of the filled places of a vector column."""
+    places = F.transform(vector_to_array(column), lambda v, i: F.struct(i.alias("at"), v.alias("value")))
+    filled = F.filter(places, lambda p: p["value"] != 0)
+    return df.select(filled["at"].alias("at"), filled["value"].alias("value"))
+
+
+class TextPca(Estimator, _TextParams):
+    """Principal components of wide sparse vectors, by block power iteration.
+
+    A round sends a block of ``k`` and some more directions to all tasks and gets
+    back, summed by place, what the centred rows make of it; the means are taken off
+    as a rank-one term, so rows stay sparse and no square matrix is built. The driver
+    holds that block: as many rows as there are terms.
+    """
+
+    def __init__(self, k: int, inputCol: str, outputCol: str, seed: int = 3):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+        self.k, self.seed = k, seed
+
+    def _fit(self, df: DataFrame) -> TextPcaModel:
+        rows = _sparse(df, self.getOrDefault(self.inputCol)).persist()
+        width = df.select(F.size(vector_to_array(self.getOrDefault(self.inputCol)))).first()[0]
+        count = rows.count()
+        sums = rows.select(F.explode(F.arrays_zip("at", "value")).alias("p")).groupBy("p.at").agg(F.sum("p.value").alias("s"))
+        mean = np.zeros(width)
+        for r in sums.collect():
+            mean[r["at"]] = r["s"] / count
+        block = np.linalg.qr(np.random.default_rng(self.seed).normal(size=(width, min(width, self.k + SPARE))))[0]
+        for _ in range(POWER_ROUNDS):
+            block = np.linalg.qr(self._turned(rows, block, mean)[0])[0]
+        _, inner = self._turned(rows, block, mean)
+        values, vectors = np.linalg.eigh(inner / max(1, count - 1))
+        order = np.argsort(-values)[: self.k]
+        parts = block @ vectors[:, order]
+        # a sign that does not depend on the start
+        top = np.abs(parts).argmax(axis=0)
+        parts = parts * np.where(parts[top, np.arange(parts.shape[1])] < 0, -1.0, 1.0)
+        rows.unpersist()
+        names = {p: self.getOrDefault(getattr(self, p)) for p in ("inputCol", "outputCol")}
+        return TextPcaModel(parts, values[order], **names)
+
+    @staticmethod
+    def _turned(rows: DataFrame, block: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Centred rows' transpose times their product with the block, and that product's square."""
+        width = block.shape[1]
+        shift = mean @ block
+        sent = rows.sparkSession.sparkContext.broadcast(block)
+
+        def turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[int, np.ndarray] = {}
+            total, square = np.zeros(width), np.zeros((width, width))
+            for frame in frames:
+                for at, value in zip(frame["at"], frame["value"], strict=True):
+                    made = value @ sent.value[at] - shift if len(at) else -shift
+                    total += made
+                    square += np.outer(made, made)
+                    for i, v in zip(at.tolist(), value.tolist(), strict=True):
+                        sums[i] = sums.get(i, 0.0) + v * made
+            keys = [*sums, -1, *range(-2, -2 - width, -1)]
+            yield pd.DataFrame({"at": keys, "made": [*sums.values(), total, *square]})
+
+        made = rows.mapInPandas(turn, "at int, made array<double>")
+        summed = made.select("at", F.posexplode("made").alias("i", "v")).groupBy("at", "i").agg(F.sum("v").alias("v"))
+        out, total, inner = np.zeros_like(block), np.zeros(width), np.zeros((width, width))
+        for at, i, v in summed.collect():
+            if at >= 0:
+                out[at, i] = v
+            elif at == -1:
+                total[i] = v
+            else:
+                inner[-2 - at, i] = v
+        return out - np.outer(mean, total), inner
+
+
+class _PartsWriter(DefaultParamsWriter):
+    def saveImpl(self, path):
+        model = self.instance
+        rows = [(i, r.tolist()) for i, r in enumerate(np.vstack([model.parts, model.variance]))]
+        self.sparkSession.createDataFrame(rows, "at int, part array<double>").write.parquet(f"{path}/parts")
+        super().saveImpl(path)
+
+
+class _PartsReader(DefaultParamsReader):
+    def load(self, path):
+        model = super().load(path)
+        rows = self.sparkSession.read.parquet(f"{path}/parts").orderBy("at").collect()
+        both = np.array([r["part"] for r in rows])
+        model.parts, model.variance = both[:-1], both[-1]
+        return model
+
+
+class TextPcaModel(Model, _TextParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Projects vectors onto the components; rows are not centred, so the means shift all alike."""
+
+    def __init__(self, parts: np.ndarray | None = None, variance: np.ndarray | None = None, **names):
+        super().__init__()
+        self.parts, self.variance = parts, variance
+        self._set(**names)
+
+    def write(self):
+        return _PartsWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _PartsReader(cls)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        sent = df.sparkSession.sparkContext.broadcast(self.parts)
+
+        @F.pandas_udf("array<double>")
+        def project(vectors: pd.Series) -> pd.Series:
+            return pd.Series([v @ sent.value for v in vectors])
+
+        made = project(vector_to_array(self.getOrDefault(self.inputCol)))
+        return df.withColumn(self.getOrDefault(self.outputCol), array_to_vector(made))
+
+
 def prepare(profiles: DataFrame) -> DataFrame:
     """Profile rows with normalised texts and every number as a double."""
     numbers = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in [*MOMENTS, *SHAPE]}
@@ -65,29 +202,34 @@ def _tokens(source: str, out: str) -> RegexTokenizer:
 def _shared_cells(prepared: DataFrame) -> list[str]:
     """Cell vocabulary fitted on the first and second sample together."""
     both = prepared.select(F.col("cell_1").alias("cell")).union(prepared.select("cell_2"))
-    fitted = CountVectorizer(inputCol="t", outputCol="v", vocabSize=MAX_VOCABULARY).fit(
+    fitted = CountVectorizer(inputCol="t", outputCol="v", vocabSize=ALL_TERMS).fit(
         _tokens("cell", "t").transform(both)
     )
     return fitted.vocabulary
 
 
-def feature_stages(prepared: DataFrame, stage: int, k: int = TEXT_DIMENSIONS) -> PipelineModel:
+def feature_stages(prepared: DataFrame, stage: int, k: int = TEXT_DIMENSIONS, tfidf: bool = False) -> PipelineModel:
     """Fitted feature pipeline of a stage; its output column is ``features``.
 
+    ``tfidf`` weighs the text vectors by inverse document frequency.
+
     Stage 1 reduces the text vectors and adds counts, moments and flags. Stage 2
     keeps the text vectors and adds sample shape and digit counts instead.
     """
     vocabulary = _shared_cells(prepared) or ["nothing"]
-    stages = [_tokens("name_text", "name_tokens"), CountVectorizer(inputCol="name_tokens", outputCol="name_vec", vocabSize=MAX_VOCABULARY)]
+    stages = [_tokens("name_text", "name_tokens"), CountVectorizer(inputCol="name_tokens", outputCol="name_vec", vocabSize=ALL_TERMS)]
     for i in (1, 2):
         stages.append(_tokens(f"cell_{i}", f"cell_tokens_{i}"))
         stages.append(CountVectorizerModel.from_vocabulary(vocabulary, f"cell_tokens_{i}", f"cell_vec_{i}"))
-    stages.append(VectorAssembler(inputCols=["name_vec", "cell_vec_1", "cell_vec_2"], outputCol="text_vec"))
+    counts = "text_counts" if tfidf else "text_vec"
+    stages.append(VectorAssembler(inputCols=["name_vec", "cell_vec_1", "cell_vec_2"], outputCol=counts))
+    if tfidf:
+        stages.append(IDF(inputCol=counts, outputCol="text_vec"))
     text = "text_vec"
     if stage == 1:
         fitted = Pipeline(stages=stages).fit(prepared)
         dims = fitted.transform(prepared.limit(1)).select(F.size(vector_to_array("text_vec"))).first()[0]
-        reduced = PCA(k=min(k, dims), inputCol="text_vec", outputCol="text_pca")
+        reduced = TextPca(k=min(k, dims), inputCol="text_vec", outputCol="text_pca")
         stages = [fitted, reduced]
         text, numbers = "text_pca", [*MOMENTS, *SHAPE, *FLAGS, "all_numeric"]
     else:
@@ -123,21 +265,28 @@ class TypeFeaturesModel(Model):
 
 
 class TypeClassifier(Estimator):
-    """Fits both stages on profiles with a ``subcategory`` label column."""
+    """Fits both stages on profiles with a ``subcategory`` label column.
 
-    def __init__(self, trees: int = 30, depth: int = 8, seed: int = 0, k: int = TEXT_DIMENSIONS):
+    ``learner`` is "forest" or "logistic"; ``tfidf`` weighs the text features.
+    """
+
+    def __init__(
+        self, trees: int = 30, depth: int = 8, seed: int = 0, k: int = TEXT_DIMENSIONS, learner: str = "forest",
+        tfidf: bool = False,
+    ):
         super().__init__()
         self.trees, self.depth, self.seed, self.k = trees, depth, seed, k
+        self.learner, self.tfidf = learner, tfidf
 
     def _stage(self, rows: DataFrame, stage: int, labels: dict[str, int]) -> PipelineModel:
         prepared = prepare(rows).withColumn("label", _label(labels)).filter(F.col("label").isNotNull())
-        features = feature_stages(prepared, stage, self.k)
-        forest = RandomForestClassifier(
-            numTrees=self.trees, maxDepth=self.depth, seed=self.seed,
-            predictionCol=f"prediction_{stage}", probabilityCol=f"probability_{stage}",
-            rawPredictionCol=f"raw_{stage}",
-        )
-        return PipelineModel([features, forest.fit(features.transform(prepared))])
+        features = feature_stages(prepared, stage, self.k, self.tfidf)
+        names = {"predictionCol": f"prediction_{stage}", "probabilityCol": f"probability_{stage}", "rawPredictionCol": f"raw_{stage}"}
+        if self.learner == "logistic":
+            learner = LogisticRegression(**names)
+        else:
+            learner = RandomForestClassifier(numTrees=self.trees, maxDepth=self.depth, seed=self.seed, **names)
+        return PipelineModel([features, learner.fit(features.transform(prepared))])
 
     def _fit(self, profiles: DataFrame) -> TypeClassifierModel:
         rows = drop_degenerate(profiles)

@@ -233,19 +233,25 @@ def m8_best_candidate(spark, sf_dir):
 
 
 def labelled_profiles(spark, sf_dir):
-    """Profiles of the typed tables' columns, labelled by the type rules.
+    """Profiles of all typed tables' columns, labelled by the type rules.
 
-    The profiles are a row per column; they are written once and then reused.
+    The profiles are a row per column; a session writes them once for all queries.
     """
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known in _PROFILES:
+        return _PROFILES[known]
     out = None
-    for name in ("customer", "dv_part", "dv_dates", "pages"):
-        key, columns = TYPED[name]
+    for name, (key, columns) in TYPED.items():
         df = load(spark, sf_dir, name).select(*dict.fromkeys([key, *columns]))
         one = I.type_profile(df, key, columns).withColumn("type", I.rule_type(F.col("parts")).cast("int"))
         one = one.select(F.lit(name).alias("table"), "*")
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     labels = F.create_map(*[F.lit(x) for pair in I.LABELS.items() for x in pair])
-    return durable(out.withColumn("subcategory", F.try_element_at(labels, F.col("type"))))
+    _PROFILES[known] = durable(out.withColumn("subcategory", F.try_element_at(labels, F.col("type"))))
+    return _PROFILES[known]
+
+
+_PROFILES: dict = {}
 
 
 def _vector_rows(features, name):
@@ -294,9 +300,13 @@ def t8_predict_types(spark, sf_dir):
 def t13_saved_model(spark, sf_dir):
     profiles = labelled_profiles(spark, sf_dir)
     path = fresh_path(spark, "types")
-    T.TypeClassifier(trees=10).fit(profiles).save(path)
+    fitted = T.TypeClassifier(trees=10).fit(profiles)
+    fitted.save(path)
     model = T.TypeClassifierModel.load(spark, path)
-    return I.type_candidates(model.probabilities(profiles), 10, filtered=True).select(
+    likeliest = model.transform(profiles).select(
+        F.col("table").alias("table_id"), F.col("pos").alias("column_id"), F.col("type").alias("class")
+    )
+    return I.type_candidates(model.probabilities(profiles), filtered=True, fallback=likeliest).select(
         "table_id", "rank", F.array_join(F.col("types").cast("array<string>"), ",").alias("types"),
         F.round("score", 4).alias("score"),
     )
