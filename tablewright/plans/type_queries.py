@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablewright.functions.parts import ABOVE_WORDS, BELOW_WORDS, UNIT_FACTORS
@@ -23,7 +24,7 @@ from tablewright.plans.profile_queries import (
     with_used,
 )
 from tablewright.plans.registry import query, table
-from tablewright.plans.transform_queries import _split_arm, quoted
+from tablewright.plans.transform_queries import UNIT_CASE, _split_arm, digits, quoted
 from tablewright.plans.views import view, with_views
 from tablewright.session import durable, fresh_path
 
@@ -331,3 +332,105 @@ def m6_model_pipeline(spark, sf_dir):
     (pipeline,) = Mo.build_pipeline(types, ["quality"], "classification", learner="rf")
     model = pipeline.fit(train)
     return model.transform(rows).select("doc_id", "split", "quality_index", "quality_predicted")
+
+
+# --- what SQL can state of them -----------------------------------------------
+
+LISTED = [(t, c) for t, (_, columns) in TYPED.items() for c in columns]
+LISTED_SQL = "(VALUES " + ", ".join(f"('{t}', '{c}')" for t, c in LISTED) + ") l(table_name, column_name)"
+
+
+def _named(features):
+    return features.withColumnRenamed("table", "table_name").withColumnRenamed("column", "column_name")
+
+
+def _filled(column):
+    return F.aggregate(vector_to_array(column), F.lit(0.0), lambda s, x: s + x)
+
+
+@query(
+    "t2_name_terms",
+    rf"SELECT table_name, column_name, CAST(len(regexp_extract_all({lower_digits('column_name')}, '\w\w+')) AS DOUBLE) AS name_terms FROM {LISTED_SQL}",
+)
+def t2_name_terms(spark, sf_dir):
+    profiles = labelled_profiles(spark, sf_dir)
+    found = _named(T.TypeFeatures(2).fit(profiles).transform(profiles))
+    return found.select("table_name", "column_name", _filled("name_vec").alias("name_terms"))
+
+
+@query("t3_components", f"SELECT table_name, column_name, CAST({T.TEXT_DIMENSIONS} AS INTEGER) AS components, true AS finite FROM {LISTED_SQL}")
+def t3_components(spark, sf_dir):
+    profiles = labelled_profiles(spark, sf_dir)
+    found = _named(T.TypeFeatures(1).fit(profiles).transform(profiles)).withColumn("p", vector_to_array("text_pca"))
+    return found.select(
+        "table_name", "column_name", F.size("p").alias("components"), F.forall("p", lambda x: ~F.isnan(x)).alias("finite")
+    )
+
+
+@query(
+    "t4_feature_parts",
+    f"SELECT table_name, column_name, CAST({T.TEXT_DIMENSIONS + len(T.MOMENTS) + len(T.SHAPE) + len(T.FLAGS) + 1} AS INTEGER) AS stage_1, CAST({len(T.SHAPE) + len(T.FLAGS) + len(T.DIGITS)} AS INTEGER) AS stage_2_numbers FROM {LISTED_SQL}",
+)
+def t4_feature_parts(spark, sf_dir):
+    profiles = labelled_profiles(spark, sf_dir)
+    first = _named(T.TypeFeatures(1).fit(profiles).transform(profiles)).select(
+        "table_name", "column_name", F.size(vector_to_array("features")).alias("stage_1")
+    )
+    second = _named(T.TypeFeatures(2).fit(profiles).transform(profiles)).select(
+        "table_name", "column_name",
+        (F.size(vector_to_array("features")) - F.size(vector_to_array("text_vec"))).alias("stage_2_numbers"),
+    )
+    return first.join(second, ["table_name", "column_name"])
+
+
+@query("t8_predictions_in_range", f"SELECT table_name, column_name, true AS type_known, true AS sums_to_one FROM {LISTED_SQL}")
+def t8_predictions_in_range(spark, sf_dir):
+    profiles = labelled_profiles(spark, sf_dir)
+    found = _named(T.TypeClassifier(trees=10).fit(profiles).transform(profiles.drop("type")))
+    one = [F.abs(_filled(f"probability_{i}") - 1) < 1e-9 for i in (1, 2)]
+    return found.select(
+        "table_name", "column_name", F.col("type").isin(*I.TYPE_NAMES).alias("type_known"), (one[0] & one[1]).alias("sums_to_one")
+    )
+
+
+@query("t13_reload_agrees", f"SELECT table_name, column_name, true AS same FROM {LISTED_SQL}")
+def t13_reload_agrees(spark, sf_dir):
+    profiles = labelled_profiles(spark, sf_dir)
+    path = fresh_path(spark, "types")
+    fitted = T.TypeClassifier(trees=10).fit(profiles)
+    fitted.save(path)
+    again = T.TypeClassifierModel.load(spark, path)
+    keys = ["table_name", "column_name"]
+    before, after = (
+        _named(m.transform(profiles)).select(*keys, F.struct("type", *[vector_to_array(f"probability_{i}").alias(f"p{i}") for i in (1, 2)]).alias(n))
+        for m, n in ((fitted, "before"), (again, "after"))
+    )
+    close = lambda i: F.forall(
+        F.zip_with(F.col(f"before.p{i}"), F.col(f"after.p{i}"), lambda a, b: F.abs(a - b)), lambda d: d < 1e-9
+    )
+    same = (F.col("before.type") == F.col("after.type")) & close(1) & close(2)
+    return before.join(after, keys).select(*keys, same.alias("same"))
+
+
+@query(
+    "m6_predictions_in_range",
+    """SELECT doc_id, CASE WHEN b < 60 THEN 'train' WHEN b < 75 THEN 'validation' ELSE 'test' END AS split, quality, true AS class_known
+FROM (SELECT d.doc_id, quality, ('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 4))::INT % 100 AS b FROM documents d JOIN labels USING (doc_id))""",
+)
+def m6_predictions_in_range(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = M.hash_split(docs.select("doc_id", "text", "lang", "source", "n_chars", "quality"), "doc_id")
+    types = {"text": 3, "lang": 1, "source": 1, "n_chars": 0}
+    (pipeline,) = Mo.build_pipeline(types, ["quality"], "classification", learner="rf")
+    found = pipeline.fit(rows.filter(F.col("split") == "train")).transform(rows)
+    return found.select("doc_id", "split", "quality", F.col("quality_predicted").isin(0.0, 1.0).alias("class_known"))
+
+
+@query(
+    "m5_enriched_numbers",
+    with_views("dv_part") + f"""SELECT p_partkey, {digits('unit_text')} * CASE trim(regexp_replace(unit_text, '[0-9.]+', '', 'g')) {UNIT_CASE} ELSE 1.0 END AS unit_text,
+  {digits('embed_text')} AS embed_text FROM dv_part""",
+)
+def m5_enriched_numbers(spark, sf_dir):
+    df = view(spark, sf_dir, "dv_part").select("p_partkey", "unit_text", "embed_text")
+    return Mo.enrich(df, {"unit_text": I.UNIT, "embed_text": I.EMBEDDED}, key="p_partkey")[0]
