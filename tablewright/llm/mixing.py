@@ -101,7 +101,7 @@ def mix(
         F.sum("total").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
         - F.col("total"),
     ).drop("total")
-    bounds = offsets.join(F.broadcast(goal), offsets.source.eqNullSafe(goal.source)).select(
+    bounds = offsets.join(goal, offsets.source.eqNullSafe(goal.source)).select(
         offsets.source.alias("of"), F.col("range").alias("in"), "before", "source_size", "target"
     )
     placed = ranged.join(bounds, ranged.source.eqNullSafe(bounds["of"]) & (F.col("range") == F.col("in")))
