@@ -157,16 +157,18 @@ def score_candidates(
     key: str | Sequence[str] | None = None,
     model=None,
     at_once: int = 4,
-) -> tuple[list[tuple[int, list[int], float]], list[tuple[int, list[int], str]]]:
+    failed: list[tuple[int, list[int], str]] | None = None,
+) -> list[tuple[int, list[int], float]]:
     """Fit every candidate on the capped sample and score it on the validation part.
 
     Returns (rank, types, score) rows for :func:`tablewright.operators.infer.best_candidate`,
-    and (rank, types, reason) of the candidates that have no score: those whose
-    columns cannot be fitted (``CANDIDATE_FAULTS``) or give no number. Any other
+    and adds to ``failed`` (rank, types, reason) of the candidates that have no score:
+    those whose columns cannot be fitted (``CANDIDATE_FAULTS``) or give no number. Any other
     error, a lost executor among them, ends the search. ``at_once`` candidates
     are worked on side by side.
     """
-    scored, failed = [], []
+    scored = []
+    failed = [] if failed is None else failed
 
     def one(rank: int, types: dict[str, int]):
         try:
@@ -190,7 +192,7 @@ def score_candidates(
                 failed.append((rank, types, reason))
             else:
                 scored.append((rank, types, float(value)))
-    return scored, failed
+    return scored
 
 
 def search_types(
@@ -215,10 +217,13 @@ def search_types(
     train = parts.filter(F.col("split") == "train").drop("split")
     validation = parts.filter(F.col("split") == "validation").drop("split")
     profiles = durable(I.type_profile(train, key, inputs).withColumn("table", F.lit("input")))
-    likeliest = model.transform(profiles).select(F.col("table").alias("table_id"), F.col("pos").alias("column_id"), F.col("type").alias("class"))
+    # without a classifier that predicts, the rules say what a column is when no class is above chance
+    typed = model.transform(profiles) if hasattr(model, "transform") else profiles.withColumn("type", I.rule_type(F.col("parts")).cast("int"))
+    likeliest = typed.select(F.col("table").alias("table_id"), F.col("pos").alias("column_id"), F.col("type").alias("class"))
     found = I.type_candidates(model.probabilities(profiles), top_n, filtered=True, fallback=likeliest)
     candidates = [dict(zip(inputs, r["types"])) for r in found.orderBy("rank").collect()]
-    scored, failed = score_candidates(
+    failed: list[tuple[int, list[int], str]] = []
+    scored = score_candidates(
         durable(capped_sample(train, targets[0], TRAIN_ROWS, key, task)),
         durable(capped_sample(validation, targets[0], VALIDATION_ROWS, key, task)),
         candidates,
@@ -226,12 +231,13 @@ def search_types(
         task,
         learner,
         key,
-        model,
+        model if hasattr(model, "transform") else None,
+        failed=failed,
     )
     for rank, types, reason in failed:
         warnings.warn(f"candidate {rank} has no score: {reason}", stacklevel=2)
     if not scored:
-        return {r["column"]: r["type"] for r in model.transform(profiles).select("column", "type").collect()}
+        return {r["column"]: r["type"] for r in typed.select("column", "type").collect()}
     rows = spark.createDataFrame(
         [(0, *s) for s in scored], "table_id int, rank int, types array<int>, score double"
     )
