@@ -33,7 +33,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 EPOCHS = 2
 #: Rows of a source that one task orders.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def source_targets(
