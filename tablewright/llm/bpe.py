@@ -37,13 +37,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import text_or_empty
+from tablewright.llm.common import in_slices, text_or_empty
 
 #: Words kept encoded by a worker before it starts afresh.
 KEPT_WORDS = 200_000
 #: Characters of a text, and ids, that are worked on at once.
 BLOCK_CHARS = 1_000_000
-BLOCK_IDS = 1_000_000
+BLOCK_IDS = 250_000
+#: Token pairs whose compatibility is remembered before a worker starts afresh.
+KEPT_PAIRS = 100_000
 #: Stands for the end-of-word mark inside the automaton; no byte is written so.
 END = "\ue000"
 FOREVER = 1 << 60
@@ -114,6 +116,8 @@ class Merges:
     def compatible(self, left: int, right: int) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
             known = self.pairs[left, right] = not self._crossed(left, right, FOREVER)
         return known
 
@@ -179,8 +183,8 @@ class Tokenizer:
         alternatives = "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))
         self.specials = regex.compile(f"({alternatives})") if added else None
         self.pattern = regex.compile(word_pattern(spec))
-        self.strings = {i: t for t, i in {**model["vocab"], **added}.items()}
-        texts = [self.strings.get(i, "").encode() + b" " for i in range(max(self.strings) + 1)]
+        strings = {i: t for t, i in {**model["vocab"], **added}.items()}
+        texts = [strings.get(i, "").encode() + b" " for i in range(max(strings) + 1)]
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         self.block = np.frombuffer(b"".join(texts), dtype=np.uint8)
 
@@ -243,7 +247,7 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True, keep_text: bool =
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = tokenizer(path)
-        for frame in frames:
+        for frame in in_slices(frames):
             rows = []
             for text in frame["text"]:
                 packed = coder.encode(text)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,13 @@ def word_count(column: str = "text") -> Column:
     return F.regexp_count(text_or_empty(column), F.lit(WORD)).cast("long")
 
 
+def in_slices(frames: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """The same rows in smaller frames, so that what a task makes of them is sent on in small pieces."""
+    for frame in frames:
+        for at in range(0, len(frame), rows):
+            yield frame.iloc[at : at + rows].reset_index(drop=True)
+
+
 def partitions_for(rows: int, rows_each: int, least: int = 1) -> int:
     """Tasks so that each gets about ``rows_each`` rows: grows with the input, without an upper end."""
     return max(least, -(-rows // rows_each))

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import in_slices
+
 BITS = 14
 BUCKETS = 1 << BITS
 WIDTH = 16
@@ -238,7 +240,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     schema = docs.schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in in_slices(frames):
             names, scores = model.predict(frame["text"].tolist())
             yield frame[[n != UNKNOWN and s >= model.threshold for n, s in zip(names, scores, strict=True)]]
 

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import text_or_empty
+from tablewright.llm.common import in_slices, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -350,7 +350,7 @@ def redact(text: str, spans: list[Span]) -> str:
 def redacted(docs: DataFrame, detector: Detector) -> DataFrame:
     """``docs`` with personal data replaced in column text; null texts stay null."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in in_slices(frames):
             texts = [t if isinstance(t, str) else "" for t in frame["text"]]
             found = detector.spans(texts)
             clean = [redact(t, s) if isinstance(o, str) else None for o, t, (_, s) in zip(frame["text"], texts, found, strict=True)]
