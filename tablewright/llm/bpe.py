@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import in_slices, text_or_empty
+from tablewright.llm.common import in_slices, map_exactly, text_or_empty
 
 #: Words kept encoded by a worker before it starts afresh.
 KEPT_WORDS = 200_000
@@ -263,4 +263,4 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True, keep_text: bool =
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, fields)
+    return map_exactly(docs.select("doc_id", text_or_empty().alias("text")), run, fields)

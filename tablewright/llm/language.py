@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import in_slices
+from tablewright.llm.common import in_slices, map_exactly
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -230,18 +230,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 "rejected": [n == UNKNOWN or s < model.threshold for n, s in zip(names, scores, strict=True)],
             })
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean"
+    return map_exactly(
+        docs.select("doc_id", held_out().alias("held_out"), "text"), run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean"
     )
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rejected ones; no column changes."""
-    schema = docs.schema
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in in_slices(frames):
             names, scores = model.predict(frame["text"].tolist())
             yield frame[[n != UNKNOWN and s >= model.threshold for n, s in zip(names, scores, strict=True)]]
 
-    return docs.mapInPandas(run, schema)
+    return map_exactly(docs, run, docs.schema)

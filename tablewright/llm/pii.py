@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import in_slices, text_or_empty
+from tablewright.llm.common import in_slices, map_exactly, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -332,8 +332,8 @@ def detect(docs: DataFrame, detector: Detector) -> DataFrame:
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(
-        run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    return map_exactly(
+        docs.select("doc_id", text_or_empty().alias("text")), run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     )
 
 
@@ -356,4 +356,4 @@ def redacted(docs: DataFrame, detector: Detector) -> DataFrame:
             clean = [redact(t, s) if isinstance(o, str) else None for o, t, (_, s) in zip(frame["text"], texts, found, strict=True)]
             yield frame.assign(text=clean)
 
-    return docs.mapInPandas(run, docs.schema)
+    return map_exactly(docs, run, docs.schema)

@@ -167,8 +167,10 @@ def shards(
                 run[at] += np.searchsorted(ids[keys == k], id_[at], side="right")
             yield frame.assign(run=run)
 
-    fields = ", ".join(f"{c} {t}" for c, t in slim.dtypes)
-    placed = slim.mapInPandas(place, f"{fields}, run long")
+    kinds = dict(slim.dtypes)
+    fields = ", ".join(f"{c} {'string' if c == 'doc_id' else t}" for c, t in kinds.items())
+    # as text: beside a null, a large id would lose digits
+    placed = slim.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(place, f"{fields}, run long")
     counts = {r["run"]: r["rows"] for r in placed.groupBy("run").agg(F.count("*").alias("rows")).collect()}
     offsets, shard_rows = [], 0
     for run in range(runs):
@@ -180,7 +182,7 @@ def shards(
     )
     order = Window.partitionBy("run").orderBy("key", "id")
     return placed.select(
-        "doc_id", "size", "text_crc32", "key", "id",
+        F.col("doc_id").cast(kinds["doc_id"]).alias("doc_id"), "size", "text_crc32", "key", "id",
         F.floor(F.col("run") / per).cast("int").alias("shard"),
         (offset + F.row_number().over(order) - 1).alias("slot"),
     )

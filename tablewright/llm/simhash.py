@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import text_or_empty
+from tablewright.llm.common import map_exactly, text_or_empty
 from tablewright.llm.components import components
 from tablewright.session import durable
 
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             })
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    return map_exactly(docs.select("doc_id", text_or_empty().alias("text")), run, f"doc_id {kind}, fp long")
 
 
 def masks(rows: int, limit: int = LIMIT) -> list[int]:

@@ -16,5 +16,5 @@ def odd(long_text="word " * 30_000):
     return [
         (1, None, None, None), (2, "", "en", "a"), (3, " \t\n", "en", "a"), (4, long_text, "en", "b"),
         (5, "the same text twice here", "en", "b"), (6, "the same text twice here", "en", "b"),
-        (6, "the same text twice here", "en", "b"), (None, "no id at all", "en", "a"), (7, "Ünï çødé 漢字 😀", None, "ü"),
+        (6, "the same text twice here", "en", "b"), (None, "no id at all", "en", "a"), (2**60 + 1, "Ünï çødé 漢字 😀", None, "ü"),
     ]

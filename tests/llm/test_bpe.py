@@ -53,6 +53,6 @@ def test_documents(spark):
 
 def test_odd_rows(spark):
     rows = bpe.encode(documents(spark, odd(), clash=("n_tokens", "ids")), PATH).collect()
-    assert len(rows) == len(odd())
+    assert sorted(r.doc_id or 0 for r in rows) == sorted(r[0] or 0 for r in odd())
     assert {r.doc_id: r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1: 0, 2: 0, 3: 0}
     assert bpe.encode(documents(spark, []), PATH).count() == 0

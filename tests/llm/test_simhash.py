@@ -44,6 +44,7 @@ def test_documents_against_brute_force(spark):
 def test_odd_rows(spark):
     docs = documents(spark, odd(), clash=("fp", "component_id", "root"))
     rows = [(r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect()]
+    assert 2**60 + 1 in {i for i, _, _ in rows}
     assert len(rows) == len(odd())
     assert {c for i, _, c in rows if i in (1, 2, 3)} == {1}
     assert [c for i, _, c in rows if i == 6] == [5, 5]
