@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm import minhash
 from tablewright.llm.common import map_exactly, text_or_empty
 from tablewright.llm.components import components
 from tablewright.session import durable
@@ -275,11 +276,16 @@ def hexadecimal(column: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
-def one_of_each_group(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
-    """``docs`` with one document of each group: the one whose doc_id names it.
+def one_of_each_group(docs: DataFrame, words: int = minhash.WORDS, least: float = minhash.SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of texts that share 80 % of their 5-word shingles.
 
+    SimHash cannot find these: they differ in too many bits for its masks, so the
+    candidates come from ``minhash``, and links are confirmed by the exact shares.
+    The document with the smallest doc_id stays.
     Rows with a null doc_id stay. Rows that repeat a doc_id stay or go together.
     """
-    kept = near_duplicates(docs, words, limit).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    groups = minhash.similar_groups(docs, words, least)
+    rows = docs.select("doc_id", minhash.text_key().alias("node")).distinct().join(groups, "node", "left")
+    kept = rows.groupBy(F.coalesce("component", "node")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     stays = docs.join(kept, "doc_id", "left_semi")
     return stays.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
