@@ -281,11 +281,23 @@ def one_of_each_group(docs: DataFrame, words: int = minhash.WORDS, least: float
 
     SimHash cannot find these: they differ in too many bits for its masks, so the
     candidates come from ``minhash``, and links are confirmed by the exact shares.
-    The document with the smallest doc_id stays.
-    Rows with a null doc_id stay. Rows that repeat a doc_id stay or go together.
+    The row with the smallest doc_id stays, nulls last; among rows of that doc_id
+    one text, and of its repeated rows the one whose columns come first.
     """
     groups = minhash.similar_groups(docs, words, least)
-    rows = docs.select("doc_id", minhash.text_key().alias("node")).distinct().join(groups, "node", "left")
-    kept = rows.groupBy(F.coalesce("component", "node")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    stays = docs.join(kept, "doc_id", "left_semi")
-    return stays.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    rows = docs.select("doc_id", minhash.text_key().alias("node")).groupBy("doc_id", "node").agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "rows")
+    chosen = durable(
+        rows.join(groups, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min(order).alias("first"))
+        .select(F.col("first.doc_id").alias("_id"), F.col("first.node").alias("_node"), F.col("first.rows").alias("_rows"))
+    )
+
+    def of(some: DataFrame) -> DataFrame:
+        return docs.join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (minhash.text_key() == F.col("_node")))
+
+    stays = of(chosen.where("_rows = 1")).select(*docs.columns)
+    repeated = chosen.where("_rows > 1")
+    if not repeated.isEmpty():
+        one = of(repeated).groupBy("_id", "_node").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+        stays = stays.unionByName(one.select("_row.*"))
+    return stays

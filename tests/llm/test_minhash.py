@@ -48,3 +48,15 @@ def test_chains_in_one_bucket_are_followed(spark):
     assert [r.doc_id for r in simhash.one_of_each_group(documents(spark, rows)).collect()] == [0]
     groups = {r.node: r.component for r in minhash.similar_groups(documents(spark, rows)).collect()}
     assert len(groups) == 8 and same_groups(list(groups.values()), plain_groups([r[1] for r in rows]))
+
+
+def test_repeated_and_null_ids_leave_one_row(spark):
+    text, other = "one text of some words here", "quite another text of words"
+    rows = [
+        (3, text, "en", "b"), (3, text, "en", "a"), (3, text, "en", "a"), (None, text, "en", "a"), (7, other, "en", "a"),
+        (None, "without any id at all here", "en", "a"), (None, "without any id at all here", "en", "a"), (7, "a third text of more words", "en", "a"),
+    ]
+    kept = simhash.one_of_each_group(documents(spark, rows)).collect()
+    assert sorted(((r.doc_id or 0, r.text, r.source) for r in kept)) == [
+        (0, "without any id at all here", "a"), (3, text, "a"), (7, "a third text of more words", "a"), (7, other, "a"),
+    ]
