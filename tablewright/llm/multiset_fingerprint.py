@@ -2,7 +2,7 @@
 
 Each paragraph is hashed to a wide vector of ``LANES`` bits, and a document's
 fingerprint is the lane-wise sum of the vectors of all its paragraphs, modulo
-``2**14``, with the number of paragraphs as one more lane. Sums do not depend
+``2**30``, with the whole number of paragraphs as one more word. Sums do not depend
 on order, so equal multisets of paragraphs have equal fingerprints, and adding
 or taking away paragraphs adds or subtracts their fingerprint (``insert``,
 ``delete``) without the rest of the document.
@@ -18,9 +18,10 @@ multisets, which ``likeness`` gives between 0 and 1: 1 for equal fingerprints
 (two empty ones too), 0 where just one of them is empty. The estimate's
 standard error is below ``1 / sqrt(LANES)``.
 
-All of it is built-in DataFrame functions. Four lanes share a 64-bit word: a
-16-bit field holds a 14-bit lane, so that adding two never carries into the
-next or overflows the word, and a mask takes the sum modulo ``2**14``.
+All of it is built-in DataFrame functions. Two lanes share a 64-bit word: a
+32-bit field holds a 30-bit lane, so that adding two never carries into the
+next or overflows the word, and a mask takes the sum modulo ``2**30``. An array
+in Spark holds fewer than ``2**29`` pieces, so sums of one text never wrap.
 """
 
 from __future__ import annotations
@@ -30,25 +31,25 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import text_or_empty
 
-#: 64 lanes from each hash seed.
-SEEDS = (11, 23)
-LANES = 64 * len(SEEDS)
-#: Bit 0 of each of the four 16-bit fields of a word, and the 14 bits that a lane keeps.
-ONES = 0x0001000100010001
-KEEP = 0x3FFF3FFF3FFF3FFF
-LANE = 0x3FFF
+#: 32 lanes from each hash seed.
+SEEDS = (11, 23, 37, 53)
+LANES = 32 * len(SEEDS)
+#: Bit 0 of both 32-bit fields of a word, and the 30 bits that a lane keeps.
+ONES = 0x0000000100000001
+KEEP = 0x3FFFFFFF3FFFFFFF
+LANE = 0x3FFFFFFF
 PIECES = r"[\r\n]+|(?<=[.!?])\s+"
 
 
 def paragraphs(text: Column) -> Column:
     """The pieces of a text that are hashed, as an array with repeats."""
-    return F.filter(F.transform(F.split(text, PIECES), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, PIECES), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def with_words(docs: DataFrame, text: Column, name: str) -> DataFrame:
     """``docs`` with the packed lanes of a text in column ``name``.
 
-    One word holds the count, then come 16 words of four lanes for each seed.
+    One word holds the count, then come 16 words of two lanes for each seed.
     Pieces and hashes are columns of their own on the way, so each is made once.
     """
     pieces, hashes = f"_{name}_pieces", [f"_{name}_{seed}" for seed in SEEDS]
@@ -56,7 +57,7 @@ def with_words(docs: DataFrame, text: Column, name: str) -> DataFrame:
         column: _hashes(F.col(pieces), seed) for column, seed in zip(hashes, SEEDS, strict=True)
     })
     zero = F.lit(0).cast("long")
-    count = F.size(hashes[0]).cast("long").bitwiseAND(F.lit(LANE).cast("long"))
+    count = F.size(hashes[0]).cast("long")
     lanes = [F.aggregate(column, zero, _adds(shift)) for column in hashes for shift in range(16)]
     return step.drop(pieces).withColumn(name, F.array(count, *lanes)).drop(*hashes)
 
@@ -66,23 +67,30 @@ def _hashes(pieces: Column, seed: int) -> Column:
 
 
 def _adds(shift: int):
-    """Adds the bits at ``shift`` in each 16-bit field of a hash to a word of four lanes."""
+    """Adds the bits at ``shift`` in both 32-bit fields of a hash to a word of two lanes."""
     ones, keep = F.lit(ONES).cast("long"), F.lit(KEEP).cast("long")
     return lambda total, h: (total + F.shiftrightunsigned(h, shift).bitwiseAND(ones)).bitwiseAND(keep)
 
 
 def insert(left: Column, right: Column) -> Column:
     """The fingerprint of two texts' paragraphs together."""
-    return F.zip_with(left, right, lambda a, b: (a + b).bitwiseAND(F.lit(KEEP).cast("long")))
+    return F.concat(
+        F.array(F.element_at(left, 1) + F.element_at(right, 1)),
+        F.zip_with(_lanes(left), _lanes(right), lambda a, b: (a + b).bitwiseAND(F.lit(KEEP).cast("long"))),
+    )
 
 
 def delete(left: Column, right: Column) -> Column:
     """The fingerprint of the paragraphs of ``left`` without those of ``right``."""
-    return insert(left, F.transform(right, lambda b: _negative(b)))
+    return insert(left, F.concat(F.array(-F.element_at(right, 1)), F.transform(_lanes(right), lambda b: _negative(b))))
+
+
+def _lanes(words: Column) -> Column:
+    return F.slice(words, 2, 16 * len(SEEDS))
 
 
 def _negative(word: Column) -> Column:
-    # per field: 2**14 - lane, where neither step can borrow from the next field
+    # per field: 2**30 - lane, where neither step can borrow from the next field
     flipped = word.bitwiseXOR(F.lit(KEEP).cast("long"))
     return (flipped + F.lit(ONES).cast("long")).bitwiseAND(F.lit(KEEP).cast("long"))
 
@@ -95,13 +103,13 @@ def fingerprint_text(words: Column) -> Column:
 def _signs(words: Column) -> Column:
     """Each lane as a sum of signs, wrapped to the middle of its range."""
     count = F.element_at(words, 1)
-    lanes = F.flatten(F.transform(F.slice(words, 2, 16 * len(SEEDS)), lambda w: F.array(
-        *[F.shiftrightunsigned(w, 16 * i).bitwiseAND(F.lit(LANE).cast("long")) for i in range(4)]
+    lanes = F.flatten(F.transform(_lanes(words), lambda w: F.array(
+        *[F.shiftrightunsigned(w, 32 * i).bitwiseAND(F.lit(LANE).cast("long")) for i in range(2)]
     )))
     half = (LANE + 1) // 2
     return F.transform(
         lanes,
-        lambda c: ((c * 2 - count + 3 * half) % (LANE + 1) - half).cast("double"),
+        lambda c: (F.pmod(c * 2 - count + half, F.lit(LANE + 1)) - half).cast("double"),
     )
 
 

@@ -69,3 +69,19 @@ def test_odd_rows(spark, rows):
 
 def test_empty_table(spark):
     assert mf.edited_fingerprints(documents(spark, [])).count() == 0
+
+
+def test_a_very_frequent_line_does_not_wrap(spark):
+    line = "the same line again"
+    rows = [
+        (1, "\n".join([line] * 9_000), "\n".join([line] * 4_500 + [f"other {i % 50}" for i in range(4_500)])),
+        (2, "\n".join([line] * 16_384), ""),
+        (3, "\n".join([line] * 3), "\n".join([line] * 16_387)),
+    ]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    both = mf.with_signs(mf.fingerprints(mf.fingerprints(df, "a", "x"), "b", "y"), "x", "y")
+    one, two, three = both.select("x", "y", mf.likeness("x", "y").alias("like")).orderBy("i").collect()
+    # the cosine of the two multisets is 4500 / sqrt(4500**2 + 50 * 90**2)
+    assert one.like > 0.9
+    assert two.x != two.y and two.x[0] == 16_384 and two.like == 0
+    assert three.x != three.y and three.y[0] == 16_387 and three.like > 0.99
