@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.statements import FAIR_MIX, REPEATED_PASSAGES
+from tablewright.llm.statements import FAIR_MIX, HOST_RULES, REMOVAL_RANKS, REPEATED_PASSAGES, SPELLING_VARIANTS
 from tablewright.plans.registry import table
 
 
@@ -78,10 +78,34 @@ def op10_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablewright.llm.host_rules import judged
+
+    return judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op12_removal_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablewright.llm.filter_audit import audit, class_counts
+
+    return audit(class_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablewright.llm.pivotal_grams import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_gray_simhash, op2_fair_mix, op3_tag_path_text, op4_hashed_language,
     op5_suffix_family, op6_posting_lists, op7_backtracking_bpe, op8_boosted_pii,
-    op9_histogram_shards, op10_multiset_fingerprint,
+    op9_histogram_shards, op10_multiset_fingerprint, op11_host_rules, op12_removal_ranks,
+    op13_pivotal_grams,
 )}
 
-SQL: dict[str, str] = {"op2_fair_mix": FAIR_MIX, "op5_suffix_family": REPEATED_PASSAGES}
+SQL: dict[str, str] = {
+    "op2_fair_mix": FAIR_MIX, "op5_suffix_family": REPEATED_PASSAGES, "op11_host_rules": HOST_RULES,
+    "op12_removal_ranks": REMOVAL_RANKS, "op13_pivotal_grams": SPELLING_VARIANTS,
+}
