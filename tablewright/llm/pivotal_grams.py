@@ -11,7 +11,8 @@ one whose prefix ends first has a pivot that is also in the prefix of the other.
 Pivots are therefore looked up in the prefixes of all words, within the limits
 that positions set: the edit lies after the pivot, and the words agree up to it,
 or before, and they agree from it on; their lengths differ by one at most. Pairs
-that meet are verified inside the join, and only near pairs leave it.
+that meet are verified inside the join, first by the sets of their letters, of
+which one edit changes two at most, and only near pairs leave it.
 
 Words are counted in each task before the shuffle, and no document or word list
 passes through the driver; it holds the counts of bigrams, which are at most
@@ -40,7 +41,7 @@ from tablewright.llm.common import in_slices, map_exactly, text_or_empty
 from tablewright.session import durable
 
 #: Letters after lower-casing: a to z and U+00C0 to U+00FF.
-RUN = re.compile("[a-zÀ-ÿ]+")
+LETTER = "[a-zÀ-ÿ]"
 LETTERS = 26 + 64
 GRAM, EDITS = 2, 1
 LEAST_LENGTH, LEAST_COUNT = 5, 3
@@ -51,9 +52,9 @@ DAMAGE = 97
 HELD = 200_000
 
 
-def damaged(doc_id: str, run: str) -> str:
-    """The run without one code point if the checksum of document and run says so."""
-    value = zlib.crc32(f"{doc_id}:{run}".encode())
+def damaged(start: int, run: str) -> str:
+    """The run without one code point if the checksum of document and run says so; ``start`` is that of the document."""
+    value = zlib.crc32(run.encode(), start)
     if value % DAMAGE:
         return run
     at = value % len(run)
@@ -62,13 +63,17 @@ def damaged(doc_id: str, run: str) -> str:
 
 def words(docs: DataFrame, length: int = LEAST_LENGTH, least: int = LEAST_COUNT) -> DataFrame:
     """(word, n): words of at least ``length`` code points met at least ``least`` times."""
+    # damage never makes a run longer
+    runs = re.compile(f"{LETTER}{{{length},}}")
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter[str] = Counter()
         for frame in in_slices(frames):
             for name, text in zip(frame["doc_id"], frame["text"], strict=True):
+                start = zlib.crc32(f"{name}:".encode())
                 lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-                for run_, times in Counter(RUN.findall(lowered)).items():
-                    word = damaged(name, run_)
+                for found, times in Counter(runs.findall(lowered)).items():
+                    word = damaged(start, found)
                     if len(word) >= length:
                         held[word] += times
             if len(held) >= HELD:
@@ -130,32 +135,38 @@ def pivots(word: str, first: list[int], counts: Mapping[str, int], size: int = G
     return chosen[1]
 
 
+def letter_bits(word: str) -> int:
+    """The letters of a word as bits, several letters to one."""
+    return sum({1 << ord(c) % 61 for c in word})
+
+
 def _entries(found: DataFrame, counts: Mapping[str, int], probing: bool) -> DataFrame:
-    """(side, part, length, word): prefixes as they are, or pivots with the lengths and sides of near words."""
+    """(side, part, length, word, letters): prefixes as they are, or pivots with the lengths and sides of near words."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in in_slices(frames, 4_096):
             rows = []
             for word in frame["word"]:
                 every, first = prefix(word, counts)
-                lengths = (len(word),)
+                lengths, letters = (len(word),), letter_bits(word)
                 if probing:
                     every = pivots(word, first, counts)
                     lengths = tuple(range(len(word) - EDITS, len(word) + EDITS + 1))
                 for at in every:
                     for side, part in (("<", word[: at + GRAM]), (">", word[at:])):
-                        rows += [(side, part, length, word) for length in lengths]
-            yield pd.DataFrame(rows, columns=["side", "part", "length", "word"])
+                        rows += [(side, part, length, word, letters) for length in lengths]
+            yield pd.DataFrame(rows, columns=["side", "part", "length", "word", "letters"])
 
-    return found.select("word").mapInPandas(run, "side string, part string, length int, word string")
+    return found.select("word").mapInPandas(run, "side string, part string, length int, word string, letters long")
 
 
 def near_pairs(found: DataFrame) -> DataFrame:
     """(a, b), a before b: all pairs of words (column word) that one edit turns into each other."""
     counts = gram_counts(found)
-    probe = _entries(found, counts, True).withColumnRenamed("word", "a")
-    index = _entries(found, counts, False).withColumnRenamed("word", "b")
+    probe = _entries(found, counts, True).withColumnsRenamed({"word": "a", "letters": "letters_a"})
+    index = _entries(found, counts, False).withColumnsRenamed({"word": "b", "letters": "letters_b"})
     met = probe.join(index, ["side", "part", "length"]).where(
-        (F.col("a") != F.col("b")) & (F.levenshtein("a", "b", EDITS) == EDITS)
+        (F.bit_count(F.col("letters_a").bitwiseXOR(F.col("letters_b"))) <= 2 * EDITS)
+        & (F.col("a") != F.col("b")) & (F.levenshtein("a", "b", EDITS) == EDITS)
     )
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
