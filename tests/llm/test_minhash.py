@@ -1,5 +1,9 @@
+import random
 import re
 
+import numpy as np
+import pytest
+
 from tablewright.llm import minhash, simhash
 from tests.conftest import SF
 from tests.llm.helpers import documents
@@ -60,3 +64,39 @@ def test_repeated_and_null_ids_leave_one_row(spark):
     assert sorted(((r.doc_id or 0, r.text, r.source) for r in kept)) == [
         (0, "without any id at all here", "a"), (3, text, "a"), (7, "a third text of more words", "a"), (7, other, "a"),
     ]
+
+
+def test_prefixes_of_similar_sets_meet():
+    draw = random.Random(3)
+    borders = minhash.class_borders(2_000)
+    for _ in range(3_000):
+        n = draw.choice([1, 2, 5, 9, 40, 150])
+        left = set(draw.sample(range(400), n))
+        right = {draw.randrange(400) if draw.random() < 0.15 else x for x in left} | set(draw.sample(range(400), draw.randrange(1 + n // 5)))
+        if len(left & right) < 0.8 * len(left | right):
+            continue
+        ends = []
+        for own, other in ((left, right), (right, left)):
+            kind = int(np.searchsorted(borders, len(other), side="right")) - 1
+            length = dict(minhash.prefix_lengths(len(own), 0.8, borders))[kind]
+            ends.append(set(sorted(own)[:length]))
+        assert ends[0] & ends[1]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_families_of_copies_against_all_pairs(spark, seed):
+    draw = random.Random(seed)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{k}" for k in range(draw.choice([60, 150]))]
+        for _ in range(50):
+            edits = draw.choice([0.005, 0.02, 0.03, 0.05])
+            rows.append((len(rows), " ".join(f"x{draw.random()}" if draw.random() < edits else w for w in base), "en", "a"))
+        for k in range(12):
+            # drifts step by step, so that chains lead away from the family
+            text = rows[-1][1].split()
+            text[(7 * k) % len(text)] = f"y{family}x{k}"
+            rows.append((len(rows), " ".join(text[: len(text) - k % 3]), "en", "a"))
+    want = plain_groups([r[1] for r in rows])
+    kept = sorted(r.doc_id for r in simhash.one_of_each_group(documents(spark, rows)).collect())
+    assert kept == sorted({rows[g][0] for g in want}) and 8 < len(kept) < len(rows) // 2
