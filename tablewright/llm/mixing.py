@@ -125,19 +125,15 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself: one row per pass of a document, range-sorted by virtual finish time.
 
-    The columns are those of ``docs``, which must not be named as those of ``mix``; a text that the budget cuts keeps its first
-    words. Documents of size 0 stay once.
+    The columns are those of ``docs``, whatever their names. Texts stay whole: the
+    pass in which a source reaches its target is taken if at least half of its
+    words fit, and left out otherwise. Documents of size 0 stay once.
     """
-    names = docs.columns
-    rest = [c for c in names if c not in ("doc_id", "source")]
-    planned = mix(docs.select("doc_id", "source", *[F.col(f"`{c}`") for c in rest]), weights, share, epochs, rest)
+    rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    planned = mix(rows, weights, share, epochs, ["row"])
     size = F.greatest(F.col("size"), F.lit(1).cast("long"))
-    passes = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.ceil(F.col("taken") / size).cast("int"))
+    passes = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor((2 * F.col("taken") + size) / (2 * size)).cast("int"))
     step = F.when(F.col("target") > 0, F.col("source_size") / F.col("target")).otherwise(0.0)
-    rows = planned.where(passes > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), passes - 1)))
-    left = F.col("taken") - F.col("pass") * F.col("size")
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(words, F.lit(1), left.cast("int")), "")
-    rows = rows.withColumn("text", F.when((F.col("size") > 0) & (left < F.col("size")), cut).otherwise(F.col("text")))
-    rows = rows.withColumn("finish", F.col("finish") + F.col("pass") * step)
-    return rows.repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id").select(*names)
+    taken = planned.where(passes > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), passes - 1)))
+    taken = taken.withColumn("finish", F.col("finish") + F.col("pass") * step)
+    return taken.repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id").select("row.*")

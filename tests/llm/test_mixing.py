@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from tablewright.llm import mixing
@@ -49,12 +51,24 @@ def test_odd_rows_and_sums(spark):
 def test_mixed_texts(spark):
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(3 + i % 9)), "en", "ab"[i % 2]) for i in range(80)]
     docs = documents(spark, rows)
-    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
-    words = {}
+    planned = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    times = Counter()
     for r in mixing.mixed_documents(docs).collect():
-        assert rows[r.doc_id][1].startswith(r.text)
-        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
-    assert words == {i: t for i, t in taken.items() if t}
+        assert rows[r.doc_id][1] == r.text
+        times[r.doc_id] += 1
+    for i, r in planned.items():
+        assert abs(times[i] * r.size - r.taken) <= r.size / 2
+    for source in "ab":
+        own = [r for r in planned.values() if r.source == source]
+        assert abs(sum(times[r.doc_id] * r.size for r in own) - own[0].target) <= max(r.size for r in own) / 2 + 1
+
+
+def test_mixed_columns_of_any_name(spark):
+    rows = [(i, "w " * (1 + i % 5), "en", f"s{i % 3}") for i in range(30)]
+    docs = documents(spark, rows, clash=("size", "target", "taken", "finish", "row", "pass", "place", "range", "end"))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert {r["size"] for r in mixed.collect()} == {"x"}
 
 
 def test_empty_table(spark):
