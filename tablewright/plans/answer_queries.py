@@ -11,6 +11,8 @@ from tablewright.plans.registry import query, table
 from tablewright.plans.views import view, with_views
 from tablewright.session import fresh_path
 from tablewright.sources.files import (
+    keyed_column_notes,
+    matched_column_notes,
     read_column_notes,
     read_keyed_json,
     read_labelled_profiles,
@@ -19,6 +21,7 @@ from tablewright.sources.files import (
     read_table,
     write_json,
 )
+from tablewright.sources.office import read_word_files, read_workbooks, register, table_rows
 
 
 def sales(spark, sf_dir):
@@ -330,6 +333,70 @@ def s6_read_sidecars(spark, sf_dir):
     return found.select("kind", "status", F.rtrim(F.col("text"), F.lit("\n")).alias("text"))
 
 
+@query(
+    "s4_notes_by_brand",
+    "SELECT p_brand AS brand, p_name AS column, min(p_type) AS description FROM part WHERE p_size < 25 GROUP BY 1, 2",
+)
+def s4_notes_by_brand(spark, sf_dir):
+    """One column document for each brand; names come as a table and are joined."""
+    path = fresh_path(spark, "notes")
+    parts = table(spark, sf_dir, "part").withColumn("brand", F.col("p_brand"))
+    # the smallest type is that of the sizes that are asked for
+    notes = parts.groupBy("brand", F.col("p_name").alias("name")).agg(
+        F.coalesce(F.min(F.when(F.col("p_size") < 25, F.col("p_type"))), F.min("p_type")).alias("description")
+    )
+    documents = notes.groupBy("brand").agg(F.collect_list(F.struct("name", "description")).alias("columns"))
+    body = F.struct(F.struct(F.struct("columns").alias("view")).alias("meta"))
+    documents.select("brand", F.to_json(body).alias("value")).write.partitionBy("brand").text(path)
+    names = parts.where("p_size < 25").select("brand", F.col("p_name").alias("column"))
+    found = matched_column_notes(keyed_column_notes(spark, [f"{path}/*"], ["brand"]), names, ["brand"])
+    return found.select("brand", "column", "description")
+
+
+SUPPLIERS_OF_NATION = """SELECT s_nationkey, CASE WHEN count(*) < 300 THEN
+  's_suppkey|s_name|s_acctbal' || chr(10) || string_agg(s_suppkey || '|' || s_name || '|' || s_acctbal, chr(10) ORDER BY s_suppkey) END AS text,
+  CASE WHEN count(*) < 300 THEN 'read' ELSE 'too long' END AS status
+FROM supplier GROUP BY s_nationkey"""
+
+
+@query("s5_csv_sidecars", SUPPLIERS_OF_NATION)
+def s5_csv_sidecars(spark, sf_dir):
+    path = fresh_path(spark, "sidecars")
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_name", "s_acctbal")
+    rows.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").write.partitionBy("s_nationkey").option("header", True).csv(path)
+    found = read_sidecars(spark, [f"{path}/*/*"], kinds=["csv"])
+    return found.select(F.regexp_extract("path", "s_nationkey=([0-9]+)", 1).cast("int").alias("s_nationkey"), "text", "status")
+
+
+@query("s6_read_workbooks", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal, s_suppkey % 3 = 0 AS third, DATE '2020-02-27' + CAST(s_suppkey % 400 AS INTEGER) AS since FROM supplier")
+def s6_read_workbooks(spark, sf_dir):
+    path = fresh_path(spark, "workbooks")
+    register(spark)
+    rows = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", "s_name", "s_nationkey", "s_acctbal", (F.col("s_suppkey") % 3 == 0).alias("third"),
+        F.date_add(F.lit("2020-02-27").cast("date"), (F.col("s_suppkey") % 400).cast("int")).alias("since"),
+    )
+    rows.repartition(4).write.format("workbook").mode("append").save(path)
+    found = table_rows(read_workbooks(spark, path), rows.columns)
+    return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema])
+
+
+@query(
+    "s6_read_word_files",
+    "SELECT s_nationkey, string_agg(s_name || chr(9) || s_acctbal, chr(10) ORDER BY s_suppkey) AS text FROM supplier GROUP BY s_nationkey",
+)
+def s6_read_word_files(spark, sf_dir):
+    path = fresh_path(spark, "documents")
+    register(spark)
+    line = F.struct("s_suppkey", F.concat_ws("\t", "s_name", F.col("s_acctbal").cast("string")).alias("line"))
+    texts = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(line)).alias("of"))
+    texts.select(F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("name"), F.array_join("of.line", "\n").alias("text")).write.format(
+        "wordfile"
+    ).mode("append").save(path)
+    found = read_word_files(spark, path)
+    return found.select(F.regexp_extract("path", "nation ([0-9]+)", 1).cast("int").alias("s_nationkey"), "text")
+
+
 @query(
     "s7_labelled_profiles",
     "SELECT doc_id, subcategory FROM (SELECT doc_id, CASE quality + 2 * toxic WHEN 0 THEN 'numeric' WHEN 1 THEN 'url' WHEN 2 THEN 'list' ELSE 'other' END AS subcategory FROM labels) WHERE subcategory IN ('url', 'list')",

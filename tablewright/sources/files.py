@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.text import markup_lines, text_blocks
-from tablewright.operators.describe import sidecar_text
+from tablewright.operators.describe import MAX_LINES, sidecar_text
 from tablewright.operators.licences import MISSING
+from tablewright.sources.office import CELLS, read_word_files, read_workbooks, sheet_texts, table_rows
 
 PATH_LEVELS = ("data_source", "dataset_id", "qid")
 
@@ -37,7 +41,12 @@ COLUMN_NOTES = "meta struct<view struct<columns array<struct<name string, descri
 # Sidecar kinds by file extension; kinds without a reader map to none.
 SIDECAR_KINDS = {
     "json": "json", "csv": "csv", "txt": "txt", "xml": "xml", "html": "html",
-    "xlsx": None, "xls": None, "pdf": None, "docx": None, "doc": None,
+    "xlsx": "xlsx", "docx": "docx", "xls": None, "pdf": None, "doc": None,
+}
+# Headers of a workbook that explains the variables of a table.
+VARIABLE_HEADERS = {
+    "column": "Variable_name/Variable_Nom", "label": "Variable_Label/Étiquette_Variable",
+    "description": "Definition/Définition\n", "values": "Values/Valeurs", "invalid_values": "Invalid_values/Valeurs invalides",
 }
 
 TEXT_OF = {
@@ -168,6 +177,57 @@ def read_column_notes(spark: SparkSession, path: str, columns: Sequence[str]) ->
     return matched.filter(~gap & (F.col("description") != ""))
 
 
+def _whole(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, value) of whole text files; the metadata path is URL-encoded, the reader's is not."""
+    return spark.read.text(list(paths), wholetext=True).select(_unescaped(F.col("_metadata.file_path")).alias("path"), "value")
+
+
+def _unescaped(text: F.Column) -> F.Column:
+    """Text with ``%XX`` read as characters and a plus sign as itself."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def keyed_column_notes(spark: SparkSession, paths: Sequence[str], levels: Sequence[str] = ()) -> DataFrame:
+    """(path, column, description) of the JSON column documents at ``paths``, whatever their columns, in one scan.
+
+    ``levels`` are folders ``name=value`` of the path to be columns too. Documents that are lists or have no ``meta`` give nothing.
+    """
+    rows = _whole(spark, paths).filter(~F.ltrim("value").startswith("[")).select(
+        "path", F.explode(F.from_json("value", COLUMN_NOTES)["meta"]["view"]["columns"]).alias("c")
+    )
+    keys = [_unescaped(F.regexp_extract("path", f"/{level}=([^/]*)", 1)).alias(level) for level in levels]
+    return rows.select("path", *keys, F.col("c.name").alias("column"), F.col("c.description").alias("description"))
+
+
+def matched_column_notes(notes: DataFrame, names: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Notes of the columns in ``names`` (keys, column); none of a document with a matched column without a description."""
+    matched = notes.join(names.select(*keys, "column").distinct(), [*keys, "column"])
+    gaps = matched.where(F.col("description").isNull()).select("path").distinct()
+    return matched.where(F.col("description") != "").join(gaps, "path", "left_anti")
+
+
+def read_variable_notes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, column, label, description, values, invalid_values) of workbooks that explain the variables of a table."""
+    names = list(VARIABLE_HEADERS.values())
+    rows = table_rows(read_workbooks(spark, list(paths)).where("place = 1"), names)
+    named = rows.select("path", *[F.col(f"`{header}`").alias(name) for name, header in VARIABLE_HEADERS.items()])
+    return named.where(F.col("column").isNotNull())
+
+
+def csv_cells(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The cells of small CSV files of any columns, as those of workbooks, in one scan; empty cells are missing."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, value in zip(frame["path"], frame["value"], strict=True):
+                cells = [
+                    (path, 1, "", row, column, "text", cell)
+                    for row, line in enumerate(csv.reader(io.StringIO(value, newline="")), 1) for column, cell in enumerate(line, 1) if cell
+                ]
+                yield pd.DataFrame(cells, columns=["path", "place", "sheet", "row", "column", "kind", "value"])
+
+    return _whole(spark, paths).mapInPandas(run, CELLS)
+
+
 def read_sidecar(spark: SparkSession, path: str, columns: Sequence[str] = (), kind: str | None = None) -> DataFrame:
     """(text): the readable text of one sidecar document, of the kind its name says unless given."""
     kind = SIDECAR_KINDS.get(kind or path.rsplit(".", 1)[-1].lower())
@@ -181,36 +241,52 @@ def read_sidecar(spark: SparkSession, path: str, columns: Sequence[str] = (), ki
         notes = read_column_notes(spark, path, columns)
         line = F.concat_ws(": ", "column", "description")
         return notes.agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+    if kind == "xlsx":
+        return sheet_texts(read_workbooks(spark, path), MAX_LINES).select("text")
+    if kind == "docx":
+        return read_word_files(spark, path).select("text")
     return spark.read.text(path, wholetext=True).select(TEXT_OF[kind](F.col("value")).alias("text"))
 
 
 def read_sidecars(
     spark: SparkSession, paths: Sequence[str], columns: Sequence[str] = (), kinds: Sequence[str] | None = None
 ) -> DataFrame:
-    """(path, kind, text, status) of sidecar documents; kinds without a reader are reported.
+    """(path, kind, text, status) of sidecar documents.
 
-    Text, markup and page documents of a kind are read by one scan of all their
-    files. A table or a column document has a schema of its own, and so a scan.
+    All files of a kind are read by one scan, whatever their columns. Kinds without
+    a reader, damaged files and tables too long to be listed are reported by their
+    status and have no text.
     """
     kinds = [p.rsplit(".", 1)[-1].lower() for p in paths] if kinds is None else list(kinds)
     of_kind: dict[str, list[str]] = {}
     for path, kind in zip(paths, kinds, strict=True):
         of_kind.setdefault(kind, []).append(path)
+    status = F.when(F.col("text").isNull(), "too long").otherwise("read").alias("status")
     frames = []
     for kind, files in of_kind.items():
-        if SIDECAR_KINDS.get(kind) in TEXT_OF:
-            whole = spark.read.text(files, wholetext=True).select(
-                F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), "value"
+        reader = SIDECAR_KINDS.get(kind)
+        if reader in TEXT_OF:
+            found = _whole(spark, files).select("path", TEXT_OF[reader](F.col("value")).alias("text"), F.lit("read").alias("status"))
+        elif reader == "csv":
+            found = sheet_texts(csv_cells(spark, files), MAX_LINES).select("path", "text", status)
+        elif reader == "xlsx":
+            cells = read_workbooks(spark, files)
+            found = sheet_texts(cells, MAX_LINES).select("path", "text", status).unionByName(
+                cells.where("row is null").select("path", F.lit(None).cast("string").alias("text"), F.lit("damaged").alias("status"))
+            )
+        elif reader == "docx":
+            found = read_word_files(spark, files).select(
+                "path", "text", F.when(F.col("error").isNull(), "read").otherwise("damaged").alias("status")
+            )
+        elif reader == "json":
+            notes = matched_column_notes(keyed_column_notes(spark, files), spark.createDataFrame([(c,) for c in columns], "column string"), [])
+            lines = notes.groupBy("path").agg(F.sort_array(F.collect_list(F.concat_ws(": ", "column", "description"))).alias("of"))
+            found = _whole(spark, files).select("path").join(lines, "path", "left").select(
+                "path", F.coalesce(F.array_join("of", "\n"), F.lit("")).alias("text"), F.lit("read").alias("status")
             )
-            frames.append(whole.select("path", F.lit(kind).alias("kind"), TEXT_OF[kind](F.col("value")).alias("text"), F.lit("read").alias("status")))
-        elif SIDECAR_KINDS.get(kind):
-            frames += [
-                read_sidecar(spark, path, columns, kind).select(F.lit(path).alias("path"), F.lit(kind).alias("kind"), "text", F.lit("read").alias("status"))
-                for path in files
-            ]
         else:
-            rows = [(path, kind, None, "no reader") for path in files]
-            frames.append(spark.createDataFrame(rows, "path string, kind string, text string, status string"))
+            found = spark.createDataFrame([(path, None, "no reader") for path in files], "path string, text string, status string")
+        frames.append(found.select("path", F.lit(kind).alias("kind"), "text", "status"))
     return reduce(DataFrame.unionByName, frames)
 
 
