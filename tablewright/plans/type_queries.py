@@ -23,6 +23,7 @@ from tablewright.plans.profile_queries import (
     shares_cte,
     with_used,
 )
+from tablewright.operators.principal import principal_components, project
 from tablewright.plans.registry import query, table
 from tablewright.plans.transform_queries import UNIT_CASE, _split_arm, digits, quoted
 from tablewright.plans.views import view, with_views
@@ -367,6 +368,45 @@ def t3_components(spark, sf_dir):
     )
 
 
+# two columns of parts as places: covariances have eigenvalues and directions in closed form
+MOMENTS_SQL = """m AS (SELECT var_samp(p_size) AS a, covar_samp(p_size, p_retailprice / 10) AS b, var_samp(p_retailprice / 10) AS c FROM part),
+e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l1, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS l2 FROM m)"""
+
+
+def part_entries(spark, sf_dir):
+    pairs = F.array(
+        F.struct(F.lit(0).alias("at"), F.col("p_size").cast("double").alias("value")),
+        F.struct(F.lit(1).alias("at"), (F.col("p_retailprice") / 10).alias("value")),
+    )
+    parts = table(spark, sf_dir, "part")
+    entries = parts.select(F.col("p_partkey").alias("row"), F.explode(pairs).alias("p")).select("row", "p.at", "p.value")
+    return entries, principal_components(entries, parts.count(), 2)
+
+
+@query(
+    "t3_variances",
+    f"""WITH {MOMENTS_SQL} SELECT CAST(1 AS INTEGER) AS component, round(l1, 4) AS variance, round(a + c, 4) AS total FROM e
+UNION ALL SELECT 2, round(l2, 4), round(a + c, 4) FROM e""",
+)
+def t3_variances(spark, sf_dir):
+    _, found = part_entries(spark, sf_dir)
+    rows = [(i, v, found.total) for i, v in enumerate(found.variance, 1)]
+    made = spark.createDataFrame(rows, "component int, variance double, total double")
+    return made.select("component", F.round("variance", 4).alias("variance"), F.round("total", 4).alias("total"))
+
+
+@query(
+    "t3_scores",
+    f"""WITH {MOMENTS_SQL}, d AS (SELECT b / sqrt(b * b + (l1 - a) * (l1 - a)) AS x, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) AS y FROM e),
+s AS (SELECT x * CASE WHEN (CASE WHEN abs(x) > abs(y) THEN x ELSE y END) < 0 THEN -1 ELSE 1 END AS x, y * CASE WHEN (CASE WHEN abs(x) > abs(y) THEN x ELSE y END) < 0 THEN -1 ELSE 1 END AS y FROM d)
+SELECT p_partkey, round(p_size * x + p_retailprice / 10 * y, 3) AS score FROM part, s""",
+)
+def t3_scores(spark, sf_dir):
+    entries, found = part_entries(spark, sf_dir)
+    scores = project(entries, found.parts, 2)
+    return scores.select(F.col("row").alias("p_partkey"), F.round(F.col("scores")[0], 3).alias("score"))
+
+
 @query(
     "t4_feature_parts",
     f"SELECT table_name, column_name, CAST({T.TEXT_DIMENSIONS + len(T.MOMENTS) + len(T.SHAPE) + len(T.FLAGS) + 1} AS INTEGER) AS stage_1, CAST({len(T.SHAPE) + len(T.FLAGS) + len(T.DIGITS)} AS INTEGER) AS stage_2_numbers FROM {LISTED_SQL}",
