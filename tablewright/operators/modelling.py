@@ -8,19 +8,20 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators import infer as I
 from tablewright.operators import transforms as X
+from tablewright.operators.boosting import BoostedTrees
 from tablewright.operators.sampling import capped_sample, hash_split
 from tablewright.session import durable
 
 # Boosted-tree budget.
-ROUNDS, DEPTH, RATE = 30, 3, 0.25
+ROUNDS, DEPTH, RATE, LEAVES = 30, 3, 0.25, 7
 MAX_ROUNDS = 3
 # Rows per class that candidates are fitted and checked on.
 TRAIN_ROWS, VALIDATION_ROWS = 200, 80
@@ -105,26 +106,24 @@ def build_pipeline(
         ),
     ]
     shared = [s for s in shared if not isinstance(s, X._Fit) or s.getColumns()]
+    budget = {"rounds": ROUNDS, "depth": DEPTH, "rate": RATE, "leaves": LEAVES}
     pipelines = []
     for target in targets:
-        column = {"labelCol": target, "predictionCol": f"{target}_predicted", "seed": seed}
+        column = {"labelCol": target, "predictionCol": f"{target}_predicted"}
         if task == "regression":
             last = (
-                GBTRegressor(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=RATE, **column)
+                BoostedTrees(loss="squared", **column, **budget)
                 if learner == "gbt"
-                else RandomForestRegressor(**column)
+                else RandomForestRegressor(seed=seed, **column)
             )
             pipelines.append(Pipeline(stages=[*shared, last]))
             continue
         column["labelCol"] = f"{target}_index"
         index = StringIndexer(inputCol=target, outputCol=f"{target}_index", handleInvalid="keep")
-        if learner == "gbt":  # boosted trees tell two classes apart, so one model per class
-            trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=RATE, seed=seed)
-            last = OneVsRest(
-                classifier=trees, labelCol=column["labelCol"], predictionCol=column["predictionCol"]
-            )
+        if learner == "gbt":
+            last = BoostedTrees(probabilityCol=f"{target}_probability", **column, **budget)
         else:
-            last = RandomForestClassifier(**column)
+            last = RandomForestClassifier(seed=seed, **column)
         pipelines.append(Pipeline(stages=[*shared, index, last]))
     return pipelines
 

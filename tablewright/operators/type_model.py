@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.cells import is_number
 from tablewright.functions.samples import digit_columns
+from tablewright.operators.boosting import BoostedTrees
 from tablewright.operators.infer import (
     DROP,
     STAGE_ONE,
@@ -267,7 +268,7 @@ class TypeFeaturesModel(Model):
 class TypeClassifier(Estimator):
     """Fits both stages on profiles with a ``subcategory`` label column.
 
-    ``learner`` is "forest" or "logistic"; ``tfidf`` weighs the text features.
+    ``learner`` is "forest", "boosted" or "logistic"; ``tfidf`` weighs the text features.
     """
 
     def __init__(
@@ -284,6 +285,9 @@ class TypeClassifier(Estimator):
         names = {"predictionCol": f"prediction_{stage}", "probabilityCol": f"probability_{stage}", "rawPredictionCol": f"raw_{stage}"}
         if self.learner == "logistic":
             learner = LogisticRegression(**names)
+        elif self.learner == "boosted":
+            del names["rawPredictionCol"]
+            learner = BoostedTrees(rounds=self.trees, min_rows=1, **names)
         else:
             learner = RandomForestClassifier(numTrees=self.trees, maxDepth=self.depth, seed=self.seed, **names)
         return PipelineModel([features, learner.fit(features.transform(prepared))])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tablewright.operators import modelling as Mo
 from tablewright.operators import profile as P
 from tablewright.operators import sampling as M
 from tablewright.operators import type_model as T
+from tablewright.operators.boosting import BoostedTrees
 from tablewright.plans.profile_queries import (
     KIND,
     NUMBER_SQL,
@@ -474,3 +476,80 @@ def m6_predictions_in_range(spark, sf_dir):
 def m5_enriched_numbers(spark, sf_dir):
     df = view(spark, sf_dir, "dv_part").select("p_partkey", "unit_text", "embed_text")
     return Mo.enrich(df, {"unit_text": I.UNIT, "embed_text": I.EMBEDDED}, key="p_partkey")[0]
+
+
+# --- boosted trees of many classes: line items by their worth -------------------
+
+BOOSTED = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "ship_month"]
+WORTH = "l_quantity * (1 - l_discount) * (1 + l_tax)"
+BAND_SQL = f"CASE WHEN {WORTH} < 12 THEN 0 WHEN {WORTH} < 30 THEN 1 ELSE 2 END"
+FIRST_DEPTH = 2
+
+
+def _first_tree_sql() -> str:
+    """CTEs of the first round: ``b<level>`` has the split of each node, ``r<level>`` the rows by node."""
+    columns = ", ".join(f"CAST({c} AS DOUBLE) AS f{i}" for i, c in enumerate([*BOOSTED[:-1], "month(l_shipdate)"]))
+    out = [
+        f"x AS (SELECT {BAND_SQL} AS y, {columns} FROM lineitem)",
+        "p AS (SELECT y AS c, count(*) / (SELECT count(*) FROM x)::DOUBLE AS p FROM x GROUP BY y)",
+        "r0 AS (SELECT x.*, c, p - (y = c)::INT AS g, p * (1 - p) AS h, 1 AS node FROM x, p)",
+    ]
+    for level in range(FIRST_DEPTH):
+        values = " UNION ALL ".join(
+            f"SELECT c, node, {i} AS f, f{i} AS v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM r{level} GROUP BY c, node, f{i}"
+            for i in range(len(BOOSTED))
+        )
+        of = "CASE f " + " ".join(f"WHEN {i} THEN f{i}" for i in range(len(BOOSTED))) + " END"
+        out += [
+            f"u{level} AS ({values})",
+            f"""s{level} AS (SELECT c, node, f, v, sum(g) OVER a AS gl, sum(h) OVER a AS hl, sum(n) OVER a AS nl, sum(g) OVER t AS ga, sum(h) OVER t AS ha, sum(n) OVER t AS na
+FROM u{level} WINDOW a AS (PARTITION BY c, node, f ORDER BY v), t AS (PARTITION BY c, node, f))""",
+            f"""b{level} AS (SELECT c, node, f, v, gain FROM (SELECT *, gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1) AS gain FROM s{level} WHERE nl >= 20 AND na - nl >= 20)
+WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY c, node ORDER BY gain DESC, f, v) = 1)""",
+            f"r{level + 1} AS (SELECT r.* EXCLUDE (node), CASE WHEN f IS NULL THEN r.node ELSE 2 * r.node + ({of} > v)::INT END AS node FROM r{level} r LEFT JOIN b{level} b ON r.c = b.c AND r.node = b.node)",
+        ]
+    return "WITH " + ",\n".join(out)
+
+
+def _worth_bands(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    rows = items.select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", F.month("l_shipdate").alias("ship_month"), F.expr(BAND_SQL).alias("band")
+    )
+    return VectorAssembler(inputCols=BOOSTED, outputCol="features", handleInvalid="keep").transform(rows)
+
+
+def _first_trees(spark, sf_dir):
+    rows = _worth_bands(spark, sf_dir)
+    model = BoostedTrees(labelCol="band", rounds=1, depth=FIRST_DEPTH, leaves=2**FIRST_DEPTH).fit(rows)
+    names = "round int, class int, node int, feature int, cut double, missing_left boolean, value double, n long, gain double"
+    return spark.createDataFrame(model.nodes(), names)
+
+
+@query(
+    "m6_boosted_splits",
+    _first_tree_sql() + " " + " UNION ALL ".join(
+        f"SELECT c AS class, node, CASE f {' '.join(f'WHEN {i} THEN {quoted([n])}' for i, n in enumerate(BOOSTED))} END AS feature, v AS cut, round(gain, 3) AS gain FROM b{level}"
+        for level in range(FIRST_DEPTH)
+    ),
+)
+def m6_boosted_splits(spark, sf_dir):
+    names = F.array(*map(F.lit, BOOSTED))
+    made = _first_trees(spark, sf_dir).where("feature >= 0")
+    return made.select("class", "node", F.get(names, F.col("feature")).alias("feature"), "cut", F.round("gain", 3).alias("gain"))
+
+
+@query(
+    "m6_boosted_leaves",
+    _first_tree_sql() + f" SELECT c AS class, node, count(*) AS n, round(-{Mo.RATE} * sum(g) / (sum(h) + 1), 4) AS value FROM r{FIRST_DEPTH} GROUP BY c, node",
+)
+def m6_boosted_leaves(spark, sf_dir):
+    return _first_trees(spark, sf_dir).where("feature < 0").select("class", "node", "n", F.round("value", 4).alias("value"))
+
+
+@query("m6_boosted_bands")
+def m6_boosted_bands(spark, sf_dir):
+    """All rounds on the training part; every row with its part, its band and the predicted one."""
+    rows = M.hash_split(_worth_bands(spark, sf_dir), ["l_orderkey", "l_linenumber"])
+    model = BoostedTrees(labelCol="band", rounds=Mo.ROUNDS, depth=Mo.DEPTH, leaves=Mo.LEAVES, rate=Mo.RATE).fit(rows.where("split = 'train'"))
+    return model.transform(rows).select("l_orderkey", "l_linenumber", "split", "band", F.col("prediction").cast("int").alias("predicted"))
