@@ -8,9 +8,9 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +89,12 @@ def enrich(
 def build_pipeline(
     types: dict[str, int], targets: Sequence[str], task: str, learner: str = "gbt", seed: int = 0
 ) -> list[Pipeline]:
-    """One pipeline per target: scale, encode, weigh text, assemble, learn."""
+    """One pipeline per target: scale, encode, weigh text, assemble, learn.
+
+    ``learner`` is "gbt" (Spark's own trees, one model a class), "boosted" (one model for
+    all classes, best leaf first) or "rf".
+    """
+    budget = {"rounds": ROUNDS, "depth": DEPTH, "rate": RATE, "leaves": LEAVES}
     inputs = {c: t for c, t in types.items() if c not in targets}
     numeric = [c for c, t in inputs.items() if t == I.NUMERIC]
     categories = [c for c, t in inputs.items() if t == I.CATEGORICAL]
@@ -106,24 +111,32 @@ def build_pipeline(
         ),
     ]
     shared = [s for s in shared if not isinstance(s, X._Fit) or s.getColumns()]
-    budget = {"rounds": ROUNDS, "depth": DEPTH, "rate": RATE, "leaves": LEAVES}
     pipelines = []
     for target in targets:
-        column = {"labelCol": target, "predictionCol": f"{target}_predicted"}
+        column = {"labelCol": target, "predictionCol": f"{target}_predicted", "seed": seed}
+        if learner == "boosted":
+            del column["seed"]  # nothing is drawn
         if task == "regression":
             last = (
                 BoostedTrees(loss="squared", **column, **budget)
+                if learner == "boosted"
+                else GBTRegressor(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=RATE, **column)
                 if learner == "gbt"
-                else RandomForestRegressor(seed=seed, **column)
+                else RandomForestRegressor(**column)
             )
             pipelines.append(Pipeline(stages=[*shared, last]))
             continue
         column["labelCol"] = f"{target}_index"
         index = StringIndexer(inputCol=target, outputCol=f"{target}_index", handleInvalid="keep")
-        if learner == "gbt":
+        if learner == "boosted":
             last = BoostedTrees(probabilityCol=f"{target}_probability", **column, **budget)
+        elif learner == "gbt":  # Spark's boosted trees tell two classes apart, so one model per class
+            trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=RATE, seed=seed)
+            last = OneVsRest(
+                classifier=trees, labelCol=column["labelCol"], predictionCol=column["predictionCol"]
+            )
         else:
-            last = RandomForestClassifier(seed=seed, **column)
+            last = RandomForestClassifier(**column)
         pipelines.append(Pipeline(stages=[*shared, index, last]))
     return pipelines
 

@@ -8,6 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 
+from tablewright.operators import modelling as Mo
 from tablewright.operators.boosting import BoostedTrees
 
 RATE, SHRINK, MIN = 0.25, 1.0, 5
@@ -71,13 +72,13 @@ def frame(spark, x, y):
     return spark.createDataFrame([(i, Vectors.dense(r), float(k)) for i, (r, k) in enumerate(zip(x.tolist(), y))], ["i", "features", "label"])
 
 
-@pytest.mark.parametrize("depth,leaves", [(3, 7), (2, 4), (3, 4)])
-def test_equals_plain_boosting(spark, depth, leaves):
+@pytest.mark.parametrize("rounds,depth,leaves", [(6, 3, 7), (1, 2, 4), (1, 3, 4)])
+def test_equals_plain_boosting(spark, rounds, depth, leaves):
     x, y = data()
     df = frame(spark, x, y).repartition(3)
-    # more rounds than are kept in tasks, so that margins are written once
-    model = BoostedTrees(rounds=6, depth=depth, leaves=leaves, min_rows=MIN).fit(df)
-    want, counts = plain(x, y, 3, 6, depth, leaves)
+    # six rounds are more than are kept in tasks, so that margins are written once
+    model = BoostedTrees(rounds=rounds, depth=depth, leaves=leaves, min_rows=MIN).fit(df)
+    want, counts = plain(x, y, 3, rounds, depth, leaves)
     made = {}
     for r, k, node, feature, *_, rows, _ in model.nodes():
         if feature < 0:
@@ -100,7 +101,7 @@ def test_numbers_and_many_values(spark):
     x = rng.random((2000, 2))
     y = np.where(x[:, 0] > 0.5, 1e6, -1e6) + 1e5 * x[:, 1]
     df = frame(spark, x, y)
-    model = BoostedTrees(rounds=30, loss="squared").fit(df)
+    model = BoostedTrees(rounds=10, loss="squared").fit(df)
     got = np.array([r.prediction for r in model.transform(df).orderBy("i").collect()])
     assert 1 - ((got - y) ** 2).sum() / ((y - y.mean()) ** 2).sum() > 0.99
     assert all(math.isfinite(n[4]) for n in model.nodes())
@@ -134,3 +135,15 @@ def test_odd_rows(spark):
         BoostedTrees().fit(df.withColumn("label", df["label"] - 0.5))
     with pytest.raises(ValueError, match="unknown settings"):
         BoostedTrees(leafs=3)
+
+
+def test_pipelines_of_each_task(spark, monkeypatch):
+    monkeypatch.setattr(Mo, "ROUNDS", 2)
+    df = spark.createDataFrame([(float(i % 3), f"c{i % 3}", 2.0 * (i % 3)) for i in range(90)], ["x", "kind", "y"])
+    for target, task in (("kind", "classification"), ("y", "regression")):
+        (pipeline,) = Mo.build_pipeline({"x": 0}, [target], task, "boosted")
+        assert pipeline.getStages()[-1].settings()["leaves"] == 7
+        found = pipeline.fit(df).transform(df)
+        labels = [f"{target}_index"] if task == "classification" else [target]
+        value = Mo.score(found, labels, [f"{target}_predicted"], task).first()["score"]
+        assert value == 1.0 if task == "classification" else value > 0.5
