@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,3 +112,34 @@ def line_body(line: Column) -> Column:
 def token_count(text: Column) -> Column:
     """Words and single marks in a text."""
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"))
+
+
+def bpe_token_count(text: Column, vocabulary: str) -> Column:
+    """Tokens of a text under a byte-pair vocabulary, a JSON file of the tokenizers library.
+
+    The driver reads the file, so executors need not hold it. Names of special tokens
+    inside a text are ordinary text. Null stays null, an empty text has no tokens.
+    """
+    with open(vocabulary, encoding="utf-8") as file:
+        rules = file.read()
+    kept: dict = {}
+
+    def codec():
+        # read once a task
+        if not kept:
+            from tokenizers import Tokenizer
+
+            kept["codec"] = Tokenizer.from_str(rules)
+            kept["codec"].encode_special_tokens = True
+            kept["codec"].no_truncation()
+            kept["codec"].no_padding()
+        return kept["codec"]
+
+    @F.pandas_udf("int")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            found = codec().encode_batch([t or "" for t in texts], add_special_tokens=False)
+            counts = pd.Series([len(f.ids) for f in found], dtype="Int32")
+            yield counts.mask(texts.isna().to_numpy())
+
+    return counted(text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.functions.text import token_count
+from tablewright.functions.text import bpe_token_count, token_count
 from tablewright.operators import evaluate as E
 from tablewright.operators import licences as L
 from tablewright.operators import lineage as G
@@ -148,6 +148,14 @@ def e9_token_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
 
 
+@query("e9_bpe_tokens")
+def e9_bpe_tokens(spark, sf_dir):
+    from public_tokenizers import path
+
+    counted = bpe_token_count(F.col("text"), path("byte_bpe_50k.json"))
+    return table(spark, sf_dir, "documents").select("doc_id", counted.alias("tokens"))
+
+
 @query(
     "e10_dataset_scores",
     with_views("dv_scores") + "," + BEST_SQL + """, summaries AS (SELECT o_orderkey % 50 AS dataset, CAST(count(*) % 11 AS DOUBLE) / 10 AS summary_score FROM orders GROUP BY 1)
