@@ -250,7 +250,7 @@ def _moments(df: DataFrame, fields: Sequence[T.StructField], approx: bool) -> Da
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
-def _with_ratios(stats: DataFrame) -> DataFrame:
+def with_ratios(stats: DataFrame) -> DataFrame:
     total = F.col("total_vals").cast("double")
     return stats.withColumns(
         {
@@ -277,7 +277,7 @@ def column_stats(
         # At most one row per column of the schema.
         moments = moments.join(F.broadcast(distinct_counts(counts)), "pos", "left").drop("non_null")
         moments = moments.withColumn("num_of_dist_val", F.coalesce("num_of_dist_val", F.lit(0)))
-    return _with_ratios(moments)
+    return with_ratios(moments)
 
 
 def column_samples(

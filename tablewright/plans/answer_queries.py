@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.cells import comma_number
 from tablewright.operators import answers as A
+from tablewright.operators import states as St
 from tablewright.operators import sampling as M
 from tablewright.plans.registry import query, table
 from tablewright.plans.views import view, with_views
@@ -112,6 +113,28 @@ def a7_five_numbers(spark, sf_dir):
     return found.select("l_returnflag", *[F.round(n, 4).alias(n) for n in A.QUARTILE_NAMES])
 
 
+@query(
+    "a7_sketched_quartiles",
+    "\nUNION ALL\n".join(
+        f"SELECT l_returnflag, '{n}' AS name, count(l_extendedprice) AS n, min(l_extendedprice) AS smallest, max(l_extendedprice) AS largest, true AS rank_in_bound FROM lineitem GROUP BY 1"
+        for n in A.QUARTILE_NAMES[1:4]
+    ),
+)
+def a7_sketched_quartiles(spark, sf_dir):
+    """Quartiles from rank sketches; the true rank of each answer is counted and held to its bound."""
+    df, names = table(spark, sf_dir, "lineitem"), A.QUARTILE_NAMES
+    found = St.sketched_quantiles(df, ["l_returnflag"], "l_extendedprice", A.QUARTILES, names)
+    answers = found.select(
+        "l_returnflag", "n", F.col(names[0]).alias("smallest"), F.col(names[4]).alias("largest"),
+        F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("share"), F.col(n).alias("answer")) for n, p in list(zip(names, A.QUARTILES))[1:4]])),
+    )
+    price, answer, bound = F.col("l_extendedprice"), F.col("answer"), F.lit(St.rank_bound())
+    keys = ["l_returnflag", "name", "n", "smallest", "largest", "share"]
+    ranks = df.join(answers, "l_returnflag").groupBy(*keys).agg(F.count_if(price < answer).alias("below"), F.count_if(price <= answer).alias("upto"))
+    inside = (F.col("below") / F.col("n") <= F.col("share") + bound) & (F.col("upto") / F.col("n") >= F.col("share") - bound)
+    return ranks.select("l_returnflag", "name", "n", "smallest", "largest", inside.alias("rank_in_bound"))
+
+
 PRICED = with_views("dv_gaps") + ", priced AS (SELECT * FROM dv_gaps WHERE isfinite(price))"
 
 

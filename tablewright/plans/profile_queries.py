@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tablewright.functions.cells import display_missing_pct, is_number
 from tablewright.functions.samples import STOP_WORDS
 from tablewright.operators import profile as P
+from tablewright.operators import states as St
 from tablewright.plans.registry import query, table
 from tablewright.plans.views import VIEWS, view, with_views
+from tablewright.session import fresh_path
 
 # name -> (key, columns profiled)
 PROFILED = {
@@ -321,6 +323,85 @@ def p12_category_size(spark, sf_dir):
     )
 
 
+# name -> (parts that arrive one by one, columns profiled)
+ARRIVING = {
+    "orders": ("year(o_orderdate)", PROFILED["orders"][1]),
+    "customer": ("c_nationkey", PROFILED["customer"][1]),
+    "lineitem": ("l_linestatus", ["l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag"]),
+    "events": ("to_date(ts)", ["event_id", "user_id", "event_type", "value", "props"]),
+}
+KIND.update({"l_orderkey": "integer"})
+
+
+def stored_states(spark, sf_dir, name) -> DataFrame:
+    """The states of a table's parts, written one row per part and column and read back."""
+    part, columns = ARRIVING[name]
+    path = fresh_path(spark, f"states-{name}")
+    St.column_states(load(spark, sf_dir, name), columns, [F.expr(part).alias("part")]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def per_arriving(spark, sf_dir, build) -> DataFrame:
+    frames = [build(name).select(F.lit(name).alias("table_name"), "*") for name in ARRIVING]
+    return reduce(DataFrame.unionByName, frames)
+
+
+@query(
+    "p1_merged_states",
+    arms(
+        {name: (None, columns) for name, (_, columns) in ARRIVING.items()},
+        """SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS total_vals, count(*) - count({c}) AS num_nans,
+  count(DISTINCT {c}) AS num_of_dist_val, true AS distinct_in_bound, round(coalesce(avg({x}), 0), 4) AS mean,
+  round(coalesce(stddev_pop({x}), 0), 4) AS std_dev, coalesce(min({x}), 0) AS min_val, coalesce(max({x}), 0) AS max_val FROM {t}""",
+    ),
+)
+def p1_merged_states(spark, sf_dir):
+    """Merged states of all parts beside exact distinct counts of the whole table."""
+
+    def build(name):
+        df, columns = load(spark, sf_dir, name), ARRIVING[name][1]
+        stats = St.state_stats(St.merged_states(stored_states(spark, sf_dir, name)))
+        exact = P.distinct_counts(P.value_counts(df, None, columns)).select("pos", F.col("num_of_dist_val").alias("exact"))
+        exact = stats.join(exact, "pos", "left").withColumn("exact", F.coalesce("exact", F.lit(0).cast("bigint")))
+        off = F.abs(F.col("num_of_dist_val") - F.col("exact"))
+        return exact.select(
+            named(), "total_vals", "num_nans", F.col("exact").alias("num_of_dist_val"),
+            (off <= St.distinct_bound() * F.col("exact")).alias("distinct_in_bound"),
+            *rounded("mean", "std_dev", digits=4), "min_val", "max_val",
+        )
+
+    return per_arriving(spark, sf_dir, build)
+
+
+@query(
+    "p12_merged_category_size",
+    arms(
+        {name: (None, columns) for name, (_, columns) in ARRIVING.items()},
+        """SELECT '{t}' AS table_name, '{c}' AS column_name, CASE WHEN count(*) <= 2 THEN 'binary'
+  WHEN count(*) <= 20 AND count(*) / sum(n) < 0.3 THEN 'small'
+  WHEN sum(n) FILTER (WHERE r <= 20) / sum(n) > 0.8 THEN 'large' ELSE 'none' END AS category_size
+  FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS r FROM (SELECT count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}))""",
+    ),
+)
+def p12_merged_category_size(spark, sf_dir):
+    return per_arriving(
+        spark, sf_dir,
+        lambda name: St.state_category_size(St.merged_states(stored_states(spark, sf_dir, name))).select(named(), "category_size"),
+    )
+
+
+@query(
+    "p12_merged_heavy_hitters",
+    """SELECT CAST(year(o_orderdate) AS INTEGER) AS part, o_orderpriority AS value, count(*) AS n
+  FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY ALL""",
+)
+def p12_merged_heavy_hitters(spark, sf_dir):
+    """Heavy hitters of each year out of the states of its months: exact while a column has few values."""
+    parts = [F.year("o_orderdate").alias("part"), F.month("o_orderdate").alias("month")]
+    months = St.column_states(table(spark, sf_dir, "orders"), ["o_orderpriority"], parts)
+    return St.state_heavy_hitters(St.merged_states(months, ["part"])).select("part", "value", "n")
+
+
 def shares_cte(tables) -> str:
     number = NUMBER_SQL.split(" OR ")[0].strip("(").replace("{v}", "CAST({c} AS VARCHAR)")
     number = number.replace("{c}", "@c@").replace("{", "{{").replace("}", "}}").replace("@c@", "{c}")
