@@ -6,11 +6,21 @@ of one to four characters, blanks at word borders included, are hashed into
 both are trained together by stochastic gradient descent in numpy, on whole
 texts and on one short piece of each, so that short texts are known too.
 
+Noise is a class of its own, so that a text of no language has a place to go: each
+training row also gives a text whose letters are shuffled, exchanged for one
+another, moved to another script, or repeated. Noise is never an answer; what
+it is given is missing from the score of the best language.
+
 Training rows: at most ``ROWS_EACH`` labelled rows of a language (a bounded
-sample by hash of doc_id), of which a tenth is kept aside to calibrate: a
-temperature makes the score a probability, and a text is *rejected* when its
-score is well below what all but ``REJECTED`` of the rightly labelled texts reach,
-and below ``SURE``.
+sample by hash of doc_id and text, cut before it leaves the executors), of which a
+tenth is kept aside to calibrate: a temperature makes the score a probability,
+and a text is *rejected* when its score is below the middle between what all but
+``REJECTED`` of the rightly labelled texts reach and what noise reaches, and
+below ``SURE``. ``Model.missed`` and ``Model.wrong`` are the shares of noise that
+is accepted and of labelled texts that are rejected, of the rows kept aside.
+Ties at the edge of the sample are rows of one id and one text, so it does not
+matter which of them is taken. Rows that repeat are answered one by one, and an
+empty table gives no rows.
 
 A text that is null or has no letter is ``und`` with score 0 and rejected;
 without labelled rows all texts are. Whole texts are read, of any length.
@@ -25,7 +35,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import in_slices, map_exactly
@@ -36,6 +46,8 @@ WIDTH = 16
 LONGEST = 4
 ROWS_EACH = 1_000
 REJECTED = 0.0002
+#: Share of the noise kept aside that may score higher than what counts as noise's reach.
+NOISE = 0.01
 #: No text of at least this score is rejected.
 SURE = 0.5
 UNKNOWN = "und"
@@ -45,6 +57,8 @@ TOGETHER = 64
 OTHER = re.compile(r"[\W\d_]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0x100000001B3)
+#: Where the letters of noise of another script begin.
+SCRIPTS = (0x0400, 0x0590, 0x0905, 0x0E01, 0x3041, 0x4E00, 0xAC00)
 
 
 def buckets(letters: str) -> np.ndarray:
@@ -74,6 +88,33 @@ def counts(letters: str) -> np.ndarray:
     return total
 
 
+def chances(raw: np.ndarray, temperature: float = 1.0) -> np.ndarray:
+    raw = raw / temperature
+    raw = np.exp(raw - raw.max(axis=1, keepdims=True))
+    return raw / raw.sum(axis=1, keepdims=True)
+
+
+def noise(letters: str, place: int) -> str:
+    """A text of no language, as long as the cleaned text and with its blanks; ``place`` chooses its kind."""
+    rng = np.random.default_rng(place)
+    codes = np.frombuffer(letters.encode("utf-32-le"), dtype="<u4").copy()
+    at = codes != 32
+    if not at.any():
+        return letters
+    known = np.unique(codes[at])
+    kind = place % 4
+    if kind == 0:
+        codes[at] = rng.permutation(codes[at])
+    elif kind == 1:
+        codes[at] = rng.permutation(known)[np.searchsorted(known, codes[at])]
+    elif kind == 2:
+        codes[at] = codes[at] % 997 + int(rng.choice(SCRIPTS))
+    else:
+        runs = np.repeat(rng.choice(known, len(codes)), rng.integers(2, 9))[: len(codes)]
+        codes[at] = runs[at]
+    return codes.tobytes().decode("utf-32-le")
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -82,11 +123,12 @@ class Model:
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
     temperature: float = 1.0
     threshold: float = 0.0
+    missed: float = 0.0
+    wrong: float = 0.0
 
     def scores(self, means: np.ndarray) -> np.ndarray:
-        raw = (means @ self.votes + self.bias) / self.temperature
-        raw = np.exp(raw - raw.max(axis=1, keepdims=True))
-        return raw / raw.sum(axis=1, keepdims=True)
+        """The chance of each language; what is missing to one is noise."""
+        return chances(means @ self.votes + self.bias, self.temperature)[:, : len(self.languages)]
 
     def predict(self, texts) -> tuple[list[str], np.ndarray]:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -114,8 +156,9 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, rows_each: int = ROWS_EACH) -> pd.DataFrame:
-    """(lang, place, bucket, count) of a bounded sample: whole texts and, with place + 1, a short piece of each.
+    """(lang, place, bucket, count) of a bounded sample: whole texts, a short piece of each, noise of both.
 
+    ``place`` modulo 4 tells which of the four it is; ``lang`` of noise is null.
     Buckets are packed as 16-bit and their shares as 32-bit numbers, to be small on the driver.
     """
     usable = docs.select("doc_id", "text", "lang").where(
@@ -124,7 +167,7 @@ def training_rows(docs: DataFrame, rows_each: int = ROWS_EACH) -> pd.DataFrame:
     sizes = {r["lang"]: r["rows"] for r in usable.groupBy("lang").agg(F.count("*").alias("rows")).collect()}
     if not sizes:
         return pd.DataFrame({"lang": [], "place": [], "bucket": [], "count": []})
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_007))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_007))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(rows_each * 1_000_000_007 // n))])
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,18 +179,24 @@ def training_rows(docs: DataFrame, rows_each: int = ROWS_EACH) -> pd.DataFrame:
                     continue
                 start = int(place) % len(letters)
                 piece = letters[start : start + 20 + int(place) % 60]
-                for i, some in enumerate((letters, piece)):
+                texts = (letters, piece, noise(letters, int(place)), noise(piece, int(place) // 4))
+                for i, some in enumerate(texts):
+                    if not some.strip():
+                        continue
                     count = counts(some)
                     met = np.nonzero(count)[0]
                     share = (count[met] / count.sum()).astype("<f4")
-                    out.append((lang, int(place) * 2 + i, met.astype("<u2").tobytes(), share.tobytes()))
+                    out.append((lang if i < 2 else None, int(place) * 4 + i, met.astype("<u2").tobytes(), share.tobytes()))
             yield pd.DataFrame(out, columns=["lang", "place", "bucket", "count"])
 
+    # rows of one id and one text share a place, however many they are
+    first = Window.partitionBy("lang").orderBy("place")
     return (
         usable.withColumn("place", place).where(F.col("place") < share[F.col("lang")])
+        .withColumn("_row", F.row_number().over(first)).where(F.col("_row") <= rows_each)
+        .select("lang", "place", "text")
         .mapInPandas(features, "lang string, place long, bucket binary, count binary").toPandas()
-        .sort_values(["place", "lang"], kind="stable").groupby("lang", sort=False).head(2 * rows_each)
-        .reset_index(drop=True)
+        .sort_values(["place", "lang"], kind="stable").reset_index(drop=True)
     )
 
 
@@ -159,29 +208,27 @@ def dense(rows: pd.DataFrame) -> np.ndarray:
 
 
 def train(rows: pd.DataFrame, epochs: int = 5, rate: float = 8.0, batch: int = 64) -> Model:
-    languages = sorted(rows["lang"].unique())
+    languages = sorted(rows["lang"].dropna().unique())
     if not languages:
         return Model([])
     rng = np.random.default_rng(5)
-    aside = (rows["place"] // 2 % 10 == 7).to_numpy()
-    if aside.all() or not aside.any():
+    aside = (rows["place"] // 4 % 10 == 7).to_numpy()
+    if aside.all() or not rows["lang"][aside].notna().any():
         aside = np.zeros(len(rows), dtype=bool)
     fit, calibrate = rows[~aside], rows[aside] if aside.any() else rows
-    truth = np.array([languages.index(x) for x in fit["lang"]])
+    truth, classes = _truth(fit, languages), len(languages) + 1
     embedding = rng.normal(0, 0.3, (BUCKETS, WIDTH))
-    linear = rng.normal(0, 0.3, (WIDTH, len(languages)))
-    bias = np.zeros(len(languages))
+    linear = rng.normal(0, 0.3, (WIDTH, classes))
+    bias = np.zeros(classes)
     # rare languages count as much as frequent ones
-    weight = 1.0 / np.bincount(truth, minlength=len(languages))
+    weight = 1.0 / np.maximum(1, np.bincount(truth, minlength=classes))
     weight = (weight / weight[truth].mean())[truth]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for some in np.array_split(rng.permutation(len(fit)), max(1, len(fit) // batch)):
             means = dense(fit.iloc[some])
             hidden = means @ embedding
-            raw = hidden @ linear + bias
-            chance = np.exp(raw - raw.max(axis=1, keepdims=True))
-            chance /= chance.sum(axis=1, keepdims=True)
+            chance = chances(hidden @ linear + bias)
             chance[np.arange(len(some)), truth[some]] -= 1
             chance *= (weight[some] / len(some))[:, None]
             back = chance @ linear.T
@@ -193,24 +240,32 @@ def train(rows: pd.DataFrame, epochs: int = 5, rate: float = 8.0, batch: int = 6
     return calibrated(model, calibrate)
 
 
-def calibrated(model: Model, rows: pd.DataFrame) -> Model:
-    """Temperature of least log loss, then the score that nearly all rightly labelled whole texts reach."""
-    means = np.concatenate([dense(rows.iloc[i : i + 256]) @ model.votes for i in range(0, len(rows), 256)]) + model.bias
-    truth = np.array([model.languages.index(x) for x in rows["lang"]])
+def _truth(rows: pd.DataFrame, languages: list[str]) -> np.ndarray:
+    """The number of each row's language; noise comes after the last."""
+    at = {name: i for i, name in enumerate(languages)}
+    return np.array([at.get(x, len(languages)) for x in rows["lang"]], dtype=np.int64)
+
 
-    def chances(temperature: float) -> np.ndarray:
-        raw = means / temperature
-        raw = np.exp(raw - raw.max(axis=1, keepdims=True))
-        return raw / raw.sum(axis=1, keepdims=True)
+def calibrated(model: Model, rows: pd.DataFrame) -> Model:
+    """Temperature of least log loss, then the score between those of rightly labelled whole texts and of noise."""
+    raw = np.concatenate([dense(rows.iloc[i : i + 256]) @ model.votes for i in range(0, len(rows), 256)]) + model.bias
+    truth = _truth(rows, model.languages)
 
     def loss(temperature: float) -> float:
-        return -np.log(np.maximum(1e-12, chances(temperature)[np.arange(len(truth)), truth])).mean()
+        return -np.log(np.maximum(1e-12, chances(raw, temperature)[np.arange(len(truth)), truth])).mean()
 
     model.temperature = min(np.geomspace(0.1, 10, 41), key=loss)
-    found = chances(model.temperature)
-    whole = (rows["place"] % 2 == 0).to_numpy() & (found.argmax(axis=1) == truth)
-    reached = found.max(axis=1)[whole]
-    model.threshold = min(SURE, float(np.quantile(reached, REJECTED)) * 0.8) if len(reached) else 0.0
+    found = chances(raw, model.temperature)[:, : len(model.languages)]
+    best, score = found.argmax(axis=1), found.max(axis=1)
+    whole = (rows["place"] % 4 == 0).to_numpy()
+    noisy = truth == len(model.languages)
+    right = score[whole & (best == truth)]
+    if len(right):
+        reached = float(np.quantile(right, REJECTED))
+        met = float(np.quantile(score[noisy], 1 - NOISE)) if noisy.any() else reached * 0.6
+        model.threshold = min(SURE, (reached + min(met, reached)) / 2)
+        model.wrong = float((score[whole] < model.threshold).mean())
+        model.missed = float((score[noisy] >= model.threshold).mean()) if noisy.any() else 0.0
     return model
 
 
