@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FENCE = "```"
+#: Characters of a text that are cut into pieces at once.
+BLOCK_CHARS = 1_000_000
+#: Pieces of text whose token counts a task remembers before it starts afresh, and their greatest length.
+KEPT_PIECES, KEPT_CHARS = 200_000, 48
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space and what follows it up to the next: no token of a byte-level vocabulary goes across its start.
+PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
 def visible_text(markup: Column) -> Column:
@@ -114,32 +122,58 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"))
 
 
+class PieceCounts(dict):
+    """Token counts of pieces, made one by one where they are first met; starts afresh at its bound."""
+
+    def __init__(self, codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, piece: str) -> int:
+        count = len(self.codec.encode(piece, add_special_tokens=False))
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = count
+        return count
+
+    def of(self, text: str) -> int:
+        """Tokens of a whole text, block by block."""
+        total, at = 0, 0
+        while len(text) - at > BLOCK_CHARS:
+            end = PIECE.search(text, at + BLOCK_CHARS).end()
+            total += sum(map(self.__getitem__, PIECE.findall(text, at, end)))
+            at = end
+        return total + sum(map(self.__getitem__, PIECE.findall(text, at)))
+
+
 def bpe_token_count(text: Column, vocabulary: str) -> Column:
     """Tokens of a text under a byte-pair vocabulary, a JSON file of the tokenizers library.
 
     The driver reads the file, so executors need not hold it. Names of special tokens
     inside a text are ordinary text. Null stays null, an empty text has no tokens.
+    The vocabulary's words must start where white space does, as byte-level ones do.
     """
     with open(vocabulary, encoding="utf-8") as file:
         rules = file.read()
     kept: dict = {}
 
-    def codec():
+    def pieces() -> PieceCounts:
         # read once a task
         if not kept:
             from tokenizers import Tokenizer
 
-            kept["codec"] = Tokenizer.from_str(rules)
-            kept["codec"].encode_special_tokens = True
-            kept["codec"].no_truncation()
-            kept["codec"].no_padding()
-        return kept["codec"]
+            codec = Tokenizer.from_str(rules)
+            codec.encode_special_tokens = True
+            codec.no_truncation()
+            codec.no_padding()
+            kept["pieces"] = PieceCounts(codec)
+        return kept["pieces"]
 
     @F.pandas_udf("int")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            found = codec().encode_batch([t or "" for t in texts], add_special_tokens=False)
-            counts = pd.Series([len(f.ids) for f in found], dtype="Int32")
+            counts = pd.Series([pieces().of(t or "") for t in texts], dtype="Int32")
             yield counts.mask(texts.isna().to_numpy())
 
     return counted(text)
