@@ -2,7 +2,9 @@
 
 One model holds one tree a class and round (softmax gradients), or one tree a round
 (squared loss). Values are cut once into at most ``bins`` ranges and rows are kept as
-one byte a feature, a label and the margins. A level of all trees of a round is one
+one byte a feature, a label and the margins. Rows that agree in their ranges and label
+keep equal margins, so they are one row with its number, which is exact and leaves few
+rows of a long table with few values. A level of all trees of a round is one
 grouped aggregate: every task adds gradients up by (tree, node, feature, range), the
 sums are combined by key, and the best split of each open node is found by windows
 over its ranges. The driver sees one row an open node, never a histogram or a row of
@@ -112,6 +114,15 @@ def _gradients(margins: np.ndarray, label: np.ndarray, loss: str) -> tuple[np.nd
     return np.rint(share * UNIT), second
 
 
+def _bincount(cell: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
+    """Exact sums of whole numbers by cell."""
+    if len(weight) * int(np.abs(weight).max(initial=0)) < 2**53:
+        return np.bincount(cell, weight, size).astype(np.int64)
+    # a double holds the sum of the halves, not that of the numbers
+    high, low = np.bincount(cell, weight >> 26, size), np.bincount(cell, weight & (2**26 - 1), size)
+    return (high.astype(np.int64) << 26) + low.astype(np.int64)
+
+
 def _read(frame: pd.DataFrame, width: int, missing: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer(b"".join(frame["codes"]), np.uint8).reshape(len(frame), width)
     return codes, codes == missing, np.stack(frame["margins"].to_numpy()).copy()
@@ -151,7 +162,7 @@ def ranges(values: DataFrame, bins: int) -> list[np.ndarray]:
 
 
 def _coded(rows: DataFrame, borders: list[np.ndarray], start: list[float], missing: int) -> DataFrame:
-    """(codes, label, margins): the range of each feature as one byte."""
+    """(codes, label, n, margins): the range of each feature as one byte, and the rows that have them."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
@@ -160,9 +171,10 @@ def _coded(rows: DataFrame, borders: list[np.ndarray], start: list[float], missi
             codes = np.empty(values.shape, np.uint8)
             for j, border in enumerate(borders):
                 codes[:, j] = np.where(np.isnan(values[:, j]), missing, np.searchsorted(border, values[:, j], side="left"))
-            yield pd.DataFrame({"codes": [c.tobytes() for c in codes], "label": frame["label"], "margins": [start] * len(frame)})
+            yield pd.DataFrame({"codes": [c.tobytes() for c in codes], "label": frame["label"]})
 
-    return rows.select("features", "label").mapInPandas(run, "codes binary, label double, margins array<double>")
+    coded = rows.select("features", "label").mapInPandas(run, "codes binary, label double")
+    return coded.groupBy("codes", "label").agg(F.count("*").alias("n")).withColumn("margins", F.array(*map(F.lit, start)))
 
 
 def _histograms(
@@ -178,6 +190,8 @@ def _histograms(
                 continue
             codes, gone, margins = _read(frame, width, missing)
             first, second = _gradients(_add(margins, codes, gone, since), frame["label"].to_numpy(), loss)
+            rows_of = frame["n"].to_numpy()
+            first, second = first.astype(np.int64) * rows_of[:, None], second.astype(np.int64) * rows_of[:, None]
             for k, tree in enumerate(growing):
                 place = places[k][tree.leaf_of(codes, gone, tree.cut)]
                 here = place >= 0
@@ -185,9 +199,8 @@ def _histograms(
                     some = codes[here, low:low + BLOCK]
                     wide = some.shape[1]
                     cell = ((place[here, None] * wide + np.arange(wide)) * slots + some).ravel()
-                    for m, weight in enumerate((first[here, k], second[here, k], None)):
-                        weights = None if weight is None else np.repeat(weight, wide)
-                        added = np.bincount(cell, weights, nodes * wide * slots).astype(np.int64)
+                    for m, weight in enumerate((first[here, k], second[here, k], rows_of[here])):
+                        added = _bincount(cell, np.repeat(weight, wide), nodes * wide * slots)
                         total[m, k, :, low:low + wide] += added.reshape(nodes, wide, slots)
         at = np.nonzero(total[2])
         yield pd.DataFrame(dict(zip(("tree", "place", "feature", "code"), at)) | {n: total[m][at] for m, n in enumerate("ghn")})

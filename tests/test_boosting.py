@@ -8,6 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 
+from tablewright.operators import boosting
 from tablewright.operators import modelling as Mo
 from tablewright.operators.boosting import BoostedTrees
 
@@ -147,3 +148,13 @@ def test_pipelines_of_each_task(spark, monkeypatch):
         labels = [f"{target}_index"] if task == "classification" else [target]
         value = Mo.score(found, labels, [f"{target}_predicted"], task).first()["score"]
         assert value == 1.0 if task == "classification" else value > 0.5
+
+
+def test_equal_rows_are_one_row_with_their_number(spark):
+    rng = np.random.default_rng(7)
+    few = [([float(a), float(b)], float((a + b) % 3)) for a, b in rng.integers(0, 4, (40, 2)).tolist()]
+    rows = spark.createDataFrame(few * 50, "features array<double>, label double").repartition(5)
+    coded = boosting._coded(rows, [np.arange(3.0)] * 2, [0.0] * 3, 63).collect()
+    assert len(coded) == len({(tuple(f), y) for f, y in few}) and sum(r["n"] for r in coded) == 2000
+    huge = rng.integers(-(2**60), 2**60, 6)
+    assert boosting._bincount(np.array([0, 1, 1, 3, 3, 3]), huge, 4).tolist() == [huge[0], huge[1] + huge[2], 0, huge[3:].sum()]
