@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import in_slices, map_exactly, text_or_empty
 from tablewright.llm.components import components
-from tablewright.session import durable
+from tablewright.session import durable, fresh_path
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -99,6 +99,13 @@ def similarity(left: np.ndarray, right: np.ndarray) -> float:
     return both / either if either else 1.0
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """As ``durable``, in columns: for tables of many short rows, whose names repeat."""
+    path = fresh_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def buckets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(bucket, node, size, n): the distinct texts of each bucket of two or more, their shingles, and the bucket's texts."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,19 +117,27 @@ def buckets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         docs.select(text_key().alias("node"), F.lit(0).cast("long").alias("size"), text_or_empty().alias("text")),
         run, "node string, size long, keys array<long>",
     )
-    keyed = durable(made.select("node", "size", F.explode("keys").alias("bucket")).distinct())
+    keyed = _written(made.select("node", "size", F.explode("keys").alias("bucket")).distinct())
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     return durable(keyed.join(shared, "bucket").select("bucket", "node", "size", "n"))
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """(node, component) of the distinct texts (``text_key``) that have a similar one."""
+def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, known: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the distinct texts (``text_key``) that have a similar one.
+
+    ``known`` gives links (a, b) that are there already: only texts that they leave
+    apart are compared.
+    """
     met = buckets(docs, words)
     texts = durable(
         docs.select(text_key().alias("node"), text_or_empty().alias("text")).groupBy("node").agg(F.first("text").alias("text"))
         .join(met.select("node").distinct(), "node")
     )
-    links = durable(confirmed(centre_pairs(met, least), texts, words, least))
+    pairs = centre_pairs(met, least)
+    if known is None:
+        links = durable(confirmed(pairs, texts, words, least))
+    else:
+        links = durable(confirmed(_apart(pairs, components(known)), texts, words, least).unionByName(known))
     groups = components(links)
     waiting = prefixes(open_texts(met, groups), texts, words, least)
     first = FIRST
@@ -160,6 +175,14 @@ def centre_pairs(met: DataFrame, least: float) -> DataFrame:
     ).select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are in different groups."""
+    for side in ("a", "b"):
+        of = groups.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        pairs = pairs.join(of, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    return pairs.where("of_a <> of_b").select("a", "b")
+
+
 def open_texts(met: DataFrame, groups: DataFrame) -> DataFrame:
     """(node, component) of the texts that share a bucket with a text of another group."""
     named = met.select("bucket", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -200,7 +223,7 @@ def prefixes(waiting: DataFrame, texts: DataFrame, words: int, least: float) ->
     # short numbers for the names while there is a row a shingle; they stay, as they are written
     numbered = durable(waiting.withColumn("id", F.monotonically_increasing_id()))
     named = durable(numbered.join(numbered.groupBy("component").agg(F.min("id").alias("group")), "component"))
-    held = durable(
+    held = _written(
         named.join(texts, "node").select("id", "group", "text").mapInPandas(split, "id long, group long, shingle long")
     )
     rarity = held.groupBy("shingle").agg(F.count("*").alias("texts"), (F.min("group") < F.max("group")).alias("several"))
@@ -208,7 +231,7 @@ def prefixes(waiting: DataFrame, texts: DataFrame, words: int, least: float) ->
     ordered = held.join(rarity, "shingle").groupBy("id", "group").agg(
         F.array_sort(F.collect_list(F.struct("texts", "shingle", "several"))).alias("of")
     ).select("id", "group", F.col("of.shingle").alias("shingle"), F.col("of.several").alias("several"))
-    entries = durable(ordered.mapInPandas(cut, "bucket long, id long, size long, rest long, group long"))
+    entries = _written(ordered.mapInPandas(cut, "bucket long, id long, size long, rest long, group long"))
     # what is left of a text must suffice for the smallest text that it meets
     smallest = entries.groupBy("bucket").agg(F.min("size").alias("least"))
     able = entries.join(smallest, "bucket").where(

@@ -276,15 +276,30 @@ def hexadecimal(column: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
+def text_links(docs: DataFrame, words: int = minhash.WORDS, limit: int = LIMIT) -> DataFrame:
+    """(a, b): links between the distinct texts (``minhash.text_key``) that connect all fingerprints within the limit."""
+    named = docs.select(minhash.text_key().alias("doc_id"), "text")
+    marked = durable(fingerprints(named, words).distinct())
+    distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = links(distinct.select("fp"), distinct.count(), limit)
+    for side in ("a", "b"):
+        of = distinct.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}"))
+        found = found.join(of, side)
+    near = found.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    same = marked.join(distinct, "fp").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    return durable(near.unionByName(same).distinct())
+
+
 def one_of_each_group(docs: DataFrame, words: int = minhash.WORDS, least: float = minhash.SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group of texts that share 80 % of their 5-word shingles.
+    """``docs`` with one document of each group of near copies.
 
-    SimHash cannot find these: they differ in too many bits for its masks, so the
-    candidates come from ``minhash``, and links are confirmed by the exact shares.
+    The index links texts whose fingerprints differ in ``LIMIT`` bits at most. Texts
+    that share 80 % of their 5-word shingles often differ in more, up to 12: what the
+    index leaves apart is compared by ``minhash`` too, by the exact shares.
     The row with the smallest doc_id stays, nulls last; among rows of that doc_id
     one text, and of its repeated rows the one whose columns come first.
     """
-    groups = minhash.similar_groups(docs, words, least)
+    groups = minhash.similar_groups(docs, words, least, known=text_links(docs, words))
     rows = docs.select("doc_id", minhash.text_key().alias("node")).groupBy("doc_id", "node").agg(F.count("*").alias("rows"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "rows")
     chosen = durable(
