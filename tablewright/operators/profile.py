@@ -20,6 +20,8 @@ from tablewright.session import durable
 
 SAMPLES = 5
 LONG_TEXT = 64
+#: First rows of a table that are looked at before all of them.
+FIRST_ROWS = 256
 DIGEST_MARK = "\u0001"
 
 
@@ -280,6 +282,38 @@ def column_stats(
     return with_ratios(moments)
 
 
+def _first_values(
+    df: DataFrame, key: str | Sequence[str], n: int, columns: Sequence[str] | None, order: Sequence[Column]
+) -> DataFrame:
+    """(pos, rank, value): the first ``n`` distinct values of each column in row order.
+
+    The first rows by key decide for columns that have ``n`` values before the last of
+    these rows; only the other columns, mostly of few values, are counted in full.
+    """
+    names = [f.name for f in _columns(df, columns)]
+    keys = [key] if isinstance(key, str) else list(key)
+    wanted = df.select(*[F.col(c) for c in dict.fromkeys([*keys, *names])])
+    head = durable(wanted.orderBy(_order(key).asc_nulls_last()).limit(FIRST_ROWS))
+    counts = durable(value_counts(head, key, names))
+    if head.count() < FIRST_ROWS:
+        done = list(range(len(names)))
+    else:
+        # at the last key there may be more rows than were taken
+        last = head.agg(F.max(_order(key)).alias("last"), F.count_if(_order(key).isNull()).alias("nulls"))
+        counts = counts.crossJoin(F.broadcast(last)).where((F.col("nulls") == 0) & (F.col("first") < F.col("last"))).drop("last", "nulls")
+        seen = counts.groupBy("pos").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= n)
+        done = [r["pos"] for r in seen.collect()]
+    rest = [i for i in range(len(names)) if i not in done]
+    parts = ["pos", "rank", "value"]
+    found = top_values(head, counts.where(F.col("pos").isin(done)), order, n, names).select(*parts)
+    if not rest:
+        return found
+    others = [names[i] for i in rest]
+    late = top_values(df, value_counts(df, key, others), order, n, others).select(*parts)
+    back = F.element_at(F.array(*map(F.lit, rest)), F.col("pos") + 1)
+    return found.unionByName(late.withColumn("pos", back))
+
+
 def column_samples(
     df: DataFrame,
     key: str | Sequence[str] | None = None,
@@ -288,12 +322,15 @@ def column_samples(
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """First ``n`` distinct values of each column in row order, repeated to fill ``n``."""
-    counts = value_counts(df, key, columns) if counts is None else counts
     # without a key the first value is the smallest
     order = [] if key is None else [F.col("first").asc_nulls_last()]
+    if counts is None and key is not None:
+        first = _first_values(df, key, n, columns, order)
+    else:
+        counts = value_counts(df, key, columns) if counts is None else counts
+        first = top_values(df, counts, order, n, columns)
     found = (
-        top_values(df, counts, order, n, columns)
-        .groupBy("pos")
+        first.groupBy("pos")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("_pairs"))
         .select("pos", F.col("_pairs.value").alias("_found"))
     )

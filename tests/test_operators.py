@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tablewright.operators import answers as A
@@ -221,3 +222,28 @@ def test_share_and_heatmap(spark):
     shares = {(r["x"], r["legend"]): r["share"] for r in A.share(df, F.col("x"), F.sum("y"), F.col("l")).collect()}
     assert shares == {("a", "p"): 0.25, ("a", "q"): 0.75, ("b", "p"): 1.0}
     assert A.heatmap(df, "x", "l", F.sum("y"), ["p", "q"]).columns == ["x", "p", "q"]
+
+
+def test_first_rows_decide_samples_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(P, "FIRST_ROWS", 12)
+    long = "a" * P.LONG_TEXT
+    rows = [
+        (None if k == 0 and null else int(k), int(a), None if rng.random() < 0.9 else int(a), f"{long}{a}", "one")
+        for null in (False, True) for k, a in zip(rng.integers(0, 25, 60), rng.integers(0, 30, 60))
+    ]
+    schema = "k long, many long, sparse long, texts string, one string"
+    columns = ["many", "sparse", "texts", "one", "k"]
+    for some, key in ((rows, "k"), (rows[:60], "k"), (rows, ["k", "many"]), (rows[:5], "k"), ([], "k")):
+        df = spark.createDataFrame(some, schema).repartition(3)
+        whole = P.column_samples(df, key, columns=columns, counts=P.value_counts(df, key, columns))
+        assert sorted(P.column_samples(df, key, columns=columns).collect()) == sorted(whole.collect())
+
+
+def test_columns_settled_by_first_rows_are_not_counted_in_full(spark, monkeypatch):
+    asked = []
+    counts = P.value_counts
+    monkeypatch.setattr(P, "value_counts", lambda df, key=None, columns=None: asked.append(list(columns)) or counts(df, key, columns))
+    df = spark.range(2000).selectExpr("id", "cast(id % 2 AS string) AS two", "concat('x', id) AS texts")
+    P.column_samples(df, "id", columns=["id", "two", "texts"]).collect()
+    assert asked == [["id", "two", "texts"], ["two"]]
