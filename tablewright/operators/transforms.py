@@ -34,7 +34,7 @@ from tablewright.functions.cells import (
     is_numeric_field,
     to_number,
 )
-from tablewright.operators.profile import LONG_TEXT, is_long, top_values, value_counts
+from tablewright.operators.profile import FIRST_ROWS, LONG_TEXT, is_long, top_values, value_counts
 from tablewright.operators.ranking import ordered_prefix, top_per_group
 from tablewright.session import durable, fresh_path
 
@@ -491,31 +491,52 @@ class ListColumns(_Fit):
     def fit_state(self, df, columns):
         most = self.option("max_elements", MAX_ELEMENTS)
         lists = {c: parts.list_elements(q(c)) for c in columns}
-        elements = df.select(F.inline(F.array(*[
-            F.struct(F.lit(i).alias("pos"), F.array_distinct(lists[c]).alias("es"))
-            for i, c in enumerate(columns)
-        ]))).select("pos", F.explode("es").alias("e"))
-        counts = elements.groupBy("pos", "e").agg(F.count(F.lit(1)).alias("n"))
-        # One more than allowed is enough to know a column has too many.
-        rows = top_per_group(counts, ["pos"], [F.col("e")], most).select("pos", "e").collect()
-        found: dict[int, list[str]] = {}
-        for r in rows:
-            found.setdefault(r["pos"], []).append(r["e"])
+        # what the first rows show already, all rows need not be asked
+        head = durable(df.select(*[q(c) for c in columns]).limit(FIRST_ROWS))
+        many, uneven = self._many(head, columns, lists, most), self._uneven(head, columns, lists)
+        open_ = [c for c in columns if c not in many]
+        found: dict[str, list[str]] = {}
+        if open_:
+            counts = self._elements(df, open_, lists).groupBy("pos", "e").agg(F.count(F.lit(1)).alias("n"))
+            # One more than allowed is enough to know a column has too many.
+            for r in top_per_group(counts, ["pos"], [F.col("e")], most).select("pos", "e").collect():
+                found.setdefault(open_[r["pos"]], []).append(r["e"])
+        full = [c for c in columns if c in many or len(found.get(c, [])) >= most]
+        asked = [c for c in full if c not in uneven]
         aggs = []
-        for i, c in enumerate(columns):
+        for i, c in enumerate(asked):
             aggs += [F.min(F.size(lists[c])).alias(f"a{i}"), F.max(F.size(lists[c])).alias(f"z{i}")]
-        row = one_row(df, aggs)
+        row = one_row(df, aggs) if asked else {}
+        length = {c: row[f"a{i}"] for i, c in enumerate(asked) if row[f"a{i}"] == row[f"z{i}"]}
         state = {}
-        for i, c in enumerate(columns):
-            values = sorted(found.get(i, []))
-            if len(values) < most:
-                state[c] = {"kind": "categories", "values": values}
-            elif row[f"a{i}"] == row[f"z{i}"]:
-                state[c] = {"kind": "fixed", "length": row[f"a{i}"]}
+        for c in columns:
+            if c not in full:
+                state[c] = {"kind": "categories", "values": sorted(found.get(c, []))}
+            elif c in length:
+                state[c] = {"kind": "fixed", "length": length[c]}
             else:
                 state[c] = {"kind": "text"}
         return state
 
+    @staticmethod
+    def _elements(df, columns, lists):
+        """(pos, e): the distinct elements of each cell."""
+        return df.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("pos"), F.array_distinct(lists[c]).alias("es"))
+            for i, c in enumerate(columns)
+        ]))).select("pos", F.explode("es").alias("e"))
+
+    def _many(self, head, columns, lists, most) -> set[str]:
+        """Columns with at least ``most`` elements in some rows."""
+        counts = self._elements(head, columns, lists).groupBy("pos").agg(F.count_distinct("e").alias("n"))
+        return {columns[r["pos"]] for r in counts.where(F.col("n") >= most).collect()}
+
+    @staticmethod
+    def _uneven(head, columns, lists) -> set[str]:
+        """Columns whose lists differ in length in some rows."""
+        row = head.agg(*[(F.min(F.size(lists[c])) < F.max(F.size(lists[c]))).alias(f"u{i}") for i, c in enumerate(columns)]).first()
+        return {c for i, c in enumerate(columns) if row[f"u{i}"]}
+
 
 # --- formatted IDs ----------------------------------------------------------
 

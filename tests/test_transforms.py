@@ -205,3 +205,19 @@ def test_search_prefers_the_type_that_predicts(spark):
     df = frame(spark, rows, "k int, weight string, c string, y int")
     got = Mo.search_types(df, "k", ["y"], "classification", GivenProbabilities(), learner="rf")
     assert got == {"weight": 8, "c": 1}
+
+
+def test_lists_that_the_first_rows_settle_are_not_counted_in_full(spark, monkeypatch):
+    asked, top, one = [], X.top_per_group, X.one_row
+    monkeypatch.setattr(X, "top_per_group", lambda rows, *a, **k: asked.append("elements") or top(rows, *a, **k))
+    monkeypatch.setattr(X, "one_row", lambda rows, aggs: asked.append("lengths") or one(rows, aggs))
+    rows = spark.range(1500).selectExpr(
+        "concat('[a', id, ']') AS even", "concat('[b', id, if(id % 2 = 0, ', c', ''), ']') AS uneven", "'[x, y]' AS few",
+        "concat('[k', id % 3, ']') AS late"
+    )
+    state = X.ListColumns(["even", "uneven", "few"], max_elements=5).fit(rows).getState()
+    assert state == {"even": {"kind": "fixed", "length": 1}, "uneven": {"kind": "text"}, "few": {"kind": "categories", "values": ["x", "y"]}}
+    assert asked == ["elements", "lengths"]
+    asked.clear()
+    assert X.ListColumns(["uneven"], max_elements=5).fit(rows).getState() == {"uneven": {"kind": "text"}}
+    assert asked == []
