@@ -125,8 +125,8 @@ def buckets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, known: DataFrame | None = None) -> DataFrame:
     """(node, component) of the distinct texts (``text_key``) that have a similar one.
 
-    ``known`` gives links (a, b) that are there already: only texts that they leave
-    apart are compared.
+    ``known`` gives candidates (a, b) of another index: they are confirmed first, and
+    only texts that they leave apart are compared.
     """
     met = buckets(docs, words)
     texts = durable(
@@ -137,7 +137,8 @@ def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARIT
     if known is None:
         links = durable(confirmed(pairs, texts, words, least))
     else:
-        links = durable(confirmed(_apart(pairs, components(known)), texts, words, least).unionByName(known))
+        near = durable(confirmed(known, texts, words, least))
+        links = durable(confirmed(_apart(pairs, components(near)), texts, words, least).unionByName(near))
     groups = components(links)
     waiting = prefixes(open_texts(met, groups), texts, words, least)
     first = FIRST

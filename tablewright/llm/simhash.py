@@ -293,9 +293,10 @@ def text_links(docs: DataFrame, words: int = minhash.WORDS, limit: int = LIMIT)
 def one_of_each_group(docs: DataFrame, words: int = minhash.WORDS, least: float = minhash.SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group of near copies.
 
-    The index links texts whose fingerprints differ in ``LIMIT`` bits at most. Texts
-    that share 80 % of their 5-word shingles often differ in more, up to 12: what the
-    index leaves apart is compared by ``minhash`` too, by the exact shares.
+    Near copies share 80 % of their 5-word shingles. The index links texts whose
+    fingerprints differ in ``LIMIT`` bits at most, and the exact shares confirm these
+    links. Near copies often differ in more bits, up to 12: ``minhash`` finds candidates
+    among texts that the index leaves apart.
     The row with the smallest doc_id stays, nulls last; among rows of that doc_id
     one text, and of its repeated rows the one whose columns come first.
     """
