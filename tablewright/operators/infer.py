@@ -15,11 +15,12 @@ from tablewright.operators.profile import (
     category_size,
     column_samples,
     column_stats,
+    count_sizes,
     mixed_columns,
     sample_shape,
     value_counts,
 )
-from tablewright.operators.transforms import detect_splits
+from tablewright.operators.transforms import detect_splits, maybe_split
 from tablewright.session import durable
 
 # The semantic types and their display names.
@@ -146,14 +147,17 @@ SHORT_WORDS = 10
 def type_profile(df: DataFrame, key: str | Sequence[str] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """Profile with everything the rules read: shape, category size, splits, text cells.
 
-    The value counts and the sample shapes are written once. The shapes tell which
-    text columns are short enough to be formatted IDs; only those are scanned for
-    separators.
+    The first rows by key settle most samples. Of the value counts only their sizes
+    are kept, which are few; no distinct value is written. The shapes tell which text
+    columns are short enough to be formatted IDs; only those are scanned for
+    separators, unless their first rows show that there are none.
     """
-    counts = durable(value_counts(df, key, columns))
-    samples = column_samples(df, key, columns=columns, counts=counts)
+    names = df.columns if columns is None else list(columns)
+    counts = durable(value_counts(df, None, names)) if key is None else None
+    sizes = durable(count_sizes(value_counts(df, None, names) if counts is None else counts))
+    samples = column_samples(df, key, columns=names, counts=counts)
     if key is not None:
-        samples = apply_override(samples, mixed_columns(df, key, columns))
+        samples = apply_override(samples, mixed_columns(df, key, names))
     shaped = durable(sample_shape(samples))
     splittable = (
         (F.col("dtype") == "string")
@@ -162,19 +166,14 @@ def type_profile(df: DataFrame, key: str | Sequence[str] | None = None, columns:
         & (F.col("mean_word_count") <= SHORT_WORDS)
     )
     short = [r["column"] for r in shaped.filter(splittable).select("column").collect()]
-    sizes = category_size(df, columns, counts=counts).drop("column")
-    out = column_stats(df, columns, counts=counts)
+    out = column_stats(df, names, sizes=sizes)
     out = out.join(F.broadcast(shaped.drop("column", "dtype", "is_numeric_dtype")), "pos")
-    out = out.join(F.broadcast(sizes), "pos")
-    if not short:
+    out = out.join(F.broadcast(category_size(df, names, sizes=sizes).drop("column")), "pos")
+    open_columns = maybe_split(df, short)
+    if not open_columns:
         return out.withColumn("parts", F.lit(1))
-    names = df.columns if columns is None else list(columns)
-    renumbered = F.create_map(*[F.lit(x) for i, c in enumerate(short) for x in (names.index(c), i)])
-    text_counts = counts.withColumn("pos", F.try_element_at(renumbered, F.col("pos"))).filter(
-        F.col("pos").isNotNull()
-    )
     # One row per text column.
-    splits = detect_splits(df, short, text_counts).select("column", "parts")
+    splits = detect_splits(df, open_columns, value_counts(df, None, open_columns)).select("column", "parts")
     return out.join(F.broadcast(splits), "column", "left").withColumn(
         "parts", F.coalesce("parts", F.lit(1))
     )

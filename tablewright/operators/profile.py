@@ -204,6 +204,15 @@ def resolve_tokens(df: DataFrame, tokens: DataFrame, columns: Sequence[str] | No
     )
 
 
+def count_sizes(counts: DataFrame) -> DataFrame:
+    """(pos, n, values): how many distinct values of a column are met ``n`` times.
+
+    A column of ``r`` rows has fewer than the root of ``2 r`` such sizes, so this is
+    small however many values there are.
+    """
+    return counts.groupBy("pos", "n").agg(F.count(F.lit(1)).alias("values"))
+
+
 def distinct_counts(counts: DataFrame) -> DataFrame:
     """Distinct and non-missing values per column, from value counts."""
     return counts.groupBy("pos").agg(
@@ -267,17 +276,23 @@ def column_stats(
     columns: Sequence[str] | None = None,
     approx: bool = False,
     counts: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Counts, moments and ratios, one row per column.
 
     ``approx`` replaces exact distinct counts by a sketch in the same single pass.
+    ``sizes`` may give the count sizes instead of ``counts``.
     """
     fields = _columns(df, columns)
     moments = _moments(df, fields, approx)
     if not approx:
-        counts = value_counts(df, None, columns) if counts is None else counts
+        if sizes is not None:
+            distinct = sizes.groupBy("pos").agg(F.sum("values").alias("num_of_dist_val"))
+        else:
+            counts = value_counts(df, None, columns) if counts is None else counts
+            distinct = distinct_counts(counts).drop("non_null")
         # At most one row per column of the schema.
-        moments = moments.join(F.broadcast(distinct_counts(counts)), "pos", "left").drop("non_null")
+        moments = moments.join(F.broadcast(distinct), "pos", "left")
         moments = moments.withColumn("num_of_dist_val", F.coalesce("num_of_dist_val", F.lit(0)))
     return with_ratios(moments)
 
@@ -428,17 +443,27 @@ def mean_sample_tokens(samples: DataFrame) -> DataFrame:
     return samples.select("column", S.array_mean(tokens).alias("mean_tokens"))
 
 
-def category_size(df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """Binary, small, large or none: how categorical a column looks."""
-    counts = value_counts(df, None, columns) if counts is None else counts
-    totals = distinct_counts(counts)
-    top = top_per_group(counts, ["pos"], [F.col("n").desc(), F.col("token"), F.col("first")], 20)
-    covered = top.groupBy("pos").agg(F.sum("n").alias("top"))
-    joined = (
-        columns_frame(df, columns)
-        .join(F.broadcast(totals), "pos", "left")
-        .join(F.broadcast(covered), "pos", "left")
+def category_size(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    counts: DataFrame | None = None,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """Binary, small, large or none: how categorical a column looks.
+
+    Only the sizes of the 20 most frequent values matter, not which values they are,
+    so no values are sorted: ``sizes`` of the counts are.
+    """
+    if sizes is None:
+        sizes = count_sizes(value_counts(df, None, columns) if counts is None else counts)
+    window = Window.partitionBy("pos").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.greatest(F.lit(20) - F.coalesce(F.sum("values").over(window), F.lit(0)), F.lit(0))
+    totals = sizes.withColumn("_taken", F.least("values", left)).groupBy("pos").agg(
+        F.sum("values").alias("num_of_dist_val"),
+        F.sum(F.col("n") * F.col("values")).alias("non_null"),
+        F.sum(F.col("n") * F.col("_taken")).alias("top"),
     )
+    joined = columns_frame(df, columns).join(F.broadcast(totals), "pos", "left")
     distinct = F.coalesce("num_of_dist_val", F.lit(0))
     size = (
         F.when(distinct <= 2, "binary")
@@ -450,15 +475,21 @@ def category_size(df: DataFrame, columns: Sequence[str] | None = None, counts: D
 
 
 def number_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Share of the non-missing cells of each column that parse as numbers."""
+    """Share of the non-missing cells of each column that parse as numbers.
+
+    Numbers always do, truth values and times never: their cells are counted, not
+    written out as text.
+    """
     fields = _columns(df, columns)
     aggs, rows = [], []
     for i, f in enumerate(fields):
-        text = cell_text(f)
-        aggs += [
-            F.count(text).alias(f"c{i}"),
-            F.count(F.when(text.rlike(S.PLAIN_NUMBER), 1)).alias(f"n{i}"),
-        ]
+        kind = value_type_name(f)
+        if kind == "string":
+            numbers = F.when(cell_text(f).rlike(S.PLAIN_NUMBER), 1)
+        else:
+            numbers = clean(f) if kind in ("integer", "floating") else F.lit(None)
+        filled = clean(f) if kind != "string" or isinstance(f.dataType, T.StringType) else cell_text(f)
+        aggs += [F.count(filled).alias(f"c{i}"), F.count(numbers).alias(f"n{i}")]
         rows.append(
             F.struct(
                 F.lit(i).alias("pos"),

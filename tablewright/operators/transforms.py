@@ -593,6 +593,18 @@ def detect_splits(
     )
 
 
+def maybe_split(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns whose cells may all have one number of parts above 1, as far as some first rows tell.
+
+    Cells that differ in parts, or have one part each, rule a column out for good.
+    """
+    if not columns:
+        return []
+    head = durable(df.select(*[q(c) for c in columns]).limit(FIRST_ROWS))
+    out = {r["column"] for r in detect_splits(head, columns).collect() if r["parts"] == 1}
+    return [c for c in columns if c not in out]
+
+
 def detect_split(df: DataFrame, column: str) -> tuple[str | None, int]:
     row = detect_splits(df, [column]).first()
     return (row["separator"], row["parts"]) if row else (None, 1)
@@ -654,7 +666,7 @@ class FormattedId(_Fit):
     def fit_state(self, df, columns):
         specs = dict(self.option("specs") or {})
         state = {}
-        open_columns = [c for c in columns if c not in specs]
+        open_columns = maybe_split(df, [c for c in columns if c not in specs])
         found = {r["column"]: r for r in detect_splits(df, open_columns).collect()} if open_columns else {}
         sized = [c for c, s in specs.items() if s["option"] == 2]
         sizes = one_row(df, [

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -240,22 +244,30 @@ def labelled_profiles(spark, sf_dir):
     """Profiles of all typed tables' columns, labelled by the type rules.
 
     The profiles are a row per column; a session writes them once for all queries.
+    The tables do not depend on each other: their jobs are submitted side by side, so
+    that the cores are not idle while one table's next step is planned.
     """
     known = (spark.sparkContext.applicationId, sf_dir)
     if known in _PROFILES:
         return _PROFILES[known]
-    out = None
-    for name, (key, columns) in TYPED.items():
+
+    def one(name):
+        key, columns = TYPED[name]
         df = load(spark, sf_dir, name).select(*dict.fromkeys([key, *columns]))
-        one = I.type_profile(df, key, columns).withColumn("type", I.rule_type(F.col("parts")).cast("int"))
-        one = one.select(F.lit(name).alias("table"), "*")
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+        typed = I.type_profile(df, key, columns).withColumn("type", I.rule_type(F.col("parts")).cast("int"))
+        return durable(typed.select(F.lit(name).alias("table"), "*"))
+
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(one), TYPED))
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
     labels = F.create_map(*[F.lit(x) for pair in I.LABELS.items() for x in pair])
     _PROFILES[known] = durable(out.withColumn("subcategory", F.try_element_at(labels, F.col("type"))))
     return _PROFILES[known]
 
 
 _PROFILES: dict = {}
+#: Tables whose jobs are submitted side by side.
+TABLES_AT_ONCE = 3
 
 
 def _vector_rows(features, name):

@@ -11,6 +11,7 @@ from tablewright.operators import licences as L
 from tablewright.operators import lineage as G
 from tablewright.operators import profile as P
 from tablewright.operators import sampling as M
+from tablewright.operators import transforms as X
 from tablewright.operators.pages import main_text
 from tablewright.operators.ranking import ordered_prefix, top_per_group
 
@@ -247,3 +248,55 @@ def test_columns_settled_by_first_rows_are_not_counted_in_full(spark, monkeypatc
     df = spark.range(2000).selectExpr("id", "cast(id % 2 AS string) AS two", "concat('x', id) AS texts")
     P.column_samples(df, "id", columns=["id", "two", "texts"]).collect()
     assert asked == [["id", "two", "texts"], ["two"]]
+
+
+def test_a_type_profile_writes_no_distinct_values(spark, monkeypatch):
+    written = []
+
+    def counted(write):
+        def durable(df):
+            out = write(df)
+            written.append(out.count())
+            return out
+
+        return durable
+
+    for module in (I, P, X):
+        monkeypatch.setattr(module, "durable", counted(module.durable))
+    rows = [(i, i / 7, f"A{i}-{i % 10}-B", "x" if i % 3 else "y", f"{i}" if i % 2 else f"{i} kg") for i in range(3000)]
+    df = frame(spark, rows, "k int, d double, code string, few string, mixed string")
+    got = {r["column"]: r for r in I.type_profile(df, "k").collect()}
+    # the values of the first rows by column, not those of the table
+    assert max(written) <= P.FIRST_ROWS * len(df.columns) < df.count()
+    assert [got[c]["num_of_dist_val"] for c in ("d", "code", "few", "mixed")] == [3000, 3000, 2, 3000]
+    assert [got[c]["category_size"] for c in ("d", "code", "few", "mixed")] == ["none", "none", "binary", "none"]
+    assert got["code"]["parts"] == 3 and got["few"]["parts"] == 1
+    assert got["code"]["samples"][:2] == ["A0-0-B", "A1-1-B"] and got["mixed"]["samples"][:2] == ["0 kg", "2 kg"]
+
+
+def test_category_size_covers_the_twenty_most_frequent_values(spark):
+    # 19 values of 30 rows, three of 10 and many of 1: the top 20 hold 19 * 30 + 10 rows
+    for single, want in ((100, "large"), (140, "none")):
+        values = [f"a{i}" for i in range(19) for _ in range(30)] + [f"b{i}" for i in range(3) for _ in range(10)]
+        values += [f"c{i}" for i in range(single)]
+        df = frame(spark, [(v,) for v in values], "s string")
+        assert P.category_size(df).first()["category_size"] == want
+        assert (580 / len(values) > 0.8) == (want == "large")
+
+
+def test_columns_whose_first_rows_differ_in_parts_are_not_split(spark):
+    rows = [("1-2-3", "1-2-3", None, "ab")] * 300 + [("1-2-3", "1-2-3-4", "4-5-6", "ab")] * 100
+    df = frame(spark, rows, "same string, late string, gap string, one string").coalesce(1)
+    assert X.maybe_split(df, df.columns) == ["same", "late", "gap"]
+    # what the first rows leave open, all rows settle
+    found = {r["column"]: r["parts"] for r in X.detect_splits(df, df.columns).collect()}
+    assert found == {"same": 3, "late": 1, "gap": 3, "one": 1}
+
+
+def test_number_shares_by_kind_of_column(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (1, 1.5D, 2.50, true, DATE'2020-01-01', '7', array(1)), (2, double('nan'), null, false, null, 'x', null)"
+        " t(i, d, m, b, t, s, a)"
+    )
+    got = {r["column"]: r["number_share"] for r in P.number_shares(df).collect()}
+    assert got == {"i": 1.0, "d": 1.0, "m": 1.0, "b": 0.0, "t": 0.0, "s": 0.5, "a": 0.0}
