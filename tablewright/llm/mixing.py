@@ -94,18 +94,20 @@ def mix(
         })
     spark = docs.sparkSession
     goal = spark.createDataFrame(goals, "source string, source_size long, target double")
-    ranged = rows.withColumn("range", F.substring("place", 1, digits))
-    totals = ranged.groupBy("source", "range").agg(F.sum("size").alias("total"))
+    # a key without nulls: the join and the window then ask for the same shuffle
+    key = ["none", "named", "range"]
+    ranged = rows.withColumns({
+        "none": F.col("source").isNull(), "named": F.coalesce("source", F.lit("")), "range": F.substring("place", 1, digits),
+    })
+    totals = ranged.groupBy("source", *key).agg(F.sum("size").alias("total"))
     offsets = totals.withColumn(
         "before",
         F.sum("total").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
         - F.col("total"),
     ).drop("total")
-    bounds = offsets.join(goal, offsets.source.eqNullSafe(goal.source)).select(
-        offsets.source.alias("of"), F.col("range").alias("in"), "before", "source_size", "target"
-    )
-    placed = ranged.join(bounds, ranged.source.eqNullSafe(bounds["of"]) & (F.col("range") == F.col("in")))
-    inside = Window.partitionBy("source", "range").orderBy("place", "doc_id", "size", "digest")
+    bounds = offsets.join(goal, offsets.source.eqNullSafe(goal.source)).select(*key, "before", "source_size", "target")
+    placed = ranged.join(bounds, key)
+    inside = Window.partitionBy(*key).orderBy("place", "doc_id", "size", "digest")
     end = F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     timed = placed.withColumn("end", end)
     # words of the source's passes that lie before the target: whole ones in the middle, a part at the cut

@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import pytest
@@ -74,3 +75,15 @@ def test_mixed_columns_of_any_name(spark):
 def test_empty_table(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     assert mixing.mixed_documents(documents(spark, [])).count() == 0
+
+
+def test_whole_rows_move_twice(spark, capsys):
+    """To their range, for join and sums, and to their place in the mix."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixing.mixed_documents(documents(spark, [(i, "w " * (1 + i % 5), "en", f"s{i % 3}") for i in range(30)])).explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[.*\brow#", capsys.readouterr().out)
+    assert len(moved) == 2
