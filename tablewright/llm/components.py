@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.session import durable
+from tablewright.session import written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,25 +14,21 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large and small stars: every node hangs its larger neighbours,
     then its smaller ones, to the smallest node it sees, until nothing changes,
     in a number of rounds that grows with the logarithm of a component's size.
-    Minima are combined before the shuffle, each round is written to the shared
-    folder, and only a count and a checksum come to the driver.
+    An edge stays one row and minima are combined before the shuffle, so a round
+    is two sums and two joins; it is written to the shared folder, and only a
+    count and a checksum come to the driver.
     """
-    stars = durable(_oriented(edges.select("a", "b")))
+    stars = written(_oriented(edges.select("a", "b")), "stars")
     seen = _mark(stars)
     while True:
-        both = stars.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(
-            stars.select(F.col("b").alias("x"), F.col("a").alias("y"))
-        )
+        up = stars.select(F.col("b").alias("x"), F.col("a").alias("y"))
+        both = up.unionByName(stars.select(F.col("a").alias("x"), F.col("b").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("low")).select("x", F.least("x", "low").alias("low"))
-        large = both.where(F.col("y") > F.col("x")).join(least, "x").select(F.col("y").alias("a"), F.col("low").alias("b"))
-        large = large.distinct()
+        large = up.join(least, "x").select(F.col("y").alias("a"), F.col("low").alias("b"))
         lower = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(lower, "a").select(
-            F.explode(F.array(
-                F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b"))
-            )).alias("e")
-        ).select("e.a", "e.b")
-        stars = durable(_oriented(small))
+        # the edge to the smallest stays, the others turn to it
+        turned = F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b"))
+        stars = written(large.join(lower, "a").select(turned.alias("a"), F.col("low").alias("b")), "stars")
         now = _mark(stars)
         if now == seen:
             break

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import in_slices, map_exactly, text_or_empty
 from tablewright.llm.components import components
-from tablewright.session import durable, fresh_path
+from tablewright.session import written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -99,13 +99,6 @@ def similarity(left: np.ndarray, right: np.ndarray) -> float:
     return both / either if either else 1.0
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """As ``durable``, in columns: for tables of many short rows, whose names repeat."""
-    path = fresh_path(df.sparkSession, "rows")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def buckets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(bucket, node, size, n): the distinct texts of each bucket of two or more, their shingles, and the bucket's texts."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,9 +110,9 @@ def buckets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         docs.select(text_key().alias("node"), F.lit(0).cast("long").alias("size"), text_or_empty().alias("text")),
         run, "node string, size long, keys array<long>",
     )
-    keyed = _written(made.select("node", "size", F.explode("keys").alias("bucket")).distinct())
+    keyed = written(made.select("node", "size", F.explode("keys").alias("bucket")).distinct())
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return durable(keyed.join(shared, "bucket").select("bucket", "node", "size", "n"))
+    return written(keyed.join(shared, "bucket").select("bucket", "node", "size", "n"))
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, known: DataFrame | None = None) -> DataFrame:
@@ -129,33 +122,33 @@ def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARIT
     only texts that they leave apart are compared.
     """
     met = buckets(docs, words)
-    texts = durable(
+    texts = written(
         docs.select(text_key().alias("node"), text_or_empty().alias("text")).groupBy("node").agg(F.first("text").alias("text"))
         .join(met.select("node").distinct(), "node")
     )
     pairs = centre_pairs(met, least)
     if known is None:
-        links = durable(confirmed(pairs, texts, words, least))
+        links = written(confirmed(pairs, texts, words, least))
     else:
-        near = durable(confirmed(known, texts, words, least))
-        links = durable(confirmed(_apart(pairs, components(near)), texts, words, least).unionByName(near))
+        near = written(confirmed(known, texts, words, least))
+        links = written(confirmed(_apart(pairs, components(near)), texts, words, least).unionByName(near))
     groups = components(links)
     waiting = prefixes(open_texts(met, groups), texts, words, least)
     first = FIRST
     while not waiting.isEmpty():
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        leaders = durable(waiting.withColumn("place", place).where(F.col("place") <= first).drop("place"))
+        leaders = written(waiting.withColumn("place", place).where(F.col("place") <= first).drop("place"))
         pairs = waiting.alias("m").join(leaders.alias("l"), "bucket").where(
             (F.col("l.component") != F.col("m.component"))
             & (F.least("l.size", "m.size") >= F.greatest("l.size", "m.size") * F.lit(least))
             & (F.least("l.rest", "m.rest") >= (F.col("l.size") + F.col("m.size")) * F.lit(least / (1 + least)) - F.lit(TINY))
         ).select(F.least("l.node", "m.node").alias("a"), F.greatest("l.node", "m.node").alias("b")).distinct()
-        new = durable(confirmed(pairs, texts, words, least))
+        new = written(confirmed(pairs, texts, words, least))
         if not new.isEmpty():
             links = links.unionByName(new)
             groups = components(links)
         left = waiting.drop("component").join(leaders.select("bucket", "node"), ["bucket", "node"], "left_anti")
-        waiting = durable(_of_several(left.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))))
+        waiting = written(_of_several(left.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))))
         first *= MORE
     return groups
 
@@ -187,7 +180,7 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 def open_texts(met: DataFrame, groups: DataFrame) -> DataFrame:
     """(node, component) of the texts that share a bucket with a text of another group."""
     named = met.select("bucket", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return durable(_of_several(named).select("node", "component").distinct())
+    return written(_of_several(named).select("node", "component").distinct())
 
 
 def prefix_length(size: int, least: float) -> int:
@@ -222,9 +215,9 @@ def prefixes(waiting: DataFrame, texts: DataFrame, words: int, least: float) ->
             })
 
     # short numbers for the names while there is a row a shingle; they stay, as they are written
-    numbered = durable(waiting.withColumn("id", F.monotonically_increasing_id()))
-    named = durable(numbered.join(numbered.groupBy("component").agg(F.min("id").alias("group")), "component"))
-    held = _written(
+    numbered = written(waiting.withColumn("id", F.monotonically_increasing_id()))
+    named = written(numbered.join(numbered.groupBy("component").agg(F.min("id").alias("group")), "component"))
+    held = written(
         named.join(texts, "node").select("id", "group", "text").mapInPandas(split, "id long, group long, shingle long")
     )
     rarity = held.groupBy("shingle").agg(F.count("*").alias("texts"), (F.min("group") < F.max("group")).alias("several"))
@@ -232,14 +225,14 @@ def prefixes(waiting: DataFrame, texts: DataFrame, words: int, least: float) ->
     ordered = held.join(rarity, "shingle").groupBy("id", "group").agg(
         F.array_sort(F.collect_list(F.struct("texts", "shingle", "several"))).alias("of")
     ).select("id", "group", F.col("of.shingle").alias("shingle"), F.col("of.several").alias("several"))
-    entries = _written(ordered.mapInPandas(cut, "bucket long, id long, size long, rest long, group long"))
+    entries = written(ordered.mapInPandas(cut, "bucket long, id long, size long, rest long, group long"))
     # what is left of a text must suffice for the smallest text that it meets
     smallest = entries.groupBy("bucket").agg(F.min("size").alias("least"))
     able = entries.join(smallest, "bucket").where(
         F.col("rest") >= (F.col("size") + F.greatest("least", F.col("size") * F.lit(least))) * F.lit(least / (1 + least)) - F.lit(TINY)
     )
-    several = _of_several(durable(able.drop("least")), "group")
-    return durable(several.drop("group").join(named.select("id", "node", "component"), "id").drop("id"))
+    several = _of_several(written(able.drop("least")), "group")
+    return written(several.drop("group").join(named.select("id", "node", "component"), "id").drop("id"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -257,7 +250,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
                 keep.append(bool(b) and similarity(held, shingles(text, words)) >= least)
             yield frame.loc[keep, ["a", "b"]]
 
-    dealt = durable(pairs.withColumn("part", F.pmod(F.hash("b"), F.lit(PARTS))))
+    dealt = written(pairs.withColumn("part", F.pmod(F.hash("b"), F.lit(PARTS))))
     other = dealt.join(texts.withColumnRenamed("node", "b"), "b")
     one = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a")
     each = one.withColumn("b", F.lit("")).unionByName(other)

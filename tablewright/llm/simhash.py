@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tablewright.llm import minhash
 from tablewright.llm.common import map_exactly, text_or_empty
 from tablewright.llm.components import components
-from tablewright.session import durable
+from tablewright.session import durable, written
 
 WORDS = 4
 SEED = 42
@@ -279,15 +279,15 @@ def hexadecimal(column: str = "fp"):
 def text_links(docs: DataFrame, words: int = minhash.WORDS, limit: int = LIMIT) -> DataFrame:
     """(a, b): links between the distinct texts (``minhash.text_key``) that connect all fingerprints within the limit."""
     named = docs.select(minhash.text_key().alias("doc_id"), "text")
-    marked = durable(fingerprints(named, words).distinct())
-    distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    marked = written(fingerprints(named, words).distinct())
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = links(distinct.select("fp"), distinct.count(), limit)
     for side in ("a", "b"):
         of = distinct.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}"))
         found = found.join(of, side)
     near = found.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
     same = marked.join(distinct, "fp").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    return durable(near.unionByName(same).distinct())
+    return written(near.unionByName(same).distinct())
 
 
 def one_of_each_group(docs: DataFrame, words: int = minhash.WORDS, least: float = minhash.SIMILARITY) -> DataFrame:
@@ -303,7 +303,7 @@ def one_of_each_group(docs: DataFrame, words: int = minhash.WORDS, least: float
     groups = minhash.similar_groups(docs, words, least, known=text_links(docs, words))
     rows = docs.select("doc_id", minhash.text_key().alias("node")).groupBy("doc_id", "node").agg(F.count("*").alias("rows"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "rows")
-    chosen = durable(
+    chosen = written(
         rows.join(groups, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min(order).alias("first"))
         .select(F.col("first.doc_id").alias("_id"), F.col("first.node").alias("_node"), F.col("first.rows").alias("_rows"))
     )
