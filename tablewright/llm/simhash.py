@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tablewright.llm import minhash
 from tablewright.llm.common import map_exactly, text_or_empty
 from tablewright.llm.components import components
-from tablewright.session import durable, written
+from tablewright.session import durable, scratch, written
 
 WORDS = 4
 SEED = 42
@@ -300,13 +300,15 @@ def one_of_each_group(docs: DataFrame, words: int = minhash.WORDS, least: float
     The row with the smallest doc_id stays, nulls last; among rows of that doc_id
     one text, and of its repeated rows the one whose columns come first.
     """
-    groups = minhash.similar_groups(docs, words, least, known=text_links(docs, words))
-    rows = docs.select("doc_id", minhash.text_key().alias("node")).groupBy("doc_id", "node").agg(F.count("*").alias("rows"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "rows")
-    chosen = written(
-        rows.join(groups, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min(order).alias("first"))
-        .select(F.col("first.doc_id").alias("_id"), F.col("first.node").alias("_node"), F.col("first.rows").alias("_rows"))
-    )
+    with scratch(docs.sparkSession):
+        groups = minhash.similar_groups(docs, words, least, known=text_links(docs, words))
+        rows = docs.select("doc_id", minhash.text_key().alias("node")).groupBy("doc_id", "node").agg(F.count("*").alias("rows"))
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "rows")
+        chosen = written(
+            rows.join(groups, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min(order).alias("first"))
+            .select(F.col("first.doc_id").alias("_id"), F.col("first.node").alias("_node"), F.col("first.rows").alias("_rows")),
+            "chosen", keep=True,
+        )
 
     def of(some: DataFrame) -> DataFrame:
         return docs.join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (minhash.text_key() == F.col("_node")))

@@ -53,6 +53,19 @@ def test_chains_in_one_bucket_are_followed(spark):
     assert len(groups) == 8 and same_groups(list(groups.values()), plain_groups([r[1] for r in rows]))
 
 
+def test_only_the_chosen_rows_stay_written(spark):
+    import os
+
+    from tablewright.session import shared_dir
+
+    there = lambda: set(os.listdir(shared_dir(spark).removeprefix("file://") + "/tablewright"))
+    docs = documents(spark, [(i, f"one text of some words {i % 3}", "en", "a") for i in range(6)])
+    simhash.one_of_each_group(docs).collect()
+    before = there()
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect()) == [0, 1, 2]
+    assert [name.split("-")[0] for name in there() - before] == ["chosen"]
+
+
 def test_repeated_and_null_ids_leave_one_row(spark):
     text, other = "one text of some words here", "quite another text of words"
     rows = [
