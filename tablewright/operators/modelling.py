@@ -18,7 +18,7 @@ from tablewright.operators import infer as I
 from tablewright.operators import transforms as X
 from tablewright.operators.boosting import BoostedTrees
 from tablewright.operators.sampling import capped_sample, hash_split
-from tablewright.session import durable
+from tablewright.session import durable, written
 
 # Boosted-tree budget.
 ROUNDS, DEPTH, RATE, LEAVES = 30, 3, 0.25, 7
@@ -56,8 +56,10 @@ def enrich(
     New columns are typed by ``model``, a fitted type classifier, or by the rules.
 
     Each round fits one transform per type, applies them as projections and types
-    all new columns together. Row keys stay out of ``types`` and pass through.
+    all new columns together. Row keys stay out of ``types`` and pass through. The
+    new columns are written for that, as a profile reads them several times.
     """
+    keys = [] if key is None else [key] if isinstance(key, str) else list(key)
     types = dict(types)
     stages = []
     for _ in range(max_rounds):
@@ -80,12 +82,18 @@ def enrich(
         }
         fresh = [c for c in df.columns if c not in before]
         if fresh:
-            for column, code in I.types_of(df, key, fresh, model).items():
+            for column, code in I.types_of(_made_once(df, [*keys, *fresh]), key, fresh, model).items():
                 forced = column.endswith(TEXT_SUFFIXES) and code != I.DROP
                 types[column] = I.SENTENCE if forced or code == I.FORMATTED_ID else code
     return df, types, PipelineModel(stages)
 
 
+def _made_once(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as a written table; names made of cells stay out of its files."""
+    names = list(dict.fromkeys(columns))
+    return written(df.select(*map(X.q, names)).toDF(*[f"c{i}" for i in range(len(names))]), "enriched").toDF(*names)
+
+
 def build_pipeline(
     types: dict[str, int], targets: Sequence[str], task: str, learner: str = "gbt", seed: int = 0
 ) -> list[Pipeline]:

@@ -221,3 +221,20 @@ def test_lists_that_the_first_rows_settle_are_not_counted_in_full(spark, monkeyp
     asked.clear()
     assert X.ListColumns(["uneven"], max_elements=5).fit(rows).getState() == {"uneven": {"kind": "text"}}
     assert asked == []
+
+
+def test_enrich_profiles_new_columns_from_files(spark, monkeypatch):
+    """They are derived once, not in each pass of the profile, whatever their names."""
+    rows = [(i, f"{i % 7} - {i % 7 + 5}", f"['a;{i % 3}', 'b {i % 2}']") for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, span string, items string")
+    read, types_of = [], Mo.I.types_of
+
+    def seen(some, *more):
+        read.append((some.columns, len(some.inputFiles())))
+        return types_of(some, *more)
+
+    monkeypatch.setattr(Mo.I, "types_of", seen)
+    out, types, _ = Mo.enrich(df, {"span": Mo.I.RANGE, "items": Mo.I.LIST}, key="k")
+    fresh = [c for c in out.columns if c != "k"]
+    assert {"span_start", "span_end"} < set(fresh) and set(types) == set(fresh)
+    assert read[0][0] == ["k", *fresh] and all(files > 0 for _, files in read)
